@@ -55,4 +55,4 @@ def release(*frames: DataFrame) -> None:
 
 def table_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a frame, in bytes."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
