@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgewise.llm import packing, quality, simhash, suffix_repetition
+from edgewise.llm import html_wrappers, packing, pitman_yor, quality, simhash, suffix_repetition
 from edgewise.session import read_table
 
 
@@ -39,5 +39,16 @@ def op8_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_classifier, op4_power_of_two_packing, op7_suffix_repetition, op8_simhash_variants)}
+def op6_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_wrappers.extract(read_table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    out = pitman_yor.scores(docs, docs.where(crc_mod(10) != 0))
+    return out.select("doc_id", (crc_mod(10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES = {f.__name__: f for f in (op2_quality_classifier, op4_power_of_two_packing, op6_html_wrappers, op7_suffix_repetition, op8_simhash_variants, op10_pitman_yor)}
 ORACLE_SQL: dict[str, str] = {}
