@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgewise.llm import html_wrappers, packing, pitman_yor, quality, simhash, suffix_repetition
+from edgewise.llm import html_wrappers, line_templates, packing, pitman_yor, quality, quotations, simhash, suffix_repetition
 from edgewise.session import read_table
 
 
@@ -14,6 +14,11 @@ def crc_mod(n: int):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
 
 
+def op1_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_templates.drop_recurring_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("_lines").cast("long").alias("n_lines"), F.col("_dropped").cast("long").alias("n_dropped"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality").where(crc_mod(3) != 1)
     out = quality.quality_scores(read_table(spark, sf_dir, "documents"), labels)
@@ -39,6 +44,11 @@ def op8_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quotations.conversations(read_table(spark, sf_dir, "conversations"))
+    return out.select("conv_id", "turn", "role", F.md5(F.col("text").cast("binary")).alias("text_md5"), "parent_conv", "parent_turn", F.col("n_quoted").cast("long").alias("n_quoted"), "n_links", "thread")
+
+
 def op6_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = html_wrappers.extract(read_table(spark, sf_dir, "pages"))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -50,5 +60,5 @@ def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_mod(10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_classifier, op4_power_of_two_packing, op6_html_wrappers, op7_suffix_repetition, op8_simhash_variants, op10_pitman_yor)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_line_templates, op2_quality_classifier, op4_power_of_two_packing, op5_quotation_linking, op6_html_wrappers, op7_suffix_repetition, op8_simhash_variants, op10_pitman_yor)}
+ORACLE_SQL: dict[str, str] = {"op1_line_templates": line_templates.ORACLE}
