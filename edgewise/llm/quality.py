@@ -180,6 +180,27 @@ def scores(stats: DataFrame, model: Model) -> DataFrame:
     return stats.select("doc_id", "x").mapInArrow(run, "doc_id long, score double")
 
 
+def fitted(docs: DataFrame, labels: DataFrame) -> Model:
+    """A model from the rows of ``docs`` (doc_id, text) that ``labels`` (doc_id, quality) marks."""
+    marked = labels.where("quality is not null").select("doc_id").distinct()
+    stats = stage(document_statistics(docs.select("doc_id", "text").join(marked, "doc_id", "left_semi")), "labelled-statistics")
+    return fit(with_labels(stats, labels))
+
+
+def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose text scores at least ``least``; a narrow pass."""
+    schema = docs.schema
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = np.array([statistics(t.as_py() or "") for t in batch.column(at)], np.float32).astype(np.float64)
+                yield batch.filter(pa.array(model.score(x) >= least))
+
+    return docs.mapInArrow(run, schema)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, score) of every row of ``docs``, learnt from ``labels`` (doc_id, quality)."""
     stats = stage(document_statistics(docs), "statistics")

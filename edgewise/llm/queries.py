@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgewise.llm import html_wrappers, line_templates, packing, pitman_yor, quality, quotations, simhash, suffix_repetition
+from edgewise.llm import html_wrappers, latent_leaks, line_templates, packing, pitman_yor, quality, quotations, secret_forest, simhash, suffix_repetition
 from edgewise.session import read_table
 
 
@@ -25,6 +25,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_mod(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latent_leaks.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def word_tokenizer() -> str:
     import public_tokenizers
 
@@ -54,11 +58,16 @@ def op6_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op9_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_forest.scan(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "place", F.sha2(F.col("word").cast("binary"), 256).alias("word_sha256"), "score", "secret")
+
+
 def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     out = pitman_yor.scores(docs, docs.where(crc_mod(10) != 0))
     return out.select("doc_id", (crc_mod(10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_templates, op2_quality_classifier, op4_power_of_two_packing, op5_quotation_linking, op6_html_wrappers, op7_suffix_repetition, op8_simhash_variants, op10_pitman_yor)}
+QUERIES = {f.__name__: f for f in (op1_line_templates, op2_quality_classifier, op3_latent_leaks, op4_power_of_two_packing, op5_quotation_linking, op6_html_wrappers, op7_suffix_repetition, op8_simhash_variants, op9_secret_forest, op10_pitman_yor)}
 ORACLE_SQL: dict[str, str] = {"op1_line_templates": line_templates.ORACLE}
