@@ -29,26 +29,35 @@ MIN_DOCS = 3
 #: Share of a template's tokens that must be constant, in percent.
 CONSTANT = 75
 BLANK = r"[\x20\x09-\x0D]+"
+#: A token with a digit, in a line with single blanks.
+DIGITS = r"(?<![^\x20])[^\x20]*?[0-9][^\x20]*"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """Lines that can belong to a template: document key, place, leaf and masked tokens."""
+    """Lines that can belong to a template: document key, place, leaf, kind and the masked line.
+
+    Plain string functions do for most lines; a pattern only runs on those that need it.
+    """
     lines = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    words = lines.select("doc_id", "version", "place", F.filter(F.split("line", BLANK), lambda x: x != "").alias("words")).where(F.size("words") >= MIN_TOKENS)
-    masked = F.transform("words", lambda x: F.when(x.rlike("[0-9]"), "<*>").otherwise(x))
-    words = words.select("doc_id", "version", "place", masked.alias("tokens"))
-    leaf = F.xxhash64(F.size("tokens"), *(F.col("tokens")[k] for k in range(DEPTH)))
-    return words.select("doc_id", "version", "place", leaf.alias("leaf"), F.xxhash64("tokens").alias("kind"), "tokens")
+    line, keys = F.col("line"), ["doc_id", "version", "place"]
+    odd = line.contains("  ") | line.startswith(" ") | line.endswith(" ")
+    for c in "\t\x0b\x0c\r":
+        odd = odd | line.contains(c)
+    # The explode of one value keeps the optimizer from repeating its expression in every use.
+    lines = lines.select(*keys, F.explode(F.array(F.when(odd, F.trim(F.regexp_replace(line, BLANK, " "))).otherwise(line))).alias("line"))
+    lines = lines.select(*keys, F.explode(F.array(F.when(line.rlike("[0-9]"), F.regexp_replace(line, DIGITS, "<*>")).otherwise(line))).alias("line"))
+    size = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "))) + 1
+    leaf = F.xxhash64(size, F.substring_index("line", " ", DEPTH))
+    return lines.where(size >= MIN_TOKENS).select("doc_id", "version", "place", leaf.alias("leaf"), F.xxhash64("line").alias("kind"), "line")
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc_id, version, place) of every line of ``docs`` (doc_id, text) that is dropped."""
     lines = _lines(docs)
     leaves = lines.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf")
-    lines = stage(lines.join(leaves, "leaf"), "lines")
-    kinds = lines.groupBy("leaf", "kind", "doc_id", "version").agg(F.first("tokens").alias("tokens"))
-    kinds = kinds.groupBy("leaf", "kind").agg(F.count("*").alias("docs"), F.first("tokens").alias("tokens"))
-    kinds = stage(kinds, "kinds")
+    lines = stage(lines.join(leaves.hint("shuffle_hash"), "leaf"), "lines")
+    kinds = lines.select("leaf", "kind", "line", "doc_id", "version").distinct().groupBy("leaf", "kind", "line").agg(F.count("*").alias("docs"))
+    kinds = stage(kinds.select("leaf", "kind", "docs", F.split("line", " ").alias("tokens")), "kinds")
     tokens = kinds.select("leaf", "kind", "docs", F.posexplode("tokens").alias("at", "token"))
     tokens = tokens.where((F.col("at") >= DEPTH) & (F.col("token") != "<*>"))
     common = tokens.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("d")).where(F.col("d") >= min_docs).select("leaf", "at", "token")
@@ -70,12 +79,13 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame
     """``docs`` without recurring lines, with ``_lines`` and ``_dropped`` counts."""
     gone = recurring_lines(docs, min_docs).groupBy(F.col("doc_id").alias("_id"), F.col("version").alias("_version")).agg(F.collect_list("place").alias("_places"))
     keyed = docs.withColumn("_version", F.xxhash64("text"))
-    out = keyed.join(gone.withColumnRenamed("_version", "_v"), keyed["doc_id"].eqNullSafe(F.col("_id")) & (keyed["_version"] == F.col("_v")), "left")
-    lines = F.split("text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_places"))
-    text = F.when(F.col("_places").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    counts = [F.when(F.col("text").isNotNull(), F.size(lines)).otherwise(0).alias("_lines"), F.coalesce(F.size("_places"), F.lit(0)).alias("_dropped")]
-    counts[1] = F.when(F.col("_places").isNull(), 0).otherwise(F.size("_places")).alias("_dropped")
+    gone = gone.withColumnRenamed("_version", "_v").hint("shuffle_hash")
+    out = keyed.join(gone, keyed["doc_id"].eqNullSafe(F.col("_id")) & (keyed["_version"] == F.col("_v")), "left")
+    size = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1
+    # The struct holds the split text, so that it is split once and not for each line kept.
+    rest = F.expr("aggregate(array(named_struct('l', split(text, '\\n'), 'k', array_except(sequence(0, octet_length(text) - octet_length(replace(text, '\\n')) ), _places))), '', (a, x) -> array_join(transform(x.k, i -> get(x.l, i)), '\\n'))")
+    text = F.when(F.col("_places").isNull(), F.col("text")).otherwise(rest)
+    counts = [F.when(F.col("text").isNotNull(), size).otherwise(0).alias("_lines"), F.when(F.col("_places").isNull(), 0).otherwise(F.size("_places")).alias("_dropped")]
     return out.select(*(text.alias(c) if c == "text" else F.col(c) for c in docs.columns), *counts)
 
 
