@@ -15,13 +15,14 @@ QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 
 
-def query(sql: str | None = None):
-    """Register a query under its function's name; ``sql`` goes behind the graph's common tables."""
+def query(sql: str | None = None, on_graph: bool = True):
+    """Register a query under its function's name; ``sql`` goes behind the graph's common tables, as
+    further ones if it starts with a plus."""
 
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = sql if "FROM documents" in sql or "FROM pages" in sql else f"WITH RECURSIVE {SQL.strip()}{',' if sql.lstrip().startswith('+') else ''} {sql.lstrip().lstrip('+')}"
+            ORACLE_SQL[f.__name__] = sql if not on_graph else f"WITH RECURSIVE {SQL.strip()}{',' if sql.lstrip().startswith('+') else ''} {sql.lstrip().lstrip('+')}"
         return f
 
     return add
@@ -283,9 +284,6 @@ def baseline_split(spark, sf_dir):
     return out.groupBy("key", "state").agg(F.count("*").alias("n"))
 
 
-_FILES_SQL = "files AS (SELECT 'orders/' || o_orderkey || '.go' AS file FROM orders WHERE o_orderkey % 500 = 1), at AS (SELECT DISTINCT src AS id, file || '.go' AS file FROM raw)"
-
-
 def _placed(spark, sf_dir):
     """The graph with each part declared in the first order file that mentions it."""
     g = part_graph(spark, sf_dir)
@@ -340,3 +338,61 @@ def multi_root_reach(spark, sf_dir):
 def id_helpers(spark, sf_dir):
     v = part_graph(spark, sf_dir).vertices
     return v.select(canonical_id(F.concat("id", F.lit("#symbol"))).alias("id"), short_name(F.col("id")).alias("short"), F.regexp_replace(member_owner(F.concat("package", F.lit(".(X).f"))), r"\.X$", "").alias("package"))
+
+
+@query("SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS authority, length(url) AS n FROM pages", on_graph=False)
+def url_authority(spark, sf_dir):
+    from edgewise.functions import urls
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            found = [urls.compose_url([("lit", u or "")]).get("authority", "") for u in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.string()), b.column(2)], ["page_id", "authority", "n"])
+
+    return read_table(spark, sf_dir, "pages").select("page_id", "url", F.length("url").cast("long").alias("n")).mapInArrow(run, "page_id long, authority string, n long")
+
+
+@query("SELECT page_id, CASE WHEN regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) END AS template FROM pages", on_graph=False)
+def url_template(spark, sf_dir):
+    from edgewise.functions import urls
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            found = [urls.compose_url([("lit", u or "")]).get("template") for u in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.string())], ["page_id", "template"])
+
+    return read_table(spark, sf_dir, "pages").select("page_id", "url").mapInArrow(run, "page_id long, template string")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 't' || p_size WHEN 1 THEN 'a' || p_size || ',' || 's.b' || p_size WHEN 2 THEN 'log' ELSE 'o' || p_size END AS relations,
+  CASE WHEN p_partkey % 4 = 2 THEN 1 ELSE 0 END AS functions FROM part""", on_graph=False)
+def sql_relations(spark, sf_dir):
+    from edgewise.functions.sqlrel import relation_facts
+
+    p, n = read_table(spark, sf_dir, "part"), F.col("p_partkey") % 4
+    text = (
+        F.when(n == 0, F.concat(F.lit("SELECT x -- from y\nFROM t"), "p_size", F.lit(" WHERE a IS DISTINCT FROM b")))
+        .when(n == 1, F.concat(F.lit("WITH c AS (SELECT 1) SELECT * FROM c JOIN a"), "p_size", F.lit(", s.\"b"), "p_size", F.lit("\"")))
+        .when(n == 2, F.lit("INSERT INTO log SELECT EXTRACT(day FROM d) FROM series(1, 2)"))
+        .otherwise(F.concat(F.lit("UPDATE ONLY o"), "p_size", F.lit(" SET a = 'from z'")))
+    )
+    return relation_facts(p.select("p_partkey", text.alias("text")), "text").select("p_partkey", _text("relations"), "functions")
+
+
+@query("+ pairs AS (SELECT DISTINCT src, dst FROM edges WHERE kind = 'call'), closure AS (SELECT src, dst FROM pairs UNION SELECT c.src, p.dst FROM closure c JOIN pairs p ON p.src = c.dst), mutual AS (SELECT a.src AS id, a.dst AS other FROM closure a JOIN closure b ON a.src = b.dst AND a.dst = b.src) SELECT min(other) AS component, id FROM mutual GROUP BY id")
+def scc_calls(spark, sf_dir):
+    g = part_graph(spark, sf_dir)
+    calls = g.edges.where("kind = 'call'").withColumn("candidate", F.lit(False))
+    return cycles.cycles(g.with_(edges=calls)).select("component", "id")
+
+
+@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value) * 1000) / 1000 AS total FROM events GROUP BY ALL", on_graph=False)
+def event_windows(spark, sf_dir):
+    from edgewise.streaming.snapshots import event_windows as windows
+
+    out = windows(read_table(spark, sf_dir, "events"))
+    return out.select("start", "event_type", "n", (F.round(F.col("total") * 1000) / 1000).alias("total"))
