@@ -90,7 +90,9 @@ class Model:
         return self.features(x) @ self.beta
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        raw = self.raw(x)
+        raw, (_, levels) = self.raw(x), self.curve
+        if levels.min() == levels.max():
+            return np.full(len(x), levels[0])
         # A little of the ridge value keeps order among equal calibrated values.
         return np.clip(0.999 * np.interp(raw, *self.curve) + 0.001 * np.clip(raw, 0, 1), 0, 1)
 

@@ -1,0 +1,351 @@
+"""Corpus operators against brute-force versions, and their defined odd cases."""
+
+import re
+import zlib
+from collections import Counter
+from math import log10
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from edgewise.llm import html_wrappers, latent_leaks, line_templates, links, packing, pitman_yor, quality, quotations, secret_forest, simhash, suffix_repetition
+from edgewise.llm.queries import word_tokenizer
+
+SF = "/root/testdata/sf0.001"
+DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("score", T.StringType()), T.StructField("fp", T.StringType()), T.StructField("leaf", T.StringType())])
+
+
+def docs(spark, rows):
+    """Documents with extra columns whose names the operators use themselves."""
+    return spark.createDataFrame([(i, t, "x", "y", "z") for i, t in rows], DOCS)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    long_ = " ".join(f"w{k % 997}x{k}" for k in range(30_000))
+    return docs(spark, [(1, None), (2, ""), (3, " \n\t "), (4, "one two"), (4, "one two"), (5, long_), (6, "a\n\nb"), (None, "no id here at all")]).cache()
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return docs(spark, [])
+
+
+# line dedup
+
+
+def drop_lines(rows, depth=3, least=4, k=3, share=75):
+    seen = []
+    for i, t in rows:
+        for n, line in enumerate(t.split("\n")):
+            w = ["<*>" if re.search("[0-9]", x) else x for x in re.split(r"[\x20\x09-\x0D]+", line) if x]
+            if len(w) >= least:
+                seen.append((i, n, tuple(w)))
+    leaf = lambda w: (len(w), w[:depth])
+    kinds = {(w, i) for i, _, w in seen}
+    freq = Counter((leaf(w), p, x) for w, _ in kinds for p, x in enumerate(w))
+    shape = {}
+    for w, _ in kinds:
+        s = tuple(x if p < depth or (x != "<*>" and freq[leaf(w), p, x] >= k) else "<*>" for p, x in enumerate(w))
+        held = sum(x != "<*>" for x in s)
+        if held >= least and 100 * held >= share * len(w):
+            shape[w] = s
+    of = {}
+    for i, n, w in seen:
+        if w in shape:
+            of.setdefault(shape[w], []).append((i, n))
+    return {x for v in of.values() if len({i for i, _ in v}) >= k for x in sorted(v)[1:]}
+
+
+def test_line_templates_equal_brute_force(corpus):
+    rows = [(r.doc_id, r.text) for r in corpus.collect()]
+    got = {(r.doc_id, r.place) for r in line_templates.recurring_lines(corpus).collect()}
+    assert got == drop_lines(rows) and got
+
+
+def test_line_templates_generalise_fields(spark):
+    rows = [(k, f"{'abcdefgh'[k]} own words {k + 7} {'abcdefgh'[k]}\nPage {k} of the big printed {'uvwxyzst'[k]} book") for k in range(8)]
+    out = line_templates.drop_recurring_lines(docs(spark, rows))
+    got = {r.doc_id: (r.text, r._dropped, r.leaf) for r in out.collect()}
+    assert got[0][1] == 0 and all(got[k] == (f"{'abcdefgh'[k]} own words {k + 7} {'abcdefgh'[k]}", 1, "z") for k in range(1, 8))
+
+
+def test_line_templates_odd(spark, odd, empty):
+    got = sorted(((r.doc_id or 0, r.text, r._dropped) for r in line_templates.drop_recurring_lines(odd).collect()), key=str)
+    assert len(got) == 8 and all(d == 0 for _, _, d in got)
+    assert line_templates.drop_recurring_lines(empty).count() == 0
+
+
+# quality
+
+
+def test_quality_holds_out_of_sample(spark, corpus):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").withColumn("held", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1)
+    s = quality.quality_scores(d, labels.where("not held"))
+    got = s.join(labels.where("held"), "doc_id").select("score", "quality").toPandas()
+    assert ((got.score >= 0.5) == (got.quality == 1)).mean() >= 0.97 and got.score.between(0, 1).all()
+
+
+def test_quality_odd(spark, odd, empty):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert [r.score for r in quality.quality_scores(odd, none).collect()] == [0.5] * 8
+    one = spark.createDataFrame([(4, 1), (5, 1), (6, None)], "doc_id long, quality int")
+    assert {r.score for r in quality.quality_scores(odd, one).collect()} == {1.0}
+    assert quality.quality_scores(empty, one).count() == 0
+
+
+def test_isotonic_pools_violators():
+    x, y = quality.isotonic(np.arange(4.0), np.ones(4), np.array([0, 1, 0, 1.0]))
+    assert y.tolist() == [0, 0.5, 1] and x.tolist() == [0, 1.5, 3]
+
+
+# leaks
+
+
+def test_leaks_equal_brute_force(spark, corpus):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    got = {(r.doc_id, r.item_id) for r in latent_leaks.leaks(corpus, bench).collect()}
+    bare = lambda t: [x for x in (w.lower().strip(latent_leaks.MARKS) for w in t.encode().split()) if x]
+    want = set()
+    items = [(r.item_id, bare(r.text)) for r in bench.collect()]
+    for r in corpus.collect():
+        w = bare(r.text)
+        for i, item in items:
+            if sum(x in set(w) for x in item) < 0.65 * len(item):
+                continue
+            n = len(item)
+            if any(latent_leaks.common_subsequence(item, w[s : s + n + n // 4]) >= 0.75 * n for s in range(0, max(1, len(w) - n + 1))):
+                want.add((r.doc_id, i))
+    assert want and len(got & want) >= 0.9 * len(want) and len(got - want) <= 0.1 * len(want) + 1
+
+
+def test_paraphrases_and_odd(spark, odd, empty, corpus):
+    item = "the quick brown fox jumps over the lazy dog while seven small birds sing in the old tall tree near river banks".split()
+    near = [x if k % 7 else "other" for k, x in enumerate(item[:-5])] + item[-5:]
+    filler = " ".join(f"filler{k}" for k in range(60))
+    d = docs(spark, [(1, f"{filler} {' '.join(near)} {filler}"), (2, filler), (3, "The, QUICK " + " ".join(item[2:]))])
+    d = d.select("doc_id", "text").union(corpus.select(F.col("doc_id") + 100, "text"))  # a space of some rank
+    bench = spark.createDataFrame([(9, " ".join(item)), (8, None), (7, "")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in latent_leaks.leaks(d, bench).collect()} == {(1, 9), (3, 9)}
+    assert latent_leaks.leaks(odd, bench).count() == 0 and latent_leaks.leaks(empty, bench).count() == 0
+    assert latent_leaks.leaks(d, bench.limit(0)).count() == 0
+
+
+def test_common_subsequence():
+    rng = np.random.default_rng(1)
+    for _ in range(30):
+        a, b = rng.integers(0, 5, rng.integers(1, 20)).tolist(), rng.integers(0, 5, rng.integers(0, 30)).tolist()
+        t = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1, j + 1] = t[i, j] + 1 if x == y else max(t[i, j + 1], t[i + 1, j])
+        assert latent_leaks.common_subsequence(a, b) == t[-1, -1]
+
+
+# packing
+
+
+def test_packing_round_trip(spark, corpus, odd, empty):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(word_tokenizer())
+    weird = docs(spark, [(90, "İ. ½, ﬁ # <|endoftext|> IT'S don't É\x1cx"), (91, "<|STARTOFTEXT|> a")])
+    for d in (corpus.select("doc_id", "text"), odd, weird):
+        pieces = packing.pack(d, word_tokenizer()).toPandas()
+        assert pieces.sequence_id.is_unique and (pieces.offset == 0).all() and all((n & (n - 1)) == 0 and n <= 4096 for n in pieces.length)
+        assert all(zlib.crc32(b) == c and len(b) == 4 * n for b, c, n in zip(pieces.ids, pieces.ids_crc32, pieces.length))
+        for r in d.dropDuplicates().collect():
+            mine = pieces[pieces.doc_id.isna() if r.doc_id is None else pieces.doc_id == r.doc_id].drop_duplicates("start").sort_values("start")
+            assert np.frombuffer(b"".join(mine.ids), "<u4").tolist() == t.encode(r.text or "", add_special_tokens=False).ids + [2]
+    assert packing.pack(empty, word_tokenizer()).count() == 0
+
+
+# quotations
+
+
+def test_quotations(spark):
+    rows = [
+        (1, 0, "user", "How does the engine start?\nPlease tell me all."), (1, 1, "assistant", "> How does the engine start?\nTurn the small key."),
+        (1, 2, "user", "Anne wrote:\n> > How does the engine start?\n> Turn the small key.\n\nWhich key is that?"), (1, 3, "assistant", ">How  does the ENGINE start?\nAgain: the key."),
+        (2, 0, "user", "> Turn the small key.\nSeen elsewhere."), (2, 1, "assistant", "> nobody ever said this line\nok"), (3, 0, None, None), (3, 0, None, None),
+    ]
+    m = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, start string")
+    got = {(r.conv_id, r.turn): (r.text, r.parent_conv, r.parent_turn, r.thread) for r in quotations.conversations(m).collect()}
+    assert got[1, 0][1:] == (None, None, 0) and got[1, 1] == ("Turn the small key.", 1, 0, 0)
+    assert got[1, 2] == ("Which key is that?", 1, 1, 0) and got[1, 3] == ("Again: the key.", 1, 0, 3)
+    assert got[2, 0] == ("Seen elsewhere.", 1, 1, 0) and got[2, 1][1:3] == (2, 0)
+    assert quotations.conversations(m).count() == 8 and quotations.conversations(m.limit(0)).count() == 0
+
+
+def test_a_long_conversation_is_ordered_in_spans(spark):
+    m = spark.range(1000).select(F.lit(1).cast("long").alias("conv_id"), (F.col("id") * 3).alias("turn"), F.lit("u").alias("role"), F.concat(F.lit("message number "), "id").alias("text"))
+    got = {r.turn: r.parent_turn for r in quotations.conversations(m).collect()}
+    assert got[0] is None and all(got[3 * k] == 3 * (k - 1) for k in range(1, 1000))
+
+
+# html
+
+
+def page(main, extra=""):
+    return f'<html><head><title>T</title><style>p{{}}</style></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice">We use</div>{main}{extra}<footer>(c)</footer><script>x("<p>no</p>")</script></body></html>'
+
+
+def test_html_wrappers(spark):
+    rows = [
+        (1, "http://a.com/1", page("<article><h1>One &amp; two</h1><p>First  <b>bo</b>ld<br>line</p><p>Next</p></article>")),
+        (2, "http://a.com/2", page("<article><h1>Other</h1><p>x &lt; y</p><div class='comments'><p>reader</p></div></article>", "<aside>side</aside>")),
+        (3, "http://b.org/1", page("<div id=content><p>Long text of the page without any link.</p></div><div class=sidebar>no</div>")),
+        (4, "http://b.org/2", None), (5, None, "<p>bare</p>"), (6, "http://a.com/1", ""), (6, "http://a.com/1", ""),
+    ]
+    d = spark.createDataFrame([(*r, "q") for r in rows], "page_id long, url string, html string, kept string")
+    got = {r.page_id: r.text for r in html_wrappers.extract(d).collect()}
+    assert got == {1: "One & two First bold line Next", 2: "Other x < y", 3: "Long text of the page without any link.", 4: "", 5: "bare", 6: ""}
+    assert html_wrappers.extract(d).count() == 7 and html_wrappers.extract(d.limit(0)).count() == 0
+
+
+def test_wrappers_have_optional_and_repeated_groups():
+    one, two = (html_wrappers.wrap(html_wrappers.slots(page(f"<article><h1>{t}</h1>{x}<dl><dt>a</dt><dd>b</dd><dt>c</dt><dd>d</dd></dl></article>"))) for t, x in (("A", ""), ("B", "<p>only here</p>")))
+    items = {x["k"].rsplit("/", 1)[-1]: x for x in html_wrappers.join_wrappers(one, two)[0]}
+    assert items["article p"]["o"] and not items["article h1"]["o"] and items["article h1"]["t"] is None
+    assert items["dl dt"]["r"] and items["dl dd"]["r"] and items["ul li"]["t"] is not None
+
+
+# repetition
+
+
+def test_repetition_equals_brute_force(corpus):
+    got = {r.doc_id: r for r in suffix_repetition.repetition(corpus).collect()}
+    for r in corpus.collect():
+        w = r.text.encode().split()
+        longest = np.zeros(len(w), int)
+        where = {}
+        for n in range(1, len(w)):
+            where.clear()
+            for i in range(len(w) - n + 1):
+                where.setdefault(tuple(w[i : i + n]), []).append(i)
+            again = [i for v in where.values() if len(v) > 1 for i in v]
+            if not again:
+                break
+            longest[again] = n
+        span = lambda least, fixed=None: len({k for i in np.flatnonzero(longest >= least) for k in range(i, i + (fixed or longest[i]))})
+        x = got[r.doc_id]
+        assert (x.n_words, x.longest_repeat, x.n_repeat_words, x.covered_words) == (len(w), longest.max(initial=0), span(5, 5), span(10))
+
+
+def test_repetition_odd(odd, empty):
+    got = suffix_repetition.repetition(odd).toPandas()
+    assert len(got) == 8 and got[got.doc_id.isin([1, 2, 3, 4])].base_failed.all() and got[got.doc_id == 5].kept.all()
+    assert suffix_repetition.repetition(empty).count() == 0
+
+
+# simhash
+
+
+def test_simhash_equals_brute_force(spark, corpus, odd, empty):
+    for d, width in ((corpus, 3), (odd, 5)):
+        rows = [(r.doc_id, r.text) for r in d.collect()]
+        fps = np.array([simhash.fingerprint(t or "", width) for _, t in rows], np.uint64)
+        near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3
+        group = np.arange(len(rows))
+        while True:
+            new = np.array([group[n].min() for n in near])
+            if (new == group).all():
+                break
+            group = new
+        want = {(i, min((rows[k][0] for k in np.flatnonzero(group == group[j]) if rows[k][0] is not None), default=None)) for j, (i, _) in enumerate(rows)}
+        assert {(r.doc_id, r.component_id) for r in simhash.near_duplicates(d, width).collect()} == want
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+def test_variants_find_all_pairs_within_three_bits(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 40, dtype=np.int64)
+    fps = {int(b) for b in base} | {int(b) ^ int(sum(1 << int(k) for k in rng.choice(63, rng.integers(1, 6), replace=False))) for b in base for _ in range(8)}
+    x = np.array(sorted(fps), np.int64)
+    df = spark.createDataFrame([(int(v),) for v in x], "fp long")
+    roots = {r.node: r.root for r in links.components(simhash.near_links(df)).collect()}
+    u = x.view(np.uint64)
+    parent = list(range(len(x)))
+    for i in range(len(x)):
+        for j in np.flatnonzero(np.bitwise_count(u[i] ^ u) <= 3):
+            parent = [parent[i] if p == parent[j] else p for p in parent]
+    for i in range(len(x)):
+        for j in range(i):
+            assert (parent[i] == parent[j]) == (roots.get(int(x[i]), x[i]) == roots.get(int(x[j]), x[j]))
+
+
+def test_components_of_a_chain(spark):
+    n = 200
+    got = links.components(spark.range(n).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+    assert {(r.node, r.root) for r in got.collect()} == {(k, 0) for k in range(n + 1)}
+    assert links.components(spark.createDataFrame([(1, 1), (None, 2)], "a long, b long")).count() == 0
+
+
+# secrets
+
+
+def test_secret_forest(spark, odd, empty):
+    key = "a3f9c1d2e4b5a6978877665544332211ffeeddcc"
+    rows = [(1, f'set token = "{key}" now'), (2, f"see commit {key} for it"), (3, "card 4539148803436467 paid"), (4, "nothing to see here"), (5, "http://www.example.com/item/abc123def456?page=2 is fine")]
+    got = {r.doc_id: r.secret for r in secret_forest.scan(docs(spark, rows)).collect()}
+    assert got == {1: True, 2: False, 3: False, 5: False}
+    assert secret_forest.scan(empty).count() == 0 and secret_forest.scan(odd).where("secret").count() == 0
+
+
+def test_secret_forest_on_unseen_findings(spark):
+    every = secret_forest.labelled_findings(spark, 9000)
+    found = every.withColumn("k", F.pmod(F.xxhash64("word"), F.lit(3)))
+    model = secret_forest.train(found.where("k > 0"))
+    test = found.where("k = 0").select("label", *secret_forest.features(F.col("word"), F.col("before"), F.col("after")))
+    right = model.transform(test).agg(F.avg((F.col("_prediction") == F.col("label")).cast("double"))).first()[0]
+    assert right >= 0.95
+
+
+def test_native_plans_hold_no_python(spark, corpus):
+    for df in (line_templates.drop_recurring_lines(corpus), secret_forest.scan(corpus)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Python|Pandas|Arrow", plan)
+
+
+# language model
+
+
+def test_language_model_counts_and_base(spark, corpus):
+    train = corpus.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0)
+    got = {r.doc_id: r for r in pitman_yor.scores(corpus, train, top=64).collect()}
+    tokens = lambda t: [*t.encode().lower().split(), None]
+    c = Counter(x for r in train.collect() for x in tokens(r.text))
+    n, v = sum(c.values()), len(c)
+    held = [0.0, 0.0]
+    for r in corpus.collect():
+        x = got[r.doc_id]
+        want = sum(log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens(r.text))
+        assert x.train_tokens == n and x.n_tokens == len(tokens(r.text)) and x.n_known == sum(c[w] > 0 for w in tokens(r.text)) and abs(x.base_score - want) < 1e-6 * abs(want)
+        if zlib.crc32(str(r.doc_id).encode()) % 10 == 0:
+            held[0] += x.base_score
+            held[1] += x.score
+    assert held[1] > held[0]
+
+
+def test_language_model_is_normalised():
+    rng = np.random.default_rng(5)
+    p = pitman_yor.class_model(rng.poisson(0.7, (9, 9)))
+    assert np.allclose(p.sum(1), 1)
+    m = pitman_yor.WordModel(np.array([[1, 50], [2, 20], [7, 3]], float))
+    assert np.isclose((10 ** m.log10(np.array([0, 1, 2, 7])) * [1, 50, 20, 3]).sum(), 1)
+
+
+def test_language_model_odd(spark, odd, empty):
+    got = pitman_yor.scores(odd, empty).toPandas()
+    assert len(got) == 8 and np.isfinite(got.score).all() and (got.n_known == 0).all()
+    got = pitman_yor.scores(odd, odd).toPandas()
+    assert len(got) == 8 and np.isfinite(got.score).all() and (got.n_known == got.n_tokens).all()
+    assert pitman_yor.scores(empty, odd).count() == 0
