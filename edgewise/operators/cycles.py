@@ -122,10 +122,10 @@ def _distributed(pairs: DataFrame) -> DataFrame:
 
 def cycles(g: Graph, local: bool | None = None) -> DataFrame:
     """(component, id): members of every cycle; the component is its smallest member."""
-    pairs = cycle_edges(g).select("src", "dst").distinct()
+    pairs = stage(cycle_edges(g).select("src", "dst").distinct(), "pairs")
     if is_local(pairs) if local is None else local:
         none = g.spark.createDataFrame([], "key int, id string")
-        return in_one_task(pairs, none, _components, "component string, id string")
+        return stage(in_one_task(pairs, none, _components, "component string, id string"), "components")
     return _distributed(pairs)
 
 

@@ -1,7 +1,7 @@
 """Breadth-first kernels: distances from keyed roots, and the ranked discovery order.
 
-Two plans with one meaning. Up to ``LOCAL_EDGES`` edges, by count and by Catalyst's size
-estimate, the pairs go to one task that walks them in memory. Beyond that the driver
+Two plans with one meaning. The distinct pairs are written once. Up to ``LOCAL_EDGES`` of
+them and ``LOCAL_BYTES`` of files they go to one task that walks them in memory. Beyond that the driver
 loops over levels: the frontier joins the edges, what was seen is taken off by an
 anti-join, and each level is written to the shared folder, so the lineage stays flat and
 a lost executor costs one level.
@@ -24,8 +24,8 @@ FOUND = "key int, id string, depth int, parent string, rank long"
 
 
 def is_local(pairs: DataFrame) -> bool:
-    """Whether the pairs fit one task, by estimate and by a bounded count."""
-    return table_bytes(pairs) <= 1 << 50 and pairs.limit(LOCAL_EDGES + 1).count() <= LOCAL_EDGES
+    """Whether the written ``pairs`` fit one task, by the size of the files and by their row counts."""
+    return table_bytes(pairs) <= LOCAL_BYTES and pairs.count() <= LOCAL_EDGES
 
 
 def in_one_task(pairs: DataFrame, roots: DataFrame, walk, schema: str) -> DataFrame:
@@ -79,12 +79,9 @@ def discover(pairs: DataFrame, roots: DataFrame, depth: int | None = None, local
     the place in discovery order (roots by id, then by parent's rank and id). Unranked,
     the distributed plan leaves rank null and takes the smallest parent.
     """
-    pairs = pairs.select("src", "dst").distinct()
-    if local is None:
-        local = is_local(pairs)
-    if local:
-        return in_one_task(pairs, roots, _walk(depth), FOUND)
-    pairs = stage(pairs, "pairs")
+    pairs = stage(pairs.select("src", "dst").distinct(), "pairs")
+    if is_local(pairs) if local is None else local:
+        return stage(in_one_task(pairs, roots, _walk(depth), FOUND), "discovered")
     order = Window.partitionBy("key")
     now = roots.select("key", "id").distinct().withColumns({"depth": F.lit(0), "parent": F.lit(None).cast("string")})
     now = now.withColumn("rank", F.row_number().over(order.orderBy("id")) - 1 if ranked else F.lit(None)).withColumn("rank", F.col("rank").cast("long"))
