@@ -68,6 +68,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     held = F.col("head") + F.coalesce("constant", F.lit(0))
     shapes = shapes.where((held >= MIN_TOKENS) & (100 * held >= CONSTANT * F.col("n"))).select("leaf", "kind", F.coalesce("shape", F.lit(0).cast("decimal(38,0)")).alias("shape"))
     shaped = stage(lines.select("doc_id", "version", "place", "leaf", "kind").join(shapes, ["leaf", "kind"]).drop("kind"), "shaped")
+    release(lines, kinds)
     place = F.struct("doc_id", "version", "place")
     per_doc = shaped.groupBy("leaf", "shape", "doc_id", "version").agg(F.min(place).alias("first"))
     recurring = per_doc.groupBy("leaf", "shape").agg(F.count("*").alias("d"), F.min("first").alias("first")).where(F.col("d") >= min_docs)

@@ -122,6 +122,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, bits: int = MAX_BITS) -> Da
     roots = components(near_links(distinct.select("fp"), bits))
     classes = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     classes = stage(classes, "fingerprint-classes")
+    release(distinct)
     smallest = classes.groupBy("root").agg(F.min("first").alias("component_id"))
     of = classes.join(smallest, "root").select("fp", "component_id")
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
