@@ -198,6 +198,19 @@ def page(main, extra=""):
     return f'<html><head><title>T</title><style>p{{}}</style></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice">We use</div>{main}{extra}<footer>(c)</footer><script>x("<p>no</p>")</script></body></html>'
 
 
+def test_html_layouts_of_one_host(spark):
+    inner = '<article><h1 class="header">A</h1><p class="lead">one</p><p class="advert">buy</p><div class="w-1/2">two</div></article>'
+    rows = [
+        (1, page(inner, '<section><article class="comment"><p>I say</p></article></section>')),
+        (2, page('<div class="content"><p>three</p><ul class="share"><li>post it</li></ul></div>')),
+        (3, page("<div><p>four words are here</p></div>")),
+        (4, page('<div><a href="/">more</a></div>')),
+    ]
+    d = spark.createDataFrame([(k, "http://h/x", h) for k, h in rows], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_wrappers.extract(d).collect()}
+    assert {k: got[k] for k in (1, 2, 3)} == {1: "A one two", 2: "three", 3: "four words are here"}
+
+
 def test_html_wrappers(spark):
     rows = [
         (1, "http://a.com/1", page("<article><h1>One &amp; two</h1><p>First  <b>bo</b>ld<br>line</p><p>Next</p></article>")),
