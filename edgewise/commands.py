@@ -13,6 +13,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from edgewise import graph as G
+from edgewise.functions import routes as router
+from edgewise.functions import sqlrel, wrappers
 from edgewise.functions.ids import utf16_key
 from edgewise.operators import cycles, diff, queries, rules, traversal
 from edgewise.operators.reach import reachable
@@ -112,6 +114,37 @@ class Session:
         out, reasons = traversal.traverse(self.g, [r for r in roots if r in have], dependents, depth, max, members)
         return {"graphRevision": export.graph_revision(self.g), "reached": rows(out.orderBy("depth", utf16_key(F.col("id")))), "truncation": reasons, "missingRoots": missing}
 
+    # Commands over fact tables take the paths of Parquet tables.
+
+    def _table(self, path):
+        return self.g.spark.read.parquet(path)
+
+    def unused_deps(self, requires, imports, **_):
+        return {"unused": rows(documents.unused_requires(self._table(requires), self._table(imports)).orderBy("module"))}
+
+    def schema(self, texts, column="text", **_):
+        found = sqlrel.relation_facts(self._table(texts), column)
+        return {"facts": rows(found.orderBy(*(c for c in ("path", "line", "column", column) if c in found.columns)))}
+
+    def routes(self, registrations, routers, parents, slash_middleware=(), **_):
+        got = router.route_facts(self._table(registrations), self._table(routers), self._table(parents), self.g.vertices, tuple(slash_middleware))
+        limits, scopes = router.limitations(got.gaps)
+        return {"facts": rows(router.ordered_routes(got.facts)), "limitations": limits, "limitationScopes": scopes}
+
+    def bridges(self, calls, wrappers_file, declared, direct=None, **_):
+        """Client calls: those of declared wrappers, and ``direct`` ones in the columns of ``client_facts``.
+        ``declared``: owner, name and vertex id of the declarations that were read."""
+        mine = wrappers.load_wrappers(documents.read_text(wrappers_file, wrappers.MAX_BYTES))
+        made = stage(wrappers.wrapper_calls(self._table(calls), mine), "wrapper-calls")
+        known = self._table(declared)
+        no, yes = F.lit(False), F.lit(True)
+        every = made.where("bound").withColumns({"unresolved": no, "parameter": no, "from_wrapper": yes})
+        if direct:
+            every = every.unionByName(self._table(direct), allowMissingColumns=True)
+        bodies = known.join(self.g.spark.createDataFrame([(w["owner"], w["name"]) for w in mine], "owner string, name string"), ["owner", "name"])
+        facts, counts = wrappers.client_facts(every, bodies.select(F.col("id").alias("owner")), self.g.vertices)
+        return {"facts": rows(wrappers.ordered_calls(facts)), "counts": rows(counts)[0], "wrappers": rows(wrappers.wrapper_gaps(made, mine, known).orderBy("wrapper"))}
+
     def mermaid(self, level="", **_):
         return export.mermaid(G.view(self.g, level) if level else self.g)
 
@@ -120,7 +153,7 @@ class Session:
 
 
 TOOLS = ["summary", "query", "impact", "path", "shared", "cycles", "dead", "rules", "metrics", "mapping"]
-COMMANDS = [*TOOLS, "graph", "explain", "diff", "init", "reach", "mermaid", "dot"]
+COMMANDS = [*TOOLS, "graph", "explain", "diff", "init", "reach", "mermaid", "dot", "unused-deps", "schema", "routes", "bridges"]
 
 
 def handle(session: Session, message: str) -> dict | None:
@@ -177,7 +210,7 @@ def main(argv: list[str] | None = None) -> int:
         if a.command == "mcp":
             serve(session)
             return 0
-        result = getattr(session, a.command)(**arguments)
+        result = getattr(session, a.command.replace("-", "_"))(**arguments)
     except Exception as e:
         print(f"{TOOL}: {export.escape_text(str(e))}", file=sys.stderr)
         return 2

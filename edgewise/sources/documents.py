@@ -46,7 +46,8 @@ def load_tables(spark: SparkSession, vertices: str, edges: str, meta: Meta | Non
     return graph(spark.read.parquet(vertices), spark.read.parquet(edges), meta)
 
 
-def _regular(path: str, most: int) -> str:
+def read_text(path: str, most: int) -> str:
+    """A regular file of at most ``most`` bytes."""
     s = os.stat(path)
     if not stat.S_ISREG(s.st_mode):
         raise ValueError(f"no regular file: {path}")
@@ -66,7 +67,7 @@ def find_rules(folder: str) -> str | None:
 
 def load_rules(path: str) -> Rules:
     """A YAML (or JSON) rules file, checked."""
-    text = _regular(path, MAX_RULES_BYTES)
+    text = read_text(path, MAX_RULES_BYTES)
     try:
         import yaml
 
@@ -82,7 +83,7 @@ def load_rules(path: str) -> Rules:
 
 def load_baseline(path: str, tool: str, kind: str) -> list:
     """Entries of a baseline file of one tool and kind."""
-    raw = json.loads(_regular(path, MAX_RULES_BYTES))
+    raw = json.loads(read_text(path, MAX_RULES_BYTES))
     if raw.get("tool") != tool or raw.get("kind") != kind or raw.get("version") != 1:
         raise ValueError(f"no {kind} of {tool}, version 1: {path}")
     return raw.get({"violations-baseline": "violations", "cycles-baseline": "cycles", "dead-baseline": "findings"}[kind], [])

@@ -150,3 +150,27 @@ def test_client_facts(spark):
     facts, counts = wrappers.client_facts(all_calls.union(all_calls).union(inner).union(outer), spark.createDataFrame([("w",)], "owner string"), _vertices(spark, "f"))
     assert sorted((r.symbol or "", r.dynamic) for r in facts.collect()) == [("", True), ("f", False)]
     assert counts.first().asDict() == {"missing_symbols": 1, "unresolved_bases": 0, "ambiguous_joins": 0, "undeclared_wrappers": 1}
+
+
+def test_commands_over_fact_tables(spark, tmp_path):
+    from edgewise.commands import Session
+    from edgewise.graph import EDGE, VERTEX, graph
+
+    vertex = {"id": "h", "kind": "func", "name": "h"}
+    g = graph(spark.createDataFrame([tuple(vertex.get(n) for n in VERTEX.names)], VERTEX), spark.createDataFrame([], EDGE))
+    session = Session(g)
+
+    def saved(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / name))
+        return str(tmp_path / name)
+
+    got = session.routes(saved("regs", [(1, "g", "gin", "/a", ["GET"], False, "h", False, "a.go", 1, 1)], REGS), saved("routers", [("g", False, "strict")], ROUTERS), saved("parents", [], PARENTS))
+    assert [(f["channel"], f["slash"], f["symbol"]) for f in got["facts"]] == [("/a", "strict", "h")] and got["limitations"] == []
+    unused = session.unused_deps(saved("requires", [("m/a", False), ("m/b", True)], "module string, indirect boolean"), saved("imports", [("m/a/x", None)], "path string, module string"))
+    assert [x["module"] for x in unused["unused"]] == ["m/b"]
+    assert session.schema(saved("texts", [("SELECT * FROM t",)], "text string"))["facts"][0]["relations"] == ["t"]
+    calls = [("h", "m/api", "Do", [("path", None, "/x", [("lit", "/x")]), ("path", None, "/x", [("lit", "/x")])], "a.go", 1, 1)]
+    schema = "owner string, callee_owner string, callee_name string, arguments array<struct<label:string,enumCase:string,literal:string,parts:array<struct<kind:string,text:string>>>>, path string, line int, column int"
+    (tmp_path / "w.json").write_text(json.dumps({"format": "http-wrappers", "version": 1, "wrappers": [{**WRAPPER, "methodArg": None, "defaultMethod": "GET"}]}))
+    got = session.bridges(saved("calls", calls, schema), str(tmp_path / "w.json"), saved("declared", [("m/api", "Do", "m/api.Do")], "owner string, name string, id string"))
+    assert [(f["method"], f["channel"], f["symbol"]) for f in got["facts"]] == [("GET", "/x", "h")] and got["wrappers"] == [] and got["counts"]["missing_symbols"] == 0
