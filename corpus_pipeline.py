@@ -28,14 +28,19 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of near-duplicates, one row of it."""
+    """The document of the smallest doc_id of each group of near-duplicates, one row of it.
+
+    Documents without an id cannot be told apart by it: one of each equal text stays.
+    """
     groups = simhash.near_duplicates(docs, width=5)
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    kept = docs.select(*COLUMNS).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    loose = docs.select(*COLUMNS).where("doc_id is null").dropDuplicates(["text"])
+    return kept.select(*COLUMNS).unionByName(loose)
 
 
 def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
+    """Documents without a benchmark item; a find in a document without an id drops none."""
     found = latent_leaks.leaks(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.select(*COLUMNS).join(found, "doc_id", "left_anti").select(*COLUMNS)
 

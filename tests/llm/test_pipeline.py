@@ -43,3 +43,12 @@ def test_stages(spark):
 
 def test_run_returns_the_last_stage(spark):
     assert P.run(spark, "/root/testdata/sf0.001").columns[:3] == ["doc_id", "start", "length"]
+
+
+def test_near_stage_keeps_documents_without_an_id(spark):
+    one, two, three = (" ".join(f"{w}{k}" for k in range(40)) for w in ("a", "b", "c"))
+    rows = [(2, one), (1, one), (None, two), (None, two), (None, three), (3, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = P.near_stage(spark, docs, SF)
+    assert out.columns == P.COLUMNS
+    assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == [(0, two), (0, three), (1, one), (3, "")]
