@@ -224,6 +224,15 @@ def test_html_wrappers(spark):
     assert html_wrappers.extract(d).count() == 7 and html_wrappers.extract(d.limit(0)).count() == 0
 
 
+def test_html_texts_fixed_over_a_host_are_left_out(spark):
+    body = lambda k: page(f'<article><h1>Title {k}</h1><p>Own text {k}</p><p>Read our terms</p><p>More of {k}</p><div class="c12">All rights kept</div></article>')
+    same = page("<article><p>An article found three times</p></article>")
+    rows = [*((k, f"http://h/{k}", body(k)) for k in range(4)), *((k, f"http://g/{k}", same) for k in range(4, 7)), (7, "http://f/7", body(7)), (8, "http://f/8", body(8))]
+    got = {r.page_id: r.text for r in html_wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"Title {k} Own text {k} More of {k}" for k in range(4))
+    assert all(got[k] == "An article found three times" for k in range(4, 7)) and all("Read our terms" in got[k] for k in (7, 8))
+
+
 def test_wrappers_have_optional_and_repeated_groups():
     one, two = (html_wrappers.wrap(html_wrappers.slots(page(f"<article><h1>{t}</h1>{x}<dl><dt>a</dt><dd>b</dd><dt>c</dt><dd>d</dd></dl></article>"))) for t, x in (("A", ""), ("B", "<p>only here</p>")))
     items = {x["k"].rsplit("/", 1)[-1]: x for x in html_wrappers.join_wrappers(one, two)[0]}
