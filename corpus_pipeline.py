@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgewise.llm import latent_leaks, line_templates, packing, quality, simhash
+from edgewise.llm import latent_leaks, line_templates, near_copies, packing, quality
 from edgewise.llm.queries import crc_mod, word_tokenizer
 from edgewise.session import read_table, stage
 
@@ -30,9 +30,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest doc_id of each group of near-duplicates, one row of it.
 
-    Documents without an id cannot be told apart by it: one of each equal text stays.
+    Near-duplicates share 0.8 or more of their shingles of five words (Jaccard). Documents without an id cannot be told apart by it: one of each equal text stays.
     """
-    groups = simhash.near_duplicates(docs, width=5)
+    groups = near_copies.near_copies(docs, width=5)
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.select(*COLUMNS).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     loose = docs.select(*COLUMNS).where("doc_id is null").dropDuplicates(["text"])

@@ -27,21 +27,33 @@ SEED = 42
 MAX_BITS = 3
 
 
-def fingerprint(text: str, width: int) -> int:
-    """SimHash of the shingles of one text, with repeats."""
-    from xxhash import xxh64_intdigest
-
+def shingles(text: str, width: int) -> list[bytes]:
+    """Shingles of one text, with repeats; fewer than ``width`` words are one."""
     words = text.encode().lower().split()
     if not words:
-        return 0
-    shingles = map(b" ".join, zip(*(words[k:] for k in range(width)))) if len(words) >= width else [b" ".join(words)]
-    hashes = np.fromiter((xxh64_intdigest(x, SEED) for x in shingles), np.uint64)
+        return []
+    return [*map(b" ".join, zip(*(words[k:] for k in range(width))))] if len(words) >= width else [b" ".join(words)]
+
+
+def shingle_hashes(text: str, width: int) -> np.ndarray:
+    from xxhash import xxh64_intdigest
+
+    return np.fromiter((xxh64_intdigest(x, SEED) for x in shingles(text, width)), np.uint64)
+
+
+def bits_of(hashes: np.ndarray) -> int:
+    """The bits that are set in more than half of ``hashes``."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65_536):
         ones += np.unpackbits(hashes[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str, width: int) -> int:
+    """SimHash of the shingles of one text, with repeats."""
+    return bits_of(shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, fp long) for each row; one narrow pass."""
 

@@ -1,5 +1,7 @@
 """The pipeline's stages on a small corpus, each held against what it must decide."""
 
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -52,3 +54,34 @@ def test_near_stage_keeps_documents_without_an_id(spark):
     out = P.near_stage(spark, docs, SF)
     assert out.columns == P.COLUMNS
     assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == [(0, two), (0, three), (1, one), (3, "")]
+
+
+def test_near_stage_equals_brute_force_jaccard(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(*P.COLUMNS)
+    words = [f"w{k}" for k in range(200)]
+    edits = [(10**6 + n, " ".join([*words[:50], *(f"x{n}" for _ in range(n)), *words[50 + n :]])) for n in (0, 10, 15, 30, 60)]
+    # A large group of copies, each with ten words of its own in a row.
+    edits += [(2 * 10**6 + n, " ".join(f"v{k}" if not n <= k < n + 10 else f"u{n}" for k in range(300))) for n in range(40)]
+    docs = docs.union(spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in edits], "doc_id long, text string, lang string, source string, n_chars long"))
+    sets, where = {}, {}
+    for r in docs.select("doc_id", "text").collect():
+        w = (r.text or "").encode().lower().split()
+        sets[r.doc_id] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+        for x in sets[r.doc_id]:
+            where.setdefault(x, []).append(r.doc_id)
+    group = {i: i for i in sets}
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i, x in sets.items():
+        shared = Counter(j for y in x for j in where[y] if j < i)
+        for j, n in shared.items():
+            if n >= 0.8 * (len(x) + len(sets[j]) - n):
+                a, b = sorted((root(i), root(j)))
+                group[b] = a
+    got = {r.doc_id for r in P.near_stage(spark, docs, SF).select("doc_id").collect()}
+    assert got == {i for i in sets if root(i) == i}
+    assert 10**6 + 10 not in got and 10**6 + 15 not in got and 10**6 + 60 in got
