@@ -1,7 +1,8 @@
 """Secret scan with a random forest against false positives; DataFrame operations only.
 
-Candidates are runs of at least 16 key characters with a digit, and shorter mixed runs
-right after a word that announces a secret. Each has features of its length, its
+Candidates are runs of at least 16 key characters with a digit, and runs of at least 8
+right after a word that announces a secret, which are mixed or follow a colon or equals
+sign. All runs of a blank-separated word are looked at, each with its own surroundings. Each has features of its length, its
 character classes and transitions, the share that dictionary words cover, path and
 address marks, and the words before and after it. A random forest of Spark's own
 library, trained on labelled findings, scores them.
@@ -9,8 +10,8 @@ library, trained on labelled findings, scores them.
 The labelled findings are a parameter (word, before, after, label); by default they are
 made from a rule (:func:`labelled_findings`), a fixed number at any size of the corpus.
 
-Defined cases: null and empty texts have no candidates; a text without a digit or an
-announcing word is passed over; repeated rows are scanned one by one, equal candidates
+Defined cases: null and empty texts have no candidates; a text without a long run with a digit
+or an announcing word is passed over; repeated rows are scanned one by one, equal candidates
 of a text are separate findings; extra columns are ignored.
 """
 
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 RUN = r"[A-Za-z0-9_+/=.~-]{16,}"
 SHORT = r"[A-Za-z0-9_+/=.~!@^-]{8,}"
 ANNOUNCE = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key)s?['\"]?\s*[:=]*>?$"
+KEYWORD = r"(?i)(pass|pwd|secret|token|key|auth|bearer|credential)"
 #: Words of identifiers and file names, and words that stand by what is no secret.
 WORDS = "access|account|address|admin|api|apache|backup|base|build|bucket|card|class|client|code|com|commit|config|content|data|date|default|demo|dev|document|dummy|example|field|file|function|hash|hello|html|http|https|image|img|index|info|item|json|key|license|list|local|mail|main|message|method|module|name|node|null|number|object|order|page|password|path|phone|photo|prod|public|report|request|sample|secret|server|service|string|system|table|test|time|token|type|update|url|user|value|version|www|your"
 BENIGN = r"(?i)\b(commit|sha1|sha256|md5|checksum|digest|revision|uuid|guid|card|visa|iban|isbn|phone|tel|call|order|invoice|tracking|version|example|sample|dummy|placeholder|fake|test)\b"
@@ -93,24 +95,46 @@ def train(findings: DataFrame):
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, place, word, before, after): candidates of ``docs`` (doc_id, text) by word number."""
-    likely = docs.select("doc_id", "text").where(F.col("text").rlike(r"[0-9]") & F.col("text").rlike(RUN + r"|(?i)(pass|pwd|secret|token|key|auth|bearer|credential)"))
+    """(doc_id, place, run, word, before, after): candidates of ``docs`` (doc_id, text) by word number and
+    number of the run in its word; ``word`` is the run with the character on either side of it."""
+    text, digit = F.col("text"), lambda x: x.rlike("[0-9]")
+    likely = docs.select("doc_id", "text").where((digit(text) & text.rlike(RUN)) | text.rlike(KEYWORD))
     words = likely.select("doc_id", F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "").alias("words"))
     said = lambda i: F.array_join(F.slice(F.col("words"), F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3))), " ")
-    long_ = lambda x: x.rlike(RUN) & F.regexp_extract(x, RUN, 0).rlike("[0-9]")
-    short = lambda x, i: (F.length(x) >= 8) & x.rlike(SHORT) & x.rlike("[0-9]") & x.rlike("[A-Za-z]") & said(i).rlike(ANNOUNCE)
-    hits = F.filter(F.transform("words", lambda x, i: F.when(long_(x) | short(x, i), i)), lambda i: i.isNotNull())
+    worth = lambda x, i: x.rlike(SHORT) & ((x.rlike(RUN) & digit(x)) | x.rlike(KEYWORD) | said(i).rlike(ANNOUNCE))
+    hits = F.filter(F.transform("words", lambda x, i: F.when(worth(x, i), i)), lambda i: i.isNotNull())
     out = words.select("doc_id", "words", F.explode(hits).alias("place"))
-    after = F.array_join(F.slice("words", F.col("place") + 2, 3), " ")
-    return out.select("doc_id", "place", F.get("words", F.col("place")).alias("word"), F.when(F.col("place") > 0, said(F.col("place"))).otherwise("").alias("before"), after.alias("after"))
+    whole = F.get("words", F.col("place"))
+    out = out.select(
+        "doc_id", "place", F.when(F.col("place") > 0, said(F.col("place"))).otherwise("").alias("said"),
+        F.array_join(F.slice("words", F.col("place") + 2, 3), " ").alias("next"),
+        F.regexp_extract_all(whole, F.lit(SHORT), F.lit(0)).alias("runs"), F.split(whole, SHORT).alias("gaps"),
+    )
+    # Gap i stands before run i and gap i + 1 after it.
+    near = lambda name, i: F.coalesce(F.get(name, i), F.lit(""))
+    out = out.select("doc_id", "place", "said", "next", "runs", "gaps", F.posexplode("runs").alias("run", "core"))
+    k = F.col("run")
+    lead, tail = F.concat(near("runs", k - 1), near("gaps", k)), F.concat(near("gaps", k + 1), near("runs", k + 1))
+    out = out.select(
+        "doc_id", "place", "said", "run", "core", F.regexp_replace(F.trim(F.concat_ws(" ", "said", lead)), r"['\"\s]+$", "").alias("before"),
+        F.trim(F.concat_ws(" ", tail, "next")).alias("after"), F.right(near("gaps", k), F.lit(1)).alias("left"), F.left(near("gaps", k + 1), F.lit(1)).alias("right"),
+        F.filter(F.regexp_extract_all("core", F.lit(RUN), F.lit(0)), digit).alias("long"),
+    )
+    core = F.col("core")
+    heard = F.concat_ws(" ", "before", F.regexp_extract(core, "^([^=]*=)", 1))
+    announced = ((F.col("said").rlike(ANNOUNCE) & (k == 0)) | F.col("before").rlike(ANNOUNCE) | F.rtrim(heard).rlike(ANNOUNCE)) & ((digit(core) & core.rlike("[A-Za-z]")) | F.rtrim(heard).rlike("[:=]>?$"))
+    one = F.array(F.concat("left", "core", "right"))
+    # The marks of short runs may join two long ones.
+    found = F.when(F.size("long") > 1, F.col("long")).when((F.size("long") == 1) | announced, one)
+    return out.select("doc_id", "place", "run", F.explode(found).alias("word"), "before", "after")
 
 
 def scan(docs: DataFrame, findings: DataFrame | None = None, least: float = 0.5) -> DataFrame:
-    """(doc_id, place, word, score, secret) of every candidate in ``docs`` (doc_id, text)."""
+    """(doc_id, place, run, word, score, secret) of every candidate in ``docs`` (doc_id, text)."""
     from pyspark.ml.functions import vector_to_array
 
     model = train(labelled_findings(docs.sparkSession) if findings is None else findings)
     found = candidates(docs)
-    rows = found.select("doc_id", "place", "word", *features(F.col("word"), F.col("before"), F.col("after")))
+    rows = found.select("doc_id", "place", "run", "word", *features(F.col("word"), F.col("before"), F.col("after")))
     score = vector_to_array(F.col("_probability"))[1]
-    return model.transform(rows).select("doc_id", "place", "word", score.alias("score"), (score >= least).alias("secret"))
+    return model.transform(rows).select("doc_id", "place", "run", "word", score.alias("score"), (score >= least).alias("secret"))
