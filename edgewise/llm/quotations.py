@@ -2,8 +2,9 @@
 
 A line's quote level is its number of leading ``>`` marks. Runs of one level are quoted
 passages; each passage and each of its lines is normalised (case, blanks) and hashed,
-and joined by hash to the own words of earlier messages of the conversation, or, failing
-that, to the first message anywhere that says them. A message answers the original with
+and joined by hash to the own words of the latest earlier message of the conversation, or,
+failing that, to the first message of the first other conversation that says them. Lines
+under LEAST_CHARS are not matched alone; passages as short are, inside the conversation. A message answers the original with
 most matching lines (of several, the latest; a passage matched in whole counts as all
 its lines and one more). Without a match it answers the message before it. Quoted lines
 go; lines that announce a quote go with them.
@@ -65,11 +66,11 @@ def said_hashes(parsed: DataFrame) -> DataFrame:
     """(conv_id, turn, h): hashes of each message's own lines and of its whole own text."""
     lines = parsed.select("conv_id", "turn", F.explode("lines").alias("x")).where("x.level = 0").select("conv_id", "turn", normal(F.col("x.line")).alias("t"))
     whole = parsed.select("conv_id", "turn", normal(own_text(F.col("lines"), F.col("text"))).alias("t"))
-    return lines.union(whole).where(F.length("t") >= LEAST_CHARS).select("conv_id", "turn", F.xxhash64("t").alias("h")).distinct()
+    return lines.union(whole).where("t <> ''").select("conv_id", "turn", F.xxhash64("t").alias("h")).distinct()
 
 
 def quoted_hashes(parsed: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, level, h, weight): hashes of quoted lines and of whole quoted passages."""
+    """(conv_id, turn, role, level, h, weight, short): hashes of quoted lines and of whole quoted passages."""
     key = ["conv_id", "turn", "role"]
     quotes = F.filter("lines", lambda x: x["level"] > 0)
     # A passage breaks where the level changes or unquoted lines stand between.
@@ -82,7 +83,20 @@ def quoted_hashes(parsed: DataFrame) -> DataFrame:
     run = F.expr("filter(p.run, (x, i) -> x.place = p.from + i)")
     whole = whole.select(*key, F.col("p.level").alias("level"), normal(F.array_join(F.transform(run, lambda x: x["line"]), " ")).alias("t"), (F.size(run) + 1).alias("weight"))
     lines = parsed.select(*key, F.explode(quotes).alias("x")).select(*key, F.col("x.level").alias("level"), normal(F.col("x.line")).alias("t"), F.lit(1).alias("weight"))
-    return whole.union(lines).where(F.length("t") >= LEAST_CHARS).select(*key, "level", F.xxhash64("t").alias("h"), "weight")
+    every = whole.where("t <> ''").union(lines.where(F.length("t") >= LEAST_CHARS))
+    return every.select(*key, "level", F.xxhash64("t").alias("h"), "weight", (F.length("t") < LEAST_CHARS).alias("short"))
+
+
+def latest_said(said: DataFrame, quotes: DataFrame) -> DataFrame:
+    """(conv_id, h, turn, near_turn): the last turn before each quoting turn that says h in its
+    conversation, in windows of SPAN turns."""
+    key = ["conv_id", "h"]
+    turns = said.select(*key, "turn", F.col("turn").alias("own")).union(quotes.select(*key, "turn", F.lit(None).cast("long"))).groupBy(*key, "turn").agg(F.max("own").alias("own"))
+    turns = turns.withColumn("span", F.floor(F.col("turn") / SPAN))
+    ends = turns.groupBy(*key, "span").agg(F.max("own").alias("last"))
+    carry = ends.select(*key, "span", F.max("last").over(Window.partitionBy(*key).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)).alias("carry"))
+    inner = turns.withColumn("near", F.max("own").over(Window.partitionBy(*key, "span").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)))
+    return _match(inner, carry, [*key, "span"]).select(*key, "turn", F.coalesce("near", "carry").alias("near_turn")).where("near_turn is not null")
 
 
 def links(parsed: DataFrame) -> DataFrame:
@@ -90,17 +104,21 @@ def links(parsed: DataFrame) -> DataFrame:
     quotes = stage(quoted_hashes(parsed), "quotes")
     asked = quotes.select("h").distinct()
     said = stage(said_hashes(parsed).join(asked, "h", "left_semi"), "said")
-    near = said.groupBy("conv_id", "h").agg(F.min("turn").alias("near_turn"))
-    far = said.groupBy("h").agg(F.min(F.struct("conv_id", "turn")).alias("far"))
-    found = quotes.join(near, ["conv_id", "h"], "left").join(far, "h", "left")
-    inside = F.col("near_turn") < F.col("turn")
+    near = latest_said(said, quotes)
+    # The two smallest conversations that say it: the first may be the quoting one.
+    other = said.groupBy("conv_id", "h").agg(F.min("turn").alias("at"))
+    far = other.groupBy("h").agg(F.min(F.struct("conv_id", "at")).alias("far"))
+    second = other.join(far, "h").where("conv_id <> far.conv_id").groupBy("h").agg(F.min(F.struct("conv_id", "at")).alias("second"))
+    found = _match(quotes, near, ["conv_id", "h", "turn"]).join(far, "h", "left").join(second, "h", "left")
+    inside = F.col("near_turn").isNotNull()
+    far = F.when(~F.col("short"), F.when(F.col("far.conv_id").eqNullSafe(F.col("conv_id")), F.col("second")).otherwise(F.col("far")))
     found = found.select(
         "conv_id", "turn", "role", "level", "weight",
-        F.when(inside, F.col("conv_id")).otherwise(F.col("far.conv_id")).alias("to_conv"),
-        F.when(inside, F.col("near_turn")).otherwise(F.col("far.turn")).alias("to_turn"),
+        F.when(inside, F.col("conv_id")).otherwise(far["conv_id"]).alias("to_conv"),
+        F.when(inside, F.col("near_turn")).otherwise(far["at"]).alias("to_turn"),
         inside.cast("int").alias("inside"),
     )
-    found = found.where("to_conv is not null and not (to_conv = conv_id and to_turn >= turn)")
+    found = found.where("to_turn is not null")
     # The outermost quote is what is answered; deeper ones are what that answered.
     votes = found.groupBy("conv_id", "turn", "role", "to_conv", "to_turn").agg(F.min("level").alias("level"), F.sum("weight").alias("votes"), F.max("inside").alias("inside"))
     best = F.max_by(F.struct("to_conv", "to_turn"), F.struct(F.coalesce("inside", F.lit(0)), -F.col("level"), "votes", "to_turn", "to_conv"))

@@ -185,6 +185,19 @@ def test_quotations(spark):
     assert quotations.conversations(m).count() == 8 and quotations.conversations(m.limit(0)).count() == 0
 
 
+def test_quotes_answer_the_latest_original(spark):
+    rows = [
+        *((1, k, "user", "What is the answer?" if k in (1, 9, 700, 2000) else f"message number {k}") for k in range(12)), (1, 700, "user", "What is the answer?"),
+        (1, 12, "user", "> What is the answer?\nIt is this."), (1, 1200, "user", "> What is the answer?\nStill this."), (1, 2000, "user", "What is the answer?"),
+        (2, 0, "user", "> only said later\nNo."), (2, 1, "user", "only said later"), (3, 5, "user", "only said later"), (4, 0, "user", "only said later"),
+        (5, 0, "user", "Yes."), (5, 1, "user", "No."), (5, 2, "user", "> Yes.\nWhy so?"), (6, 0, "user", "> Yes.\nNot said here"),
+    ]
+    m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.parent_conv, r.parent_turn, r.n_links) for r in quotations.conversations(m).collect()}
+    assert got[1, 12] == (1, 9, 1) and got[1, 1200] == (1, 700, 1)
+    assert got[2, 0] == (3, 5, 1) and got[5, 2] == (5, 0, 1) and got[6, 0] == (None, None, 0)
+
+
 def test_a_long_conversation_is_ordered_in_spans(spark):
     m = spark.range(1000).select(F.lit(1).cast("long").alias("conv_id"), (F.col("id") * 3).alias("turn"), F.lit("u").alias("role"), F.concat(F.lit("message number "), "id").alias("text"))
     got = {r.turn: r.parent_turn for r in quotations.conversations(m).collect()}
