@@ -246,11 +246,95 @@ def test_html_texts_fixed_over_a_host_are_left_out(spark):
     assert all(got[k] == "An article found three times" for k in range(4, 7)) and all("Read our terms" in got[k] for k in (7, 8))
 
 
-def test_wrappers_have_optional_and_repeated_groups():
-    one, two = (html_wrappers.wrap(html_wrappers.slots(page(f"<article><h1>{t}</h1>{x}<dl><dt>a</dt><dd>b</dd><dt>c</dt><dd>d</dd></dl></article>"))) for t, x in (("A", ""), ("B", "<p>only here</p>")))
-    items = {x["k"].rsplit("/", 1)[-1]: x for x in html_wrappers.join_wrappers(one, two)[0]}
-    assert items["article p"]["o"] and not items["article h1"]["o"] and items["article h1"]["t"] is None
-    assert items["dl dt"]["r"] and items["dl dd"]["r"] and items["ul li"]["t"] is not None
+def stream(html):
+    return [(s, p, k, html_wrappers.literal_of(s, t), -len(t) if link else len(t)) for s, p, k, t, link in html_wrappers.slots(html)]
+
+
+def test_wrappers_have_optional_and_repeated_groups_and_literals():
+    W = html_wrappers
+    pages = [stream(page(f"<article><h1>{t}</h1>{x}<p>Always the same</p><dl><dt>a</dt><dd>{t}b</dd><dt>c</dt><dd>{t}d</dd><dt>e</dt><dd>f</dd></dl></article>")) for t, x in (("A", ""), ("B", "<h2>only here</h2>"))]
+    fixed = frozenset({pages[0][1][3]})
+    items = W.align(*(W.wrap(x, fixed) for x in pages))
+    h1, h2, p, dt, dd = items
+    assert h2[W.OPTIONAL] and not h1[W.OPTIONAL] and p[W.LITERAL] and not h1[W.LITERAL]
+    assert dt[W.REPEATED] and dd[W.REPEATED] and not h1[W.REPEATED] and h1[W.PAGES] == 2
+    assert re.fullmatch(r"#\w+ \(#\w+\)\? =\w+ \(#\w+ #\w+\)\+", W.expression(items))
+    assert W.fields(items)[p[W.KEY]] == W.OUT and W.fields(items)[h1[W.KEY]] == W.ARTICLE
+
+
+def test_a_repeated_group_of_any_length_folds():
+    group = [[k, False, False, False, 1, 5, 0, 2, 1] for k in range(40)]
+    assert len(html_wrappers.fold([list(x) for x in group * 5])) == 40
+
+
+def test_the_wrapper_decides(spark):
+    """No name tells the blocks of this host apart: its wrapper does."""
+    words = "mercury venus earth mars jupiter saturn uranus neptune".split()
+
+    def body(k):
+        own = f"<p>{words[k]} moves in {k} ways</p><p>It is seen {words[-k]} at night {k}</p>"
+        menu = "".join(f'<p><a href="/{k}{j}">{words[j]} {k}</a></p>' for j in range(5))
+        return f'<html><body><div class="c12"><span>Call us today</span></div><div class="c{k}">{own}</div><div class="c13"><div>{menu}</div></div><p>All rights kept</p></body></html>'
+
+    rows = [(k, f"http://h/{k}", body(k)) for k in range(1, 8)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_wrappers.extract(d).collect()}
+    for k, _, h in rows:
+        own = f"{words[k]} moves in {k} ways It is seen {words[-k]} at night {k}"
+        assert got[k] == own
+        bare = " ".join(html_wrappers.article(html_wrappers.slots(h), {}))
+        assert "Call us today" in bare and "All rights kept" in bare and f"mars {k}" in bare
+
+
+def test_html_names_count_in_whole_and_articles_lose_nothing_else(spark):
+    keep = ["related-work", "social-history", "search-methods", "side-effects", "tags-of-war", "menuetto"]
+    drop = ["related", "related-posts", "social-share", "site-footer", "cookie-notice", "ad-slot-3", "post-comments"]
+    html = page("<article>" + "".join(f'<div class="{c} x9"><p>in {c}</p></div>' for c in keep + drop) + "<p>last</p></article>")
+    got = html_wrappers.extract(spark.createDataFrame([(1, "http://h/1", html)], "page_id long, url string, html string")).first()
+    assert got.text == " ".join([*(f"in {c}" for c in keep), "last"])
+
+
+def test_html_tags_with_odd_quotes():
+    texts = lambda h: [x[3] for x in html_wrappers.slots(h)]
+    assert texts("<p title='a>b\">one</p><p>two</p>") == ["one", "two"]
+    assert texts('<p title="x > y" class=a>one</p>') == ["one"] and texts("<p title='it\"s'>one</p>") == ["one"]
+    assert texts('<p title="say "hi" now">one</p>it\'s <b>2 < 3</b> &amp; more') == ["one", "it's 2 < 3 & more"]
+    assert texts("a<!-- <p>x</p> -->b<script>if (a</b/) '</p>'</script><p>c") == ["ab", "c"]
+
+
+@pytest.mark.parametrize("html", ["<p title='" * 100_000, "<div>" * 200_000, "<a<b" * 250_000, "<!" * 500_000, '<p a="b" ' * 110_000, "<b><div>" * 60_000 + "</b>" * 100_000])
+def test_html_of_a_megabyte_is_read_in_linear_time(html):
+    import time
+
+    began = time.process_time()
+    half = html[: len(html) // 2]
+    html_wrappers.slots(half)
+    part = time.process_time() - began
+    html_wrappers.slots(html)
+    assert time.process_time() - began - part < 4 * part + 0.5
+
+
+def by_regex(html):
+    """The article of a plain page by splitting its text at block tags."""
+    from html import unescape
+
+    m = re.search(r"<article[^>]*>(.*?)</article>", html or "", re.S)
+    blocks = re.split(r"</?(?:p|h[1-6]|br|li|ul|ol|div)\b[^>]*>", m[1]) if m else []
+    return " ".join(x for x in (re.sub(r"\s+", " ", unescape(re.sub(r"<[^>]*>", "", b))).strip() for b in blocks) if x)
+
+
+def test_html_equals_brute_force(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in html_wrappers.extract(pages).collect()}
+    want = {r.page_id: by_regex(r.html) for r in pages.collect()}
+    assert got == want and any(want.values())
+
+
+def test_html_long_page(spark):
+    text = [f"paragraph {k} of a very long page" for k in range(20_000)]
+    html = page("<article>" + "".join(f"<p>{t}</p><ul><li>{k}</li></ul>" if k % 7 == 0 else f"<p>{t}</p>" for k, t in enumerate(text)) + "</article>")
+    got = html_wrappers.extract(spark.createDataFrame([(1, "http://h/1", html)], "page_id long, url string, html string")).first()
+    assert got.text == " ".join(f"{t} {k}" if k % 7 == 0 else t for k, t in enumerate(text))
 
 
 # repetition
