@@ -1,6 +1,7 @@
 """Corpus pipeline: quality, line dedup, near-dedup, decontamination, packing.
 
-Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept.
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. Extra
+columns are dropped; an empty table stays empty through all stages.
 """
 
 from __future__ import annotations
@@ -16,37 +17,49 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts (score of 0.5 or more)."""
+    """Documents that the quality classifier accepts (score of 0.5 or more), row by row; a null text is
+    scored as an empty one, and without labels, or with one class, every row has the mean label."""
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality").where(crc_mod(3) != 1)
     return quality.accepted(docs.select(*COLUMNS), quality.fitted(docs, labels))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without recurring lines."""
+    """All documents, without recurring lines; null texts stay null, and a text may become empty."""
     out = line_templates.drop_recurring_lines(docs.select(*COLUMNS))
     return out.select(*COLUMNS[:-1], F.length("text").cast("long").alias("n_chars"))
 
 
+def row_key():
+    """A 64-bit key of a row by its doc_id, null told apart, and its text."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+
+
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of near-duplicates, one row of it.
+    """One row of each group of near-duplicates: that of the smallest doc_id, of equal ids the
+    one whose text has the smallest hash; a document without an id only where no other has one.
 
-    Near-duplicates share 0.8 or more of their shingles of five words (Jaccard). Documents without an id cannot be told apart by it: one of each equal text stays.
+    Near-duplicates share 0.8 or more of their shingles of five words (Jaccard), or are
+    connected by such pairs. Rows are told apart by id and text, so different texts
+    of one id, or without an id, are documents of their own; equal rows are one.
     """
-    groups = near_copies.near_copies(docs, width=5)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    loose = docs.select(*COLUMNS).where("doc_id is null").dropDuplicates(["text"])
-    return kept.select(*COLUMNS).unionByName(loose)
+    docs = docs.select(*COLUMNS)
+    classes, _ = near_copies.copy_classes(docs, width=5)
+    keyed = docs.withColumns({"_node": near_copies.node_of(), "_row": row_key()})
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_node", "_row")
+    first = keyed.select("doc_id", "_node", "_row").join(classes, F.col("_node") == F.col("node")).groupBy("root").agg(F.min(rank).alias("first"))
+    return keyed.join(first.select(F.col("first._row").alias("_row")), "_row", "left_semi").dropDuplicates(["_row"]).select(*COLUMNS)
 
 
 def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item; a find in a document without an id drops none."""
-    found = latent_leaks.leaks(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(found, "doc_id", "left_anti").select(*COLUMNS)
+    """Documents without a benchmark item, told apart by id and text, so that no row is dropped for
+    another with its id and none stays for want of one."""
+    keyed = docs.select(*COLUMNS).withColumn("_row", row_key())
+    found = latent_leaks.leaks(keyed.select(F.col("_row").alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_row")).distinct()
+    return keyed.join(found, "_row", "left_anti").select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packed pieces of the documents that are left."""
+    """The packed pieces of the documents that are left; a null or empty text is its end token alone."""
     return packing.pack(docs, word_tokenizer(), with_ids=False).drop("ids")
 
 
@@ -58,8 +71,9 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: A classifier, fingerprints and singular vectors are beyond SQL; tests/llm hold the
-#: stages against brute-force versions.
+#: A classifier, fingerprints and singular vectors are beyond SQL; tests/llm hold the near-dedup,
+#: line and packing stages against brute-force versions, the classifier against labels and
+#: decontamination against the planted items.
 ORACLE_SQL = None
 
 
