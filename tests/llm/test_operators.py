@@ -139,6 +139,60 @@ def test_paraphrases_and_odd(spark, odd, empty, corpus):
     assert latent_leaks.leaks(d, bench.limit(0)).count() == 0
 
 
+def holds(item, words):
+    """Whether some stretch of ``words`` is near-verbatim of ``item`` or a paraphrase that keeps the answer."""
+    n, answer = len(item), latent_leaks.answer_of(item)
+    for at in range(0, max(1, len(words) - n + 1)):
+        near = words[at : at + n + n // 4]
+        if sum(map(set(near).__contains__, item)) < 0.65 * n:
+            continue
+        part = latent_leaks.common_subsequence(item, near) / n
+        if part >= 0.75 or (part >= 0.65 and latent_leaks.common_subsequence(answer, near) >= 0.9 * len(answer)):
+            return True
+    return False
+
+
+def test_paraphrases_are_found_as_by_exhaustive_search(spark, monkeypatch):
+    """Paraphrases of two thirds of an item, in a space that is fitted on a sample."""
+    monkeypatch.setattr(latent_leaks, "FIT_PASSAGES", 3_000)
+    rng = np.random.default_rng(2)
+    docs_ = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    items = [(r.item_id, r.text.split()) for r in bench.collect() if len(r.text.split()) >= 16]
+    plain = [r.text.split() for r in docs_.limit(200).collect()]
+    vocabulary = sorted({w for x in plain for w in x})
+    rows, bare = [], lambda x: [y for y in (w.lower().strip(latent_leaks.MARKS) for w in " ".join(x).encode().split()) if y]
+    for k in range(150):
+        _, item = items[k % len(items)]
+        keep, closing = rng.random(len(item)) < rng.uniform(0.5, 0.85), len(item) - max(3, len(item) // 4)
+        said = [w if keep[i] or i >= closing else str(rng.choice(vocabulary)) for i, w in enumerate(item)]
+        around = plain[k % len(plain)][:200]
+        rows.append((10**6 + k, " ".join([*around[:80], *said, *around[80:]])))
+    want = {(i, item_id) for i, t in rows for item_id, item in items if holds(bare(item), bare(t.split()))}
+    found = latent_leaks.leaks(docs_.union(spark.createDataFrame(rows, "doc_id long, text string")), bench)
+    got = {(r.doc_id, r.item_id) for r in found.where("doc_id >= 1000000").collect()}
+    weak = {(i, k) for i, k in want if latent_leaks.common_subsequence(bare(dict(items)[k]), bare(dict(rows)[i].split())) < 0.75 * len(bare(dict(items)[k]))}
+    print(len(want), len(weak), len(got & want), len(got & weak))
+    assert len(weak) >= 20 and len(got & want) >= 0.9 * len(want) and len(got & weak) >= 0.9 * len(weak)
+
+
+def test_long_items_and_hashes_of_whole_words(spark):
+    """Words whose ids share their lower bits are told apart, and an item of many words costs its words alone."""
+    base = [f"w{k}" for k in range(40)]
+    low = {}
+    for k in range(4_000_000):
+        w = f"t{k}"
+        h = int(latent_leaks.IDS(w)[0]) & (latent_leaks.OCCURS - 1)
+        low.setdefault(h, w)
+        if len(low) > 60_000:
+            break
+    twins = [low.get(int(latent_leaks.IDS(w)[0]) & (latent_leaks.OCCURS - 1), "none") for w in base]
+    long_ = " ".join(f"z{k}" for k in range(60_000))
+    d = docs(spark, [(1, " ".join(base)), (2, " ".join(twins)), (3, long_), *((10 + k, " ".join(f"v{k}x{j}" for j in range(100))) for k in range(100))])
+    bench = spark.createDataFrame([(1, " ".join(base)), (2, long_)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in latent_leaks.leaks(d, bench).collect()} == {(1, 1), (3, 2)}
+
+
 def test_common_subsequence():
     rng = np.random.default_rng(1)
     for _ in range(30):
