@@ -7,13 +7,17 @@ token is a variable field. A template recurs if ``min_docs`` documents hold a li
 and enough of its tokens are constant. Of a recurring template the first line, by
 document and place, stays; all others are dropped. Documents stay, even if no line does.
 
-DataFrame operations only. A leaf with too few lines for any template is cut off before
-its tokens are counted; equal lines are counted once a leaf with the number of their
-documents, so a very common line is one row there.
+DataFrame operations only. The lines are made once and written. A leaf with too few lines
+for any template is cut off before its tokens are counted; equal lines are counted once a
+leaf with the number of their documents, so a very common line is one row there. Leaves,
+shapes and templates are written before they meet the lines, so that those joins may split
+a hot key.
 
 Defined cases: null text stays null; empty lines and lines under ``MIN_TOKENS`` tokens
-always stay; rows equal in doc_id and text are one document and lose the same lines;
-a null doc_id comes first; extra columns pass through.
+always stay, as a template of one or two words is no sign of a copy; a line of ``MIN_TOKENS``
+tokens only goes if all are constant; rows equal in doc_id and text are one document, lose the
+same lines and report the same counts; a null doc_id comes first; extra columns pass through,
+whatever their names, but ``_lines`` and ``_dropped`` are replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 from edgewise.session import release, stage
 
 DEPTH = 3
-MIN_TOKENS = 4
+MIN_TOKENS = 3
 MIN_DOCS = 3
 #: Share of a template's tokens that must be constant, in percent.
 CONSTANT = 75
@@ -53,41 +57,46 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc_id, version, place) of every line of ``docs`` (doc_id, text) that is dropped."""
-    lines = _lines(docs)
-    leaves = lines.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf")
-    lines = stage(lines.join(leaves.hint("shuffle_hash"), "leaf"), "lines")
-    kinds = lines.select("leaf", "kind", "line", "doc_id", "version").distinct().groupBy("leaf", "kind", "line").agg(F.count("*").alias("docs"))
+    lines = stage(_lines(docs), "lines")
+    leaves = stage(lines.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf"), "leaves")
+    kinds = lines.join(leaves.hint("shuffle_hash"), "leaf").select("leaf", "kind", "line", "doc_id", "version").distinct()
+    kinds = kinds.groupBy("leaf", "kind", "line").agg(F.count("*").alias("docs"))
     kinds = stage(kinds.select("leaf", "kind", "docs", F.split("line", " ").alias("tokens")), "kinds")
     tokens = kinds.select("leaf", "kind", "docs", F.posexplode("tokens").alias("at", "token"))
     tokens = tokens.where((F.col("at") >= DEPTH) & (F.col("token") != "<*>"))
     common = tokens.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("d")).where(F.col("d") >= min_docs).select("leaf", "at", "token")
+    common = stage(common, "common-tokens")
     part = F.xxhash64("at", "token").cast("decimal(38,0)")
     constants = tokens.join(common, ["leaf", "at", "token"]).groupBy("leaf", "kind").agg(F.sum(part).alias("shape"), F.count("*").alias("constant"))
     head = F.expr(f"size(filter(slice(tokens, 1, {DEPTH}), x -> x <> '<*>'))")
     shapes = kinds.select("leaf", "kind", F.size("tokens").alias("n"), head.alias("head")).join(constants, ["leaf", "kind"], "left")
     held = F.col("head") + F.coalesce("constant", F.lit(0))
     shapes = shapes.where((held >= MIN_TOKENS) & (100 * held >= CONSTANT * F.col("n"))).select("leaf", "kind", F.coalesce("shape", F.lit(0).cast("decimal(38,0)")).alias("shape"))
+    shapes = stage(shapes, "shapes")
     shaped = stage(lines.select("doc_id", "version", "place", "leaf", "kind").join(shapes, ["leaf", "kind"]).drop("kind"), "shaped")
-    release(lines, kinds)
+    release(lines, leaves, kinds, common, shapes)
     place = F.struct("doc_id", "version", "place")
     per_doc = shaped.groupBy("leaf", "shape", "doc_id", "version").agg(F.min(place).alias("first"))
     recurring = per_doc.groupBy("leaf", "shape").agg(F.count("*").alias("d"), F.min("first").alias("first")).where(F.col("d") >= min_docs)
-    out = shaped.join(recurring.select("leaf", "shape", "first"), ["leaf", "shape"])
+    recurring = stage(recurring.select("leaf", "shape", "first"), "templates")
+    out = shaped.join(recurring, ["leaf", "shape"])
     return out.where(~place.eqNullSafe(F.col("first"))).select("doc_id", "version", "place")
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` without recurring lines, with ``_lines`` and ``_dropped`` counts."""
-    gone = recurring_lines(docs, min_docs).groupBy(F.col("doc_id").alias("_id"), F.col("version").alias("_version")).agg(F.collect_list("place").alias("_places"))
-    keyed = docs.withColumn("_version", F.xxhash64("text"))
-    gone = gone.withColumnRenamed("_version", "_v").hint("shuffle_hash")
-    out = keyed.join(gone, keyed["doc_id"].eqNullSafe(F.col("_id")) & (keyed["_version"] == F.col("_v")), "left")
-    size = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1
+    gone = recurring_lines(docs, min_docs).groupBy(F.col("doc_id").alias("_id"), F.col("version").alias("_v")).agg(F.collect_set("place").alias("_places"))
+    # One struct keeps the columns of ``docs`` apart from those made here.
+    keyed = docs.select(F.struct("*").alias("_row"), F.xxhash64("text").alias("_version"))
+    out = keyed.join(gone.hint("shuffle_hash"), F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (F.col("_version") == F.col("_v")), "left")
+    out = out.select("_row", F.col("_row.text").alias("_text"), "_places")
+    size = F.octet_length("_text") - F.octet_length(F.replace("_text", F.lit("\n"))) + 1
     # The struct holds the split text, so that it is split once and not for each line kept.
-    rest = F.expr("aggregate(array(named_struct('l', split(text, '\\n'), 'k', array_except(sequence(0, octet_length(text) - octet_length(replace(text, '\\n')) ), _places))), '', (a, x) -> array_join(transform(x.k, i -> get(x.l, i)), '\\n'))")
-    text = F.when(F.col("_places").isNull(), F.col("text")).otherwise(rest)
-    counts = [F.when(F.col("text").isNotNull(), size).otherwise(0).alias("_lines"), F.when(F.col("_places").isNull(), 0).otherwise(F.size("_places")).alias("_dropped")]
-    return out.select(*(text.alias(c) if c == "text" else F.col(c) for c in docs.columns), *counts)
+    rest = F.expr("aggregate(array(named_struct('l', split(_text, '\\n'), 'k', array_except(sequence(0, octet_length(_text) - octet_length(replace(_text, '\\n')) ), _places))), '', (a, x) -> array_join(transform(x.k, i -> get(x.l, i)), '\\n'))")
+    text = F.when(F.col("_places").isNull(), F.col("_text")).otherwise(rest)
+    counts = [F.when(F.col("_text").isNotNull(), size).otherwise(0).alias("_lines"), F.when(F.col("_places").isNull(), 0).otherwise(F.size("_places")).alias("_dropped")]
+    kept = [c for c in docs.columns if c not in ("_lines", "_dropped")]
+    return out.select(*(text.alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in kept), *counts)
 
 
 ORACLE = f"""

@@ -41,7 +41,7 @@ def empty(spark):
 # line dedup
 
 
-def drop_lines(rows, depth=3, least=4, k=3, share=75):
+def drop_lines(rows, depth=3, least=3, k=3, share=75):
     seen = []
     for i, t in rows:
         for n, line in enumerate(t.split("\n")):
@@ -83,6 +83,17 @@ def test_line_templates_odd(spark, odd, empty):
     assert line_templates.drop_recurring_lines(empty).count() == 0
 
 
+def test_line_templates_repeated_rows_and_clashing_names(spark):
+    line = "All rights reserved"
+    rows = [(k, f"text {'abcdefgh'[k]} alone\n{line}") for k in range(5)] + [(2, f"text c alone\n{line}")]
+    names = ["_id", "_version", "_lines", "_dropped", "_places", "_row", "_v", "_text", "version", "place", "leaf", "kind", "line", "shape", "first"]
+    d = spark.createDataFrame([(i, t, *names) for i, t in rows], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    out = line_templates.drop_recurring_lines(d)
+    assert out.columns == ["doc_id", "text", *(n for n in names if n not in ("_lines", "_dropped")), "_lines", "_dropped"]
+    got = sorted((r.doc_id, r.text.count(line), r._lines, r._dropped, r._version, r._id, r.place) for r in out.collect())
+    assert got == sorted((i, int(i == 0), 2, int(i != 0), "_version", "_id", "place") for i, _ in rows)
+
+
 # quality
 
 
