@@ -14,11 +14,12 @@ answers: by ``thread`` (the turn at which its side branch left the main line) an
 The result is a row a message with its place in that order, so a conversation of any
 length is never gathered; ``formatted`` is the message as a chat line.
 
-Originals are reduced to one row a (conversation, hash) and a hash before the join, so a
-very common message is one row.  Defined cases: null text is empty; rows of equal
-(conv_id, turn) are told apart by role and text, and equal rows count as one message
-each; null keys form a conversation of their own; a message of quotes alone has empty
-text; extra columns are ignored.
+Originals are reduced to one row a (conversation, hash) and a hash, and written, before the
+join, so a very common message is one row and a widely quoted line may be split. Defined
+cases: null text is empty; rows of equal (conv_id, turn) are told apart by role and text, and
+equal rows get equal links; null keys form a conversation of their own, in which a null
+turn has no other before it; a message of quotes alone has empty text; a message of any
+number of lines is parsed in linear time; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -51,8 +52,11 @@ def normal(text):
 def parse(messages: DataFrame) -> DataFrame:
     """Messages with ``lines``: level, bare text and place of each line."""
     base = messages.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    # Rows of one turn are told apart by ``version``.
+    base = base.select("conv_id", "turn", F.xxhash64("role", "text").alias("version"), "role", "text")
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("place"), _level(x).alias("level"), _bare(x).alias("line")))
-    return base.withColumn("lines", lines)
+    # The explode of one value keeps the optimizer from making the lines anew for each of them.
+    return base.select("*", F.explode(F.array(lines)).alias("lines"))
 
 
 def own_text(lines, text):
@@ -70,27 +74,26 @@ def said_hashes(parsed: DataFrame) -> DataFrame:
 
 
 def quoted_hashes(parsed: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, level, h, weight, short): hashes of quoted lines and of whole quoted passages."""
-    key = ["conv_id", "turn", "role"]
+    """(conv_id, turn, version, level, h, weight, short): hashes of quoted lines and of whole quoted passages."""
+    key = ["conv_id", "turn", "version"]
     quotes = F.filter("lines", lambda x: x["level"] > 0)
-    # A passage breaks where the level changes or unquoted lines stand between.
-    start = F.expr("""filter(lines, (x, i) -> x.level > 0 AND (i = 0 OR get(lines, i - 1).level <> x.level))""")
-    passages = F.transform(
-        F.transform(start, lambda s: F.struct(s["place"].alias("from"), s["level"].alias("level"))),
-        lambda s: F.struct(s["level"].alias("level"), F.filter(F.col("lines"), lambda x: (x["place"] >= s["from"]) & (x["level"] == s["level"])).alias("run"), s["from"].alias("from")),
-    )
-    whole = parsed.where(F.size(quotes) > 0).select(*key, "lines", F.explode(passages).alias("p"))
-    run = F.expr("filter(p.run, (x, i) -> x.place = p.from + i)")
-    whole = whole.select(*key, F.col("p.level").alias("level"), normal(F.array_join(F.transform(run, lambda x: x["line"]), " ")).alias("t"), (F.size(run) + 1).alias("weight"))
-    lines = parsed.select(*key, F.explode(quotes).alias("x")).select(*key, F.col("x.level").alias("level"), normal(F.col("x.line")).alias("t"), F.lit(1).alias("weight"))
+    # A passage ends where the level changes. The lines become one text that is cut there: a mark, the level, a mark, the lines.
+    cut = F.expr(r"""transform(lines, (x, i) -> concat(if(i = 0 OR get(lines, i - 1).level <> x.level, concat('\u0001', x.level, '\u0002'), '\n'), translate(x.line, '\u0001\u0002', '  ')))""")
+    quoting = parsed.where(F.size(quotes) > 0)
+    runs = quoting.select(*key, F.explode(F.split(F.array_join(cut, ""), "\u0001")).alias("run"))
+    runs = runs.select(*key, F.substring_index("run", "\u0002", 1).try_cast("int").alias("level"), F.expr(r"substring(run, instr(run, '\u0002') + 1)").alias("body")).where("level > 0")
+    n_lines = F.length("body") - F.length(F.replace("body", F.lit("\n"))) + 1
+    whole = runs.select(*key, "level", normal(F.col("body")).alias("t"), (n_lines + 1).alias("weight"))
+    lines = quoting.select(*key, F.explode(quotes).alias("x")).select(*key, F.col("x.level").alias("level"), normal(F.col("x.line")).alias("t"), F.lit(1).alias("weight"))
     every = whole.where("t <> ''").union(lines.where(F.length("t") >= LEAST_CHARS))
-    return every.select(*key, "level", F.xxhash64("t").alias("h"), "weight", (F.length("t") < LEAST_CHARS).alias("short"))
+    return every.select(*key, "level", F.xxhash64("t").alias("h"), "weight", (F.length("t") < LEAST_CHARS).alias("short")).distinct()
 
 
 def latest_said(said: DataFrame, quotes: DataFrame) -> DataFrame:
     """(conv_id, h, turn, near_turn): the last turn before each quoting turn that says h in its
     conversation, in windows of SPAN turns."""
     key = ["conv_id", "h"]
+    said = said.where("turn is not null")
     turns = said.select(*key, "turn", F.col("turn").alias("own")).union(quotes.select(*key, "turn", F.lit(None).cast("long"))).groupBy(*key, "turn").agg(F.max("own").alias("own"))
     turns = turns.withColumn("span", F.floor(F.col("turn") / SPAN))
     ends = turns.groupBy(*key, "span").agg(F.max("own").alias("last"))
@@ -100,30 +103,31 @@ def latest_said(said: DataFrame, quotes: DataFrame) -> DataFrame:
 
 
 def links(parsed: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, to_conv, to_turn, n_links): the message that each quoting message answers."""
+    """(conv_id, turn, version, linked, to_conv, to_turn, n_links): the message that each quoting message answers."""
+    key = ["conv_id", "turn", "version"]
     quotes = stage(quoted_hashes(parsed), "quotes")
-    asked = quotes.select("h").distinct()
+    asked = stage(quotes.select("h").distinct(), "asked")
     said = stage(said_hashes(parsed).join(asked, "h", "left_semi"), "said")
-    near = latest_said(said, quotes)
+    near = stage(latest_said(said, quotes.select("conv_id", "h", "turn").distinct()), "near")
     # The two smallest conversations that say it: the first may be the quoting one.
-    other = said.groupBy("conv_id", "h").agg(F.min("turn").alias("at"))
-    far = other.groupBy("h").agg(F.min(F.struct("conv_id", "at")).alias("far"))
-    second = other.join(far, "h").where("conv_id <> far.conv_id").groupBy("h").agg(F.min(F.struct("conv_id", "at")).alias("second"))
+    other = said.where("conv_id is not null AND turn is not null").groupBy("conv_id", "h").agg(F.min("turn").alias("at"))
+    far = stage(other.groupBy("h").agg(F.min(F.struct("conv_id", "at")).alias("far")), "far")
+    second = stage(other.join(far, "h").where("conv_id <> far.conv_id").groupBy("h").agg(F.min(F.struct("conv_id", "at")).alias("second")), "second")
     found = _match(quotes, near, ["conv_id", "h", "turn"]).join(far, "h", "left").join(second, "h", "left")
     inside = F.col("near_turn").isNotNull()
     far = F.when(~F.col("short"), F.when(F.col("far.conv_id").eqNullSafe(F.col("conv_id")), F.col("second")).otherwise(F.col("far")))
     found = found.select(
-        "conv_id", "turn", "role", "level", "weight",
+        *key, "level", "weight",
         F.when(inside, F.col("conv_id")).otherwise(far["conv_id"]).alias("to_conv"),
         F.when(inside, F.col("near_turn")).otherwise(far["at"]).alias("to_turn"),
         inside.cast("int").alias("inside"),
     )
     found = found.where("to_turn is not null")
     # The outermost quote is what is answered; deeper ones are what that answered.
-    votes = found.groupBy("conv_id", "turn", "role", "to_conv", "to_turn").agg(F.min("level").alias("level"), F.sum("weight").alias("votes"), F.max("inside").alias("inside"))
+    votes = found.groupBy(*key, "to_conv", "to_turn").agg(F.min("level").alias("level"), F.sum("weight").alias("votes"), F.max("inside").alias("inside"))
     best = F.max_by(F.struct("to_conv", "to_turn"), F.struct(F.coalesce("inside", F.lit(0)), -F.col("level"), "votes", "to_turn", "to_conv"))
-    out = votes.groupBy("conv_id", "turn", "role").agg(best.alias("best"), F.count("*").alias("n_links"))
-    return out.select("conv_id", "turn", "role", F.col("best.to_conv").alias("to_conv"), F.col("best.to_turn").alias("to_turn"), "n_links")
+    out = votes.groupBy(*key).agg(best.alias("best"), F.count("*").alias("n_links"))
+    return out.select(*key, F.lit(True).alias("linked"), F.col("best.to_conv").alias("to_conv"), F.col("best.to_turn").alias("to_turn"), "n_links")
 
 
 def _match(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -164,10 +168,10 @@ def conversations(messages: DataFrame) -> DataFrame:
     """
     parsed = parse(messages)
     quoted = F.size(F.filter("lines", lambda x: x["level"] > 0))
-    out = parsed.select("conv_id", "turn", "role", own_text(F.col("lines"), F.col("text")).alias("text"), quoted.alias("n_quoted"))
+    out = parsed.select("conv_id", "turn", "version", "role", own_text(F.col("lines"), F.col("text")).alias("text"), quoted.alias("n_quoted"))
     out = _match(out, before(messages.select("conv_id", "turn")), ["conv_id", "turn"])
-    out = _match(out, links(parsed), ["conv_id", "turn", "role"])
-    linked = F.col("to_conv").isNotNull()
+    out = _match(out, links(parsed), ["conv_id", "turn", "version"])
+    linked = F.coalesce("linked", F.lit(False))
     straight = F.col("to_conv").eqNullSafe(F.col("conv_id")) & F.col("to_turn").eqNullSafe(F.col("previous"))
     out = stage(out.select(
         "conv_id", "turn", "role", "text", "n_quoted", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),

@@ -263,6 +263,80 @@ def test_quotes_answer_the_latest_original(spark):
     assert got[2, 0] == (3, 5, 1) and got[5, 2] == (5, 0, 1) and got[6, 0] == (None, None, 0)
 
 
+def linked_by_hand(rows):
+    """n_links and parent of each message, line by line."""
+    norm = lambda t: " ".join(t.lower().split())
+    level = lambda x: re.match(quotations.MARK, x)[1].replace(" ", "").replace("\t", "") if re.match(quotations.MARK, x) else ""
+    parsed = [(c, t, [(len(level(x)), re.sub(quotations.MARK, "", x)) for x in (text or "").split("\n")]) for c, t, _, text in rows]
+    said = {}
+    for c, t, lines in parsed:
+        own = [norm(x) for n, x in lines if n == 0]
+        for x in {*own, norm("\n".join(x for n, x in lines if n == 0))} - {""}:
+            said.setdefault(x, set()).add((c, t))
+    turns = {}
+    for c, t, _ in parsed:
+        turns.setdefault(c, set()).add(t)
+    out = {}
+    for c, t, lines in parsed:
+        asked, k = set(), 0
+        while k < len(lines):
+            j = k
+            while j < len(lines) and lines[j][0] == lines[k][0]:
+                j += 1
+            if n := lines[k][0]:
+                asked.add((n, norm(" ".join(x for _, x in lines[k:j])), j - k + 1))
+                asked |= {(n, norm(x), 1) for _, x in lines[k:j] if len(norm(x)) >= quotations.LEAST_CHARS}
+            k = j
+        votes = {}
+        for n, x, weight in asked:
+            at = said.get(x, set()) if x else set()
+            near = [u for d, u in at if d == c and u < t]
+            far = sorted((d, u) for d, u in at if d != c) if len(x) >= quotations.LEAST_CHARS else []
+            goal = (1, c, max(near)) if near else (0, *far[0]) if far else None
+            if goal:
+                lev, vote = votes.get(goal, (99, 0))
+                votes[goal] = min(lev, n), vote + weight
+        before = max((u for u in turns[c] if u < t), default=None)
+        best = max(votes, key=lambda g: (g[0], -votes[g][0], votes[g][1], g[2], g[1]), default=None)
+        out.setdefault((c, t), set()).add((len(votes), *((best[1], best[2]) if best else (c if before is not None else None, before))))
+    return out
+
+
+def test_quotations_equal_brute_force(spark):
+    rng = np.random.default_rng(4)
+    lines = ["Yes.", "What is the answer?", "Turn the small key.", *(f"sentence number {k} of all" for k in range(12))]
+    rows = []
+    for c in range(40):
+        past = []
+        for t in range(int(rng.integers(2, 12))):
+            text = [lines[k] for k in rng.integers(0, len(lines), rng.integers(1, 4))]
+            if past and rng.random() < 0.7:
+                old = past[rng.integers(0, len(past))].split("\n")
+                text = [*(("> " if rng.random() < 0.8 else ">>") + x for x in old), *text]
+            if rng.random() < 0.1:
+                text = ["> " + lines[rng.integers(0, len(lines))], "", *text]
+            past.append("\n".join(text))
+            rows.append((c, t * 100, "u", past[-1]))
+    m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {}
+    for r in quotations.conversations(m).collect():
+        got.setdefault((r.conv_id, r.turn), set()).add((r.n_links, r.parent_conv, r.parent_turn))
+    assert got == linked_by_hand(rows) and sum(n > 0 for v in got.values() for n, _, _ in v) > 100
+
+
+def test_twins_null_keys_and_long_messages(spark):
+    rows = [
+        (1, 0, "user", "The first long sentence"), (1, 1, "user", "> The first long sentence\nquoting twin"), (1, 1, "user", "plain twin"),
+        (None, 0, "user", "Only among those without a key"), (None, 1, "user", "said in between"), (None, 2, "user", "> Only among those without a key\nindeed"), (2, None, "user", "> The first long sentence"),
+        (3, 0, "user", "\n".join(f"line number {k} of many" for k in range(30_000))), (3, 1, "user", "so"), (3, 2, "user", "\n".join(f"> line number {k} of many" if k % 2 else f"mine {k}" for k in range(30_000))),
+    ]
+    m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn, r.text[:5]): (r.parent_conv, r.parent_turn, r.n_links) for r in quotations.conversations(m).collect()}
+    assert got[1, 1, "quoti"] == (1, 0, 1) and got[1, 1, "plain"] == (1, 0, 0)
+    assert got[None, 2, "indee"] == (None, 0, 1) and got[2, None, ""] == (1, 0, 1)
+    assert got[3, 2, "mine "] == (3, 0, 1)
+
+
 def test_a_long_conversation_is_ordered_in_spans(spark):
     m = spark.range(1000).select(F.lit(1).cast("long").alias("conv_id"), (F.col("id") * 3).alias("turn"), F.lit("u").alias("role"), F.concat(F.lit("message number "), "id").alias("text"))
     got = {r.turn: r.parent_turn for r in quotations.conversations(m).collect()}
