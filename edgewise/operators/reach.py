@@ -20,12 +20,17 @@ from edgewise.session import release, stage, table_bytes
 
 LOCAL_EDGES = 2_000_000
 LOCAL_BYTES = 256 << 20
+#: Rows that one task lists at most: as many as there are keys times pairs.
+LOCAL_FOUND = 20_000_000
 FOUND = "key int, id string, depth int, parent string, rank long"
 
 
-def is_local(pairs: DataFrame) -> bool:
-    """Whether the written ``pairs`` fit one task, by the size of the files and by their row counts."""
-    return table_bytes(pairs) <= LOCAL_BYTES and pairs.count() <= LOCAL_EDGES
+def is_local(pairs: DataFrame, roots: DataFrame | None = None) -> bool:
+    """Whether the written ``pairs`` fit one task, by the size of the files and by their row counts, and so does
+    what the keys of ``roots`` may find in them."""
+    if table_bytes(pairs) > LOCAL_BYTES or (n := pairs.count()) > LOCAL_EDGES:
+        return False
+    return roots is None or roots.select("key").distinct().count() * (n + 1) + roots.limit(LOCAL_EDGES + 1).count() <= LOCAL_FOUND
 
 
 def in_one_task(pairs: DataFrame, roots: DataFrame, walk, schema: str) -> DataFrame:
@@ -80,7 +85,7 @@ def discover(pairs: DataFrame, roots: DataFrame, depth: int | None = None, local
     the distributed plan leaves rank null and takes the smallest parent.
     """
     pairs = stage(pairs.select("src", "dst").distinct(), "pairs")
-    if is_local(pairs) if local is None else local:
+    if is_local(pairs, roots) if local is None else local:
         return stage(in_one_task(pairs, roots, _walk(depth), FOUND), "discovered")
     order = Window.partitionBy("key")
     now = roots.select("key", "id").distinct().withColumns({"depth": F.lit(0), "parent": F.lit(None).cast("string")})
@@ -122,23 +127,27 @@ def reachable(pairs: DataFrame, roots: DataFrame, local: bool | None = None) ->
     return discover(pairs, roots.select(F.lit(0).alias("key"), "id"), ranked=False, local=local).select("id")
 
 
-def backtrack(found: DataFrame, target: str) -> DataFrame:
-    """(step, id): the discovery path to ``target``, root first; empty if it was not found.
+def ancestors(found: DataFrame, targets: DataFrame) -> DataFrame:
+    """(n, id, depth): the discovery paths to ``targets`` (n, key, id) of a search ``found``, ends included.
 
-    A doubling of parent pointers over the discovered rows would join as often as the
-    path is long in bits; the ancestors are marked the same way.
+    Parent pointers are doubled, so the joins are as many as the longest path is long in bits.
     """
-    hops = stage(found.select("id", "parent", "depth"), "parents")
-    jump, on = hops.select("id", F.col("parent").alias("up")), None
-    marked = hops.where(F.col("id") == target).select("id", "depth")
-    row = marked.first()
-    if row is None:
-        return marked.select(F.col("depth").alias("step"), "id")
-    on = marked.select("id")
+    hops = stage(found.select("key", "id", "parent", "depth"), "parents")
+    jump = hops.select("key", "id", F.col("parent").alias("up"))
+    on = targets.select("n", "key", "id").join(hops.select("key", "id"), ["key", "id"], "left_semi").select("n", "key", "id")
+    most = targets.join(hops, ["key", "id"]).agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0]
     reach = 1
-    while reach <= row.depth:
-        up = on.join(jump, "id").where("up is not null").select(F.col("up").alias("id"))
+    while reach <= most:
+        up = on.join(jump, ["key", "id"]).where("up is not null").select("n", "key", F.col("up").alias("id"))
         on = stage(on.union(up).distinct(), "ancestors")
-        jump = stage(jump.join(jump.select(F.col("id").alias("up"), F.col("up").alias("over")), "up", "left").select("id", F.col("over").alias("up")), "jumps")
         reach *= 2
-    return on.join(hops, "id").select(F.col("depth").alias("step"), "id").distinct().orderBy("step")
+        if reach <= most:
+            over = jump.select("key", F.col("id").alias("up"), F.col("up").alias("over"))
+            jump = stage(jump.join(over, ["key", "up"], "left").select("key", "id", F.col("over").alias("up")), "jumps")
+    return on.join(hops, ["key", "id"]).select("n", "id", "depth")
+
+
+def backtrack(found: DataFrame, target: str) -> DataFrame:
+    """(step, id): the discovery path to ``target`` of a search of one key, root first; empty if it was not found."""
+    goal = found.where(F.col("id") == target).select(F.lit(0).alias("n"), "key", "id")
+    return ancestors(found, goal).select(F.col("depth").alias("step"), "id").distinct().orderBy("step")

@@ -81,7 +81,12 @@ def traverse(g: Graph, roots: list[str], dependents: bool = False, depth: int =
 
 
 def narrowed(g: Graph, roots: list[str], dependents: bool = False, depth: int = MAX_DEPTH) -> int:
-    """Vertices that all edges reach and member edges do not."""
-    every, _ = traverse(g, roots, dependents, depth)
-    some, _ = traverse(g, roots, dependents, depth, members=True)
-    return every.join(some.select("id"), "id", "left_anti").count()
+    """Vertices that all edges reach and member edges do not, of all that are reached."""
+
+    def reached(edges: DataFrame) -> DataFrame:
+        pairs = edges.select("src", "dst")
+        start = keyed(g, roots)
+        found = discover(reverse(pairs) if dependents else pairs, start, depth, ranked=False).where("depth >= 1")
+        return found.join(start.withColumnRenamed("id", "root"), "key").where("id <> root").select("id").distinct()
+
+    return reached(dependencies(g)).join(reached(member_edges(g)), "id", "left_anti").count()

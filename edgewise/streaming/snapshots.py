@@ -2,36 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgewise.graph import EDGE, VERTEX, Meta, graph
 from edgewise.operators.diff import edge_diff
-from edgewise.session import read_table, stage
+from edgewise.session import read_table, release, stage
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def snapshot_edges(spark: SparkSession, out: str, number: int) -> DataFrame:
+    """All edges of a snapshot that have arrived; none if none have. Failures to read them are failures."""
+    path = f"{out}/edges/snapshot={number}"
+    return spark.read.schema(EDGE).parquet(path) if _exists(spark, path) else spark.createDataFrame([], EDGE)
 
 
 def diff_snapshots(stream: DataFrame, out: str, checkpoint: str):
-    """A query over a stream of edges with a ``snapshot`` number that appends the changes of each
-    snapshot against its predecessor to ``out``.
+    """A query over a stream of edges with a ``snapshot`` number that keeps the changes of each
+    snapshot against the one numbered before it in ``out``/changes.
 
-    The latest snapshot is kept beside the output; a batch that runs again writes its own
-    folder anew, so a restart neither loses nor repeats changes.
+    The edges of a snapshot may arrive in any number of batches: each batch adds its own
+    folder, and the changes of the snapshots it touches, and of those after them, are
+    written anew from all edges so far. A batch that runs again writes the same folders, so
+    a restart neither loses nor repeats changes. A snapshot is complete once the source says so.
     """
     spark = stream.sparkSession
     none = spark.createDataFrame([], VERTEX)
 
     def batch(df: DataFrame, number: int) -> None:
         df = stage(df, "snapshot-batch")
-        for k in sorted(r.snapshot for r in df.select("snapshot").distinct().collect()):
-            now = df.where(F.col("snapshot") == k).select(*EDGE.names)
-            try:
-                before = spark.read.schema(EDGE).parquet(f"{out}/state/{k - 1}")
-                before.isEmpty()
-            except Exception:
-                before = spark.createDataFrame([], EDGE)
+        touched = sorted(r.snapshot for r in df.select("snapshot").distinct().collect())
+        for k in touched:
+            df.where(F.col("snapshot") == k).select(*EDGE.names).write.mode("overwrite").parquet(f"{out}/edges/snapshot={k}/batch={number}")
+        for k in sorted({*touched, *(k + 1 for k in touched if _exists(spark, f"{out}/edges/snapshot={k + 1}"))}):
+            before, now = snapshot_edges(spark, out, k - 1), snapshot_edges(spark, out, k)
             changes = edge_diff(graph(none, before, Meta()), graph(none, now, Meta()))
             changes.withColumn("snapshot", F.lit(k)).write.mode("overwrite").parquet(f"{out}/changes/snapshot={k}")
-            now.write.mode("overwrite").parquet(f"{out}/state/{k}")
+        release(df)
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch).start()
 

@@ -68,7 +68,11 @@ def test_urls():
     assert urls.compose_path([lit("/users-"), val])["dynamic"]
     assert urls.compose_url([lit("https://u@Example.com:8080/a"), lit("/b")]) == {"anchor": "root", "authority": "example.com:8080", "template": "/a/b", "query": False}
     assert urls.compose_url([val, lit("/a")])["anchor"] == "base" and urls.compose_url([val, lit("a")])["ambiguous"]
-    assert urls.mask("/services/T0/abc", "hooks.slack.com") == "/services/{}/{}" and urls.mask("/k/abcdefgh12345678") == "/k/{}"
+    assert urls.mask("/services/T0/abc", "hooks.slack.com") == "/{}/{}/{}" and urls.mask("/k/abcdefgh12345678") == "/k/{}"
+    assert urls.mask("/services/T0/abc", "slack.example.com") == "/services/T0/abc" and urls.mask("/k/%61bcdefgh1234567") == "/k/%61bcdefgh1234567"
+    hook = lambda u: urls.compose_url([("lit", u)])["template"]
+    assert hook("https://hooks.slack.com/services/T00/B00/abcd") == "/{}/{}/{}/{}" and hook("https://discord.com:443/api/webhooks/123456/tok-short?x=1") == "/api/webhooks/{}/{}"
+    assert hook("https://discord.com/api/channels/1") == "/api/channels/1"
     assert urls.join_path("http://h/a/", "..", "b?c/") == "http://h/b%3Fc/" and urls.join_path(None, "..") is None
     assert urls.posix_join("/a", "", "../b/") == "/b" and urls.posix_join() == ""
     assert urls.resolve("http://h/a/b", "../c") == "http://h/c" and urls.resolve(None, "") is None

@@ -211,3 +211,45 @@ def test_column_helpers(spark):
         ids.match_path("a/*/c", F.lit("a/x/c")), ids.match_path("a/**", F.lit("a")), ids.match_path("a/**", F.lit("ab")), ids.match_file("!*.go", F.lit("d/x.go")), ids.significant(F.lit(0.00001234)),
     ).first()
     assert list(row) == ["p/q.T", None, "p", "0.5", "0.667", True, True, False, False, "1.23e-05"]
+
+
+def test_mapping_picks_the_longest_pattern(spark):
+    paths = ["a", "a/b", "a/b/c", "a/x/c", "b", "deep/er/x", "deep/er", "zz", "q/r", ".", "ab"]
+    r = rules.Rules(components={"exact": ["a/b"], "tree": ["a/**"], "glob": ["a/*/c", "*/r"], "deep": ["deep/**"], "deeper": ["deep/er/**"], "same2": ["b"], "same1": ["b"], "dot": ["."]})
+    got = {x.path: x.component for x in rules.components_of(spark.createDataFrame([(p,) for p in paths], "path string"), r).collect()}
+    assert got == {"a": "tree", "a/b": "tree", "a/b/c": "glob", "a/x/c": "glob", "b": "same1", "deep/er/x": "deeper", "deep/er": "deeper", "q/r": "glob", ".": "dot"}
+
+
+def test_mapping_of_as_many_components_as_packages(spark):
+    import time
+
+    n = 20_000
+    v = spark.range(n).select(F.format_string("m/d%d/p%d", F.col("id") % 97, "id").alias("id"), F.lit("package").alias("kind"), F.lit("p").alias("name"))
+    g = G.graph(v, spark.createDataFrame([], G.EDGE), G.Meta(module="m", level="package"))
+    r = rules.Rules(components={f"c{k}": [f"d{k % 97}/p{k}/**"] for k in range(n)})
+    began = time.perf_counter()
+    m = rules.mapping(g, r)
+    assert m.where("component = concat('c', regexp_extract(path, 'p([0-9]+)$', 1))").count() == n
+    assert rules.metrics(g, r).where("size(packages) = 1").count() == n
+    assert time.perf_counter() - began < 60
+
+
+@pytest.mark.parametrize("local", [True, False])
+def test_reach_rules_take_one_search(spark, local):
+    ids = ["m/a", "m/b", "m/c", "m/d"]
+    g = G.from_rows(spark, [{"id": i, "kind": "package", "name": i} for i in ids], [("m/a", "m/b", "import"), ("m/b", "m/c", "import"), ("m/a", "m/d", "import"), ("m/d", "m/c", "import")], module="m", level="package")
+    r = rules.Rules(components={"A": ["a"], "B": ["b"], "C": ["c"], "D": ["d"]}, forbidden=[{"from": "A", "to": "C"}, {"from": "C", "to": "A"}], independent=["B", "D", "C"])
+    got = {(x.rule, x.fromComponent, x.toComponent): x.path for x in rules.reach_violations(g, r, local).collect()}
+    assert got == {("forbidden", "A", "C"): ["m/a", "m/b", "m/c"], ("independence", "B", "C"): ["m/b", "m/c"], ("independence", "D", "C"): ["m/d", "m/c"]}
+    assert rules.reach_violations(g, rules.Rules(components={"A": ["a"]}), local).count() == 0
+
+
+def test_many_roots_do_not_share_a_task(spark, monkeypatch):
+    from edgewise.operators import reach
+    from edgewise.session import stage
+
+    pairs = stage(spark.createDataFrame([("a", "b")], "src string, dst string"), "pairs")
+    roots = spark.range(50).select(F.col("id").cast("int").alias("key"), F.lit("a").alias("id"))
+    assert reach.is_local(pairs, roots)
+    monkeypatch.setattr(reach, "LOCAL_FOUND", 40)
+    assert not reach.is_local(pairs, roots)

@@ -100,3 +100,18 @@ def test_snapshot_stream(spark, tmp_path):
     q.stop()
     got = {(r.src, r.dst, r.change, r.snapshot) for r in spark.read.parquet(str(tmp_path / "out/changes")).collect()}
     assert got == {("a", "b", "added", 1), ("a", "b", "removed", 2), ("a", "c", "added", 2)}
+
+
+def test_a_snapshot_in_two_batches(spark, tmp_path):
+    from edgewise.streaming.snapshots import diff_snapshots
+
+    schema = T.StructType([*G.EDGE.fields, T.StructField("snapshot", T.LongType())])
+    parts = [[("a", "b", "call", 1)], [("a", "b", "call", 2), ("a", "c", "call", 1)], [("a", "c", "call", 2), ("a", "d", "call", 2)]]
+    source = str(tmp_path / "in")
+    for rows in parts:
+        spark.createDataFrame([(s, d, k, None, False, n) for s, d, k, n in rows], schema).coalesce(1).write.mode("append").parquet(source)
+        q = diff_snapshots(spark.readStream.schema(schema).parquet(source), str(tmp_path / "out"), str(tmp_path / "c"))
+        q.processAllAvailable()
+        q.stop()
+    got = {(r.src, r.dst, r.change, r.snapshot) for r in spark.read.parquet(str(tmp_path / "out/changes")).collect()}
+    assert got == {("a", "b", "added", 1), ("a", "c", "added", 1), ("a", "d", "added", 2)}
