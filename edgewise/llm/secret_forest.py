@@ -1,16 +1,17 @@
 """Secret scan with a random forest against false positives; DataFrame operations only.
 
-Candidates are runs of at least 16 key characters with a digit, and runs of at least 8
+Candidates are runs of at least 16 key characters, and runs of at least 8
 right after a word that announces a secret, which are mixed or follow a colon or equals
-sign. All runs of a blank-separated word are looked at, each with its own surroundings. Each has features of its length, its
-character classes and transitions, the share that dictionary words cover, path and
-address marks, and the words before and after it. A random forest of Spark's own
-library, trained on labelled findings, scores them.
+sign. All runs of a blank-separated word are looked at, each with its own surroundings. Each
+has features of its length, its character classes, the transitions between them and its
+pairs of letters, the share that dictionary words cover, path and address marks, and the
+words before and after it. A random forest of Spark's own library, trained on labelled
+findings, scores them; what it finds false is returned with its score and no secret.
 
 The labelled findings are a parameter (word, before, after, label); by default they are
 made from a rule (:func:`labelled_findings`), a fixed number at any size of the corpus.
 
-Defined cases: null and empty texts have no candidates; a text without a long run with a digit
+Defined cases: null and empty texts have no candidates; a text without a long run
 or an announcing word is passed over; repeated rows are scanned one by one, equal candidates
 of a text are separate findings; extra columns are ignored.
 """
@@ -28,9 +29,11 @@ KEYWORD = r"(?i)(pass|pwd|secret|token|key|auth|bearer|credential)"
 WORDS = "access|account|address|admin|api|apache|backup|base|build|bucket|card|class|client|code|com|commit|config|content|data|date|default|demo|dev|document|dummy|example|field|file|function|hash|hello|html|http|https|image|img|index|info|item|json|key|license|list|local|mail|main|message|method|module|name|node|null|number|object|order|page|password|path|phone|photo|prod|public|report|request|sample|secret|server|service|string|system|table|test|time|token|type|update|url|user|value|version|www|your"
 BENIGN = r"(?i)\b(commit|sha1|sha256|md5|checksum|digest|revision|uuid|guid|card|visa|iban|isbn|phone|tel|call|order|invoice|tracking|version|example|sample|dummy|placeholder|fake|test)\b"
 PLACEHOLDER = r"(?i)(x{4,}|0{6,}|1234567|abcdef|example|sample|dummy|your[_-]?|changeme|placeholder|test)"
-FINDINGS = 6000
+#: The most frequent pairs of letters of English, French, German and Spanish words.
+PAIRS = "al|an|ar|as|at|ch|co|de|di|ea|ed|en|er|es|ha|he|hi|ic|ie|il|in|io|is|it|la|le|li|ma|me|nd|ne|ng|nt|on|or|ou|qu|ra|re|ri|ro|se|si|st|te|th|ti|to|ue|un|ur|ve"
+FINDINGS = 9000
 TREES, TREE_DEPTH, SEED = 24, 7, 3
-FEATURES = ["size", "digits", "upper", "lower", "marks", "hex", "runs", "longest", "vowels", "variety", "words", "path", "address", "prefix", "number", "uuid", "placeholder", "announced", "benign", "quoted"]
+FEATURES = ["size", "digits", "upper", "lower", "marks", "hex", "runs", "longest", "vowels", "variety", "rises", "falls", "to_digit", "from_digit", "pairs", "words", "path", "address", "prefix", "number", "uuid", "placeholder", "announced", "benign", "quoted"]
 
 
 def features(word: Column, before: Column, after: Column) -> list[Column]:
@@ -48,6 +51,8 @@ def features(word: Column, before: Column, after: Column) -> list[Column]:
         n, share("0-9"), share("A-Z"), share("a-z"), share("_+/=.~!@^-"), share("0-9a-fA-F"), F.length(classes) / n, longest / n,
         F.length(F.regexp_replace(core, "[^aeiouAEIOU]", "")) / letters,
         F.size(F.array_distinct(F.split(core, ""))) / n,
+        *(F.size(F.regexp_extract_all(core, F.lit(f"(?=({x}))"), F.lit(1))) / n for x in ("[a-z][A-Z]", "[A-Z][a-z]", "[A-Za-z][0-9]", "[0-9][A-Za-z]")),
+        F.size(F.regexp_extract_all(F.lower(core), F.lit(f"(?=({PAIRS}))"), F.lit(1))) / letters,
         1 - F.length(F.regexp_replace(F.lower(core), f"({WORDS})", "")) / n,
         flag(word.rlike(r"/.*/|\\|\.(jpg|png|html?|js|css|py|txt|pdf|zip|xml|json|csv)\b")), flag(word.rlike(r"(?i)://|www\.|@.*\.")),
         flag(core.rlike(r"^(AKIA|ASIA|gh[pousr]_|github_pat_|xox[abp]-|sk[-_]|pk[-_]|AIza|eyJ|glpat-|npm_)")),
@@ -63,12 +68,16 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     hex_ = lambda tag, k: f"substr(sha2(concat('{tag}', id), 256), 1, {k})"
     b64 = lambda tag, k: f"substr(regexp_replace(base64(unhex(sha2(concat('{tag}', id), 512))), '[=/+]', 'q'), 1, {k})"
     pick = lambda tag, *xs: f"element_at(array({', '.join(repr(x) for x in xs)}), cast(pmod(xxhash64('{tag}', id), {len(xs)}) AS int) + 1)"
+    syllables = ["un", "ter", "neh", "men", "ver", "ant", "wort", "tion", "ment", "con", "sti", "tu", "re", "pre", "sen", "ta", "the", "ing", "lich", "keit", "ci", "on", "al", "eur"]
+    word = lambda tag, k: "initcap(concat(" + ", ".join(pick(f"{tag}{j}", *syllables) for j in range(2 + k)) + "))"
+    letters = lambda tag, k: f"substr(regexp_replace(base64(unhex(concat(sha2(concat('{tag}', id), 512), sha2(concat('{tag}2', id), 512)))), '[=/+0-9]', ''), 1, {k})"
     says = pick("s", "token =", "api_key :", "secret =", "password:", "access_key =", "auth", "the token", "key: secret =")
     plain = pick("p", "the and of", "to in is", "with for", "der die und", "le la de", "see also", "of this")
     digits = "lpad(cast(pmod(xxhash64('d', id), 10000000000000000) AS string), 16, '4')"
     secret = [
         (f"""concat('"', {hex_('a', 40)}, '"')""", says), (f"concat('AKIA', upper({hex_('b', 16)}))", f"if(id % 3 = 0, {plain}, {says})"), (f"concat('ghp_', {b64('c', 36)})", plain),
         (b64("e", 40), says), (f"concat({b64('f', 7)}, '!', {hex_('f', 5)})", "'password ='"), (f"concat('eyJ', {b64('g', 50)})", plain), (hex_("h", 32), says), (f"concat('token=', {b64('i', 24)})", plain),
+        (letters("r", 40), says), (letters("s", 20), "'password ='"), (f"concat({word('t', 3)}, {word('u', 3)}, {word('v', 3)})", "'password:'"), (f"concat('sk_live_', {b64('w', 24)})", plain),
     ]
     other = [
         (digits, plain), (digits, pick("c", "card", "visa", "the order", "number")), (hex_("j", 40), pick("h", "commit", "sha1", "revision of")), (hex_("k", 32), "'md5 checksum'"),
@@ -76,6 +85,9 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (f"concat('http://www.example.com/item/', {hex_('q', 6)}, '?page=', id)", plain), (f"concat('images/photo_2024', id, '_sample_page.jpg')", plain),
         (f"concat('user.name', id, '@mail.example.com')", plain), ("concat('your_api_key_', id, '_example')", says), ("concat('xxxxxxxxxxxxxxxx', id)", says),
         (f"concat('order-list-item-', id, '-version-', pmod(id, 9))", plain), (f"concat('thereisinthat', id, 'ofandthe')", plain),
+        (f"lower(concat({word('x', 1)}, {word('y', 1)}, {word('z', 1)}, {word('A', 1)}))", plain), (f"concat(lower({word('B', 1)}), {word('C', 1)}, {word('D', 1)})", plain), (f"upper(concat_ws('_', {word('E', 1)}, {word('F', 1)}, {word('G', 1)}))", plain),
+        (f"lower(concat_ws('-', {word('H', 1)}, 'of', {word('I', 1)}, {word('J', 1)}))", plain), (f"lower(concat('/usr/', {word('K', 1)}, '/', {word('L', 1)}, '/', {word('M', 1)}))", plain), (f"lower(concat_ws('_', {word('N', 1)}, {word('O', 1)}, {word('P', 1)}))", plain),
+        (f"upper(concat({word('Q', 1)}, {word('R', 1)}, {word('S', 1)}))", plain), (f"lower(concat({word('T', 1)}, {word('U', 1)}))", pick("V", "the token", "a secret", "of the password", "key")),
     ]
     ids = spark.range(0, n, 1, 1)
     case = lambda rows, k: " ".join(f"WHEN {i} THEN {r[k]}" for i, r in enumerate(rows))
@@ -98,10 +110,10 @@ def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, place, run, word, before, after): candidates of ``docs`` (doc_id, text) by word number and
     number of the run in its word; ``word`` is the run with the character on either side of it."""
     text, digit = F.col("text"), lambda x: x.rlike("[0-9]")
-    likely = docs.select("doc_id", "text").where((digit(text) & text.rlike(RUN)) | text.rlike(KEYWORD))
+    likely = docs.select("doc_id", "text").where(text.rlike(RUN) | text.rlike(KEYWORD))
     words = likely.select("doc_id", F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "").alias("words"))
     said = lambda i: F.array_join(F.slice(F.col("words"), F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3))), " ")
-    worth = lambda x, i: x.rlike(SHORT) & ((x.rlike(RUN) & digit(x)) | x.rlike(KEYWORD) | said(i).rlike(ANNOUNCE))
+    worth = lambda x, i: x.rlike(SHORT) & (x.rlike(RUN) | x.rlike(KEYWORD) | said(i).rlike(ANNOUNCE))
     hits = F.filter(F.transform("words", lambda x, i: F.when(worth(x, i), i)), lambda i: i.isNotNull())
     out = words.select("doc_id", "words", F.explode(hits).alias("place"))
     whole = F.get("words", F.col("place"))
@@ -118,7 +130,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     out = out.select(
         "doc_id", "place", "said", "run", "core", F.regexp_replace(F.trim(F.concat_ws(" ", "said", lead)), r"['\"\s]+$", "").alias("before"),
         F.trim(F.concat_ws(" ", tail, "next")).alias("after"), F.right(near("gaps", k), F.lit(1)).alias("left"), F.left(near("gaps", k + 1), F.lit(1)).alias("right"),
-        F.filter(F.regexp_extract_all("core", F.lit(RUN), F.lit(0)), digit).alias("long"),
+        F.regexp_extract_all("core", F.lit(RUN), F.lit(0)).alias("long"),
     )
     core = F.col("core")
     heard = F.concat_ws(" ", "before", F.regexp_extract(core, "^([^=]*=)", 1))
