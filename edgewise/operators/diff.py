@@ -104,7 +104,7 @@ def interface_changes(old: Graph, new: Graph) -> DataFrame:
 def type_set_changes(old: Graph, new: Graph) -> DataFrame:
     """(id, from, to) of exported constraints whose type sets differ; only where both documents carry them."""
     m = matched(old, new).where("o.interface and n.interface and n.exported").where(~F.col("o.typeSet").eqNullSafe(F.col("n.typeSet")))
-    show = lambda c: F.coalesce(F.array_join(F.transform(c, lambda x: F.concat(F.lit('"'), F.regexp_replace(x, r'(["\\])', r"\\$1"), F.lit('"'))), "; "), F.lit("any (no type elements)"))
+    show = lambda c: F.coalesce(F.array_join(F.transform(c, lambda x: F.concat(F.lit('"'), F.regexp_replace(x, r'(["\\])', r"\\$1"), F.lit('"'))), "; "), F.lit("any type"))
     return m.where(F.lit(old.meta.interfaceTypeSets and new.meta.interfaceTypeSets)).select(F.col("n.id").alias("id"), show(F.col("o.typeSet")).alias("from"), show(F.col("n.typeSet")).alias("to"))
 
 
@@ -119,46 +119,46 @@ def breaking(old: Graph, new: Graph) -> DataFrame:
     both = m.where("o is not null and n is not null and o.exported")
     id, say = F.col("n.id"), lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v for v in x))
     parts = [
-        row(gone, 0, 0, say("exported vertex removed: ", F.col("o.id"))),
-        row(both.where("o.kind <> n.kind"), 0, 1, say("exported symbol ", id, " changed kind: ", F.col("o.kind"), " -> ", F.col("n.kind"))),
-        row(both.where("not n.exported"), 0, 2, say("exported symbol ", id, " became unexported")),
-        row(both.where("o.kind = 'const' and o.value <> '' and n.value <> '' and o.value <> n.value"), 0, 3, say("exported const ", id, " changed value: ", F.col("o.value"), " -> ", F.col("n.value"))),
-        row(both.where("o.fields is not null and n.fields is null"), 0, 4, say("exported type ", id, " is no longer a struct")),
+        row(gone, 0, 0, say("gone: ", F.col("o.id"))),
+        row(both.where("o.kind <> n.kind"), 0, 1, say("kind of ", id, ": was ", F.col("o.kind"), ", is ", F.col("n.kind"))),
+        row(both.where("not n.exported"), 0, 2, say("no more visible: ", id)),
+        row(both.where("o.kind = 'const' and o.value <> '' and n.value <> '' and o.value <> n.value"), 0, 3, say("value of constant ", id, ": was ", F.col("o.value"), ", is ", F.col("n.value"))),
+        row(both.where("o.fields is not null and n.fields is null"), 0, 4, say("no struct any more: ", id)),
     ]
     fields = field_changes(old, new).join(both.select(id.alias("id"), "key", "o.fields", F.col("n.fields").alias("nf")), "id")
     upper = lambda c: c.rlike(r"^\p{Lu}")
     type_of = lambda fields, f: F.element_at(F.transform(F.filter(fields, lambda x: _name(x) == f), lambda x: F.substring(x, F.length(f) + 2, F.lit(1 << 30))), 1)
     removed = fields.select("key", "id", F.explode("removed").alias("f")).where(upper(F.col("f")))
-    parts.append(row(removed, 0, 5, say("exported field ", F.col("id"), ".", F.col("f"), " was removed")))
+    parts.append(row(removed, 0, 5, say("field gone: ", F.col("id"), ".", F.col("f"))))
     retyped = fields.select("key", "id", "fields", "nf", F.explode("retyped").alias("f"))
     retyped = retyped.select("key", "id", "f", type_of(F.col("fields"), F.col("f")).alias("a"), type_of(F.col("nf"), F.col("f")).alias("b"))
-    parts.append(row(retyped.where(upper(F.col("f"))), 0, 6, say("exported field ", F.col("id"), ".", F.col("f"), " changed type: ", F.col("a"), " -> ", F.col("b"))))
+    parts.append(row(retyped.where(upper(F.col("f"))), 0, 6, say("type of field ", F.col("id"), ".", F.col("f"), ": was ", F.col("a"), ", is ", F.col("b"))))
     embeds = reduce(DataFrame.union, [g.edges.where("kind = 'embeds'").select(canonical_id(F.col("src")).alias("_s"), canonical_id(F.col("dst")).alias("_t")) for g in (old, new)]).distinct()
     bare = lambda c: F.regexp_replace(F.regexp_replace(c, r"^\*", ""), r"\[.*$", "")
     inner = retyped.where(~upper(F.col("f"))).join(embeds, (canonical_id(F.col("id")) == F.col("_s")) & F.col("_t").isin(bare(F.col("a")), bare(F.col("b"))) & (F.substring_index("_t", ".", -1) == F.col("f")), "left_semi")
-    parts.append(row(inner, 0, 7, say("embedded field ", F.col("id"), ".", F.col("f"), " changed type: ", F.col("a"), " -> ", F.col("b"), " — the promoted fields and methods may change")))
+    parts.append(row(inner, 0, 7, say("type of embedded field ", F.col("id"), ".", F.col("f"), ": was ", F.col("a"), ", is ", F.col("b"), "; what it promotes may differ")))
     literal = fields.where(F.forall("fields", lambda f: upper(_name(f))) & ((F.size("added") > 0) | F.col("reordered")))
-    parts.append(row(literal, 0, 8, say("all-exported struct ", F.col("id"), " gained fields or reordered them; unkeyed composite literals no longer compile")))
+    parts.append(row(literal, 0, 8, say("fields of ", F.col("id"), " came in or moved: literals without field names break")))
     lost = signature_diff(old, new).where("size(removed) > 0").select("id", F.explode("removed").alias("t")).join(both.select(id.alias("id"), "key"), "id")
-    parts.append(row(lost, 0, 9, say("exported signature of ", F.col("id"), " no longer mentions ", F.col("t"))))
+    parts.append(row(lost, 0, 9, say("signature of ", F.col("id"), " lost ", F.col("t"))))
     stops = m.where("o.interface and o.exported and n is not null and not n.interface")
-    parts.append(row(stops, 1, 0, say("exported type ", id, " is no longer an interface")))
+    parts.append(row(stops, 1, 0, say("no interface any more: ", id)))
     if old.meta.interfaceMethodSets and new.meta.interfaceMethodSets:
         changes = interface_changes(old, new)
-        parts.append(row(changes, 1, 1, say("exported interface ", F.col("id"), " ", F.col("change"), " method ", F.col("method")), "id"))
+        parts.append(row(changes, 1, 1, say("interface ", F.col("id"), ": method ", F.col("method"), " ", F.col("change")), "id"))
     types = type_set_changes(old, new)
-    parts.append(row(types, 2, 0, say("exported constraint ", F.col("id"), " changed type set: ", F.col("from"), " -> ", F.col("to"), " — instantiations or generic code may no longer compile"), "id"))
+    parts.append(row(types, 2, 0, say("type set of ", F.col("id"), ": was ", F.col("from"), ", is ", F.col("to")), "id"))
     return reduce(DataFrame.union, parts)
 
 
 def notes(old: Graph, new: Graph) -> list[str]:
     out = []
     if old.meta.level != new.meta.level:
-        out.append(f'level mismatch: old="{old.meta.level}" new="{new.meta.level}" — vertex sets are not comparable across levels')
+        out.append(f"levels differ ({old.meta.level}, {new.meta.level}): their vertices cannot be compared")
     if old.meta.module != new.meta.module:
-        out.append(f'module mismatch: old="{old.meta.module}" new="{new.meta.module}"')
+        out.append(f"modules differ ({old.meta.module}, {new.meta.module})")
     if old.meta.interfaceTypeSets != new.meta.interfaceTypeSets:
-        out.append("one document lacks interface type sets (interfaceTypeSets) — constraint type sets were not compared; re-harvest both to compare them")
+        out.append("type sets were not compared: one document has none")
     return sorted(out)
 
 

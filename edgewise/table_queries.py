@@ -104,7 +104,7 @@ def field_changes(spark, sf_dir):
     return diff.field_changes(old, _changed(g)).select("id", _text("added"), _text("removed"), _text("retyped"), "reordered")
 
 
-@query("""SELECT id, '"int"' AS "from", CASE WHEN p % 7 = 0 THEN 'any (no type elements)' ELSE '"int"; "s' || p % 7 || '"' END AS "to" FROM (SELECT id, split_part(id, '/', 2)::INT AS p FROM vertices WHERE kind = 'type' AND interface AND exported)""")
+@query("""SELECT id, '"int"' AS "from", CASE WHEN p % 7 = 0 THEN 'any type' ELSE '"int"; "s' || p % 7 || '"' END AS "to" FROM (SELECT id, split_part(id, '/', 2)::INT AS p FROM vertices WHERE kind = 'type' AND interface AND exported)""")
 def type_set_changes(spark, sf_dir):
     g = part_graph(spark, sf_dir)
     n = F.when(_stock("id"), _part()) % 7

@@ -155,7 +155,7 @@ def test_diff(spark):
     assert {tuple(r) for r in diff.vertex_diff(old, new).collect()} == {("m/a.NEW", "added"), ("m/a.gone", "removed")}
     assert [tuple(r) for r in diff.signature_diff(old, new).collect()] == [("m/a.F", ["m/a.U"], [])]
     assert {r.change for r in diff.edge_diff(old, new).collect()} == {"added", "removed"}
-    assert [r.message for r in diff.breaking(old, new).collect()] == ["exported vertex removed: m/a.gone"]
+    assert [r.message for r in diff.breaking(old, new).collect()] == ["gone: m/a.gone"]
 
 
 def test_field_changes(spark):
@@ -163,7 +163,7 @@ def test_field_changes(spark):
     old, new = t(["A:int", "B:string", "C:x"]), t(["B:int", "A:int", "D:y"])
     assert [tuple(r) for r in diff.field_changes(old, new).collect()] == [("p.T", ["D"], ["C"], ["B"], True)]
     text = [r.message for r in diff.breaking(old, new).orderBy("phase", "key", "seq").collect()]
-    assert text[0] == "exported field p.T.C was removed" and "B changed type: string -> int" in text[1] and "unkeyed" in text[2]
+    assert text[0] == "field gone: p.T.C" and "B: was string, is int" in text[1] and "without field names" in text[2]
 
 
 def test_baseline_is_a_multiset(spark):

@@ -81,7 +81,7 @@ def test_commands(spark):
     assert s.path("p.a", "p.b<")["found"] and s.summary()["vertices"] == 2 and s.dead()["findings"] == []
     assert s.reach(["p.a", "zz"])["missingRoots"] == ["zz"] and s.shared(["p.a"])["shared"] == ["p.a", "p.b<"]
     call = lambda **m: handle(s, json.dumps({"jsonrpc": "2.0", "id": 1, **m}))
-    assert len(call(method="tools/list")["result"]["tools"]) == 10
+    assert len(call(method="tools/list")["result"]["tools"]) == 12
     assert call(method="nope")["error"]["code"] == -32601 and handle(s, "{")["error"]["code"] == -32700
     assert call(method="tools/call", params={"name": "query", "arguments": {"id": "zz"}})["result"]["isError"]
     assert not call(method="tools/call", params={"name": "query", "arguments": {"id": "p.a"}})["result"]["isError"]
@@ -117,3 +117,32 @@ def test_a_snapshot_in_two_batches(spark, tmp_path):
         q.stop()
     got = {(r.src, r.dst, r.change, r.snapshot) for r in spark.read.parquet(str(tmp_path / "out/changes")).collect()}
     assert got == {("a", "b", "added", 1), ("a", "c", "added", 1), ("a", "d", "added", 2)}
+
+
+def test_commands_with_baselines_files_and_schemas(spark, tmp_path):
+    import json
+
+    from edgewise import commands
+
+    rows = [{"id": i, "kind": "package", "name": i, "position": {"file": f"/r/{i}/x.go", "line": 1, "column": 0}} for i in ("m/a", "m/b", "m/c")]
+    edges = [("m/a", "m/b", "import"), ("m/b", "m/a", "import"), ("m/c", "m/a", "import")]
+    s = Session(G.from_rows(spark, rows, edges, module="m", level="package", root="/r"))
+    rules_file, base = str(tmp_path / "rules.yml"), str(tmp_path / "base.json")
+    (tmp_path / "rules.yml").write_text(json.dumps({"components": {"a": ["a"], "b": ["b"], "c": ["c"]}, "deps": {"a": ["b"]}}))
+    first = s.rules(rules_file, save_baseline=base)
+    assert len(first["violations"]) == 2 and s.rules(rules_file, baseline=base)["violations"] == []
+    (tmp_path / "rules.yml").write_text(json.dumps({"components": {"a": ["a"], "b": ["b"], "c": ["c"]}, "deps": {"c": ["a"]}}))
+    after = s.rules(rules_file, baseline=base)
+    assert [(v["from"], v["to"]) for v in after["violations"]] == [("m/a", "m/b")] and after["stale"] == 1
+    assert len(s.rules(rules_file, sarif=True)["runs"][0]["results"]) == 2
+    cycles_base = str(tmp_path / "cycles.json")
+    assert len(s.cycles("package", save_baseline=cycles_base)["cycles"]) == 1 and s.cycles("package", baseline=cycles_base)["cycles"] == []
+    assert s.cycles("package", sarif=True)["runs"][0]["results"][0]["message"]["text"] == "m/a -> m/b"
+    got = s.affected(["m/b/x.go", "none.go"])
+    assert {r["id"] for r in got["impact"]} == {"m/a", "m/c"} and got["unmappedFiles"] == ["none.go"] and not got["outputLimited"]
+    assert s.impact("m/b", max=1)["outputLimited"] and s.query("m/a", max=1)["truncated"] == ["dependedBy"]
+    assert {r["id"] for r in s.change(["m/b/x.go"])["candidates"]} == {"m/a", "m/b", "m/c"}
+    schemas = {t["name"]: t["inputSchema"] for t in commands.handle(s, '{"id": 1, "method": "tools/list"}')["result"]["tools"]}
+    assert schemas["query"]["required"] == ["id"] and schemas["query"]["properties"]["depth"]["type"] == "integer" and not schemas["query"]["additionalProperties"]
+    wrong = commands.handle(s, '{"id": 1, "method": "tools/call", "params": {"name": "query", "arguments": {"id": "m/a", "dept": 2}}}')
+    assert wrong["result"]["isError"] and "dept" in wrong["result"]["content"][0]["text"]
