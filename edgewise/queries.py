@@ -179,7 +179,7 @@ def shortest_path(spark, sf_dir):
     return queries.path(g, root, far.id).select(F.col("step").cast("long").alias("step"), "id")
 
 
-_SHARED_SQL = """tops AS (SELECT src AS id, row_number() OVER (ORDER BY count(*) DESC, src) - 1 AS k FROM deps WHERE src LIKE 'part/%' GROUP BY src QUALIFY k < 10),
+_SHARED_SQL = """tops AS (SELECT src AS id, row_number() OVER (ORDER BY count(*) DESC, src) - 1 AS k FROM deps WHERE src LIKE 'part/%' GROUP BY src QUALIFY k < 3),
 reached AS (SELECT k, id FROM tops UNION SELECT r.k, d.dst FROM reached r JOIN deps d ON d.src = r.id)"""
 
 
@@ -414,10 +414,10 @@ QUERIES["multi_root_distributed"] = multi_root_distributed
 
 
 def _multi(spark, sf_dir, local=None):
-    """The three stocks with the most dependencies, to the full depth."""
+    """The ten stocks with the most dependencies, to the full depth."""
     g = part_graph(spark, sf_dir)
     g = g.with_(meta=G.Meta(dispatchEvidence=True))
-    tops = G.neighbors(g).where(_stock("src")).groupBy("src").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "src").limit(3).collect()
+    tops = G.neighbors(g).where(_stock("src")).groupBy("src").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "src").limit(10).collect()
     out, _ = traversal.traverse(g, [r.src for r in tops], local=local)
     return out.select("id", "depth", "via", _text("roots"), _text("relationships"), "evidence")
 
