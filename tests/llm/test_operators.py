@@ -105,6 +105,28 @@ def test_quality_holds_out_of_sample(spark, corpus):
     assert ((got.score >= 0.5) == (got.quality == 1)).mean() >= 0.97 and got.score.between(0, 1).all()
 
 
+def test_quality_equals_one_matrix(spark):
+    """The distributed fit against the same ridge problem solved in one piece."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    stats = quality.document_statistics(d).cache()
+    marked = quality.with_labels(stats, labels).toPandas()
+    x, y, apart = np.array(marked.x.tolist(), np.float64), marked.y.to_numpy(), marked.calibrate.to_numpy()
+    model = quality.Model(x.mean(0), np.where(x.std(0) > 1e-9, x.std(0), 1.0))
+    used = ~apart if (~apart).sum() >= 200 else np.ones(len(y), bool)
+    z = model.features(x[used])
+    model.beta = np.linalg.solve(z.T @ z + quality.RIDGE * used.sum() / quality.FEATURES * np.eye(z.shape[1]), z.T @ y[used])
+    held = apart if (~apart).sum() >= 200 else np.ones(len(y), bool)
+    at = np.clip((model.raw(x[held]) + 0.5) / 2 * quality.BINS, 0, quality.BINS - 1).astype(int)
+    bins = np.unique(at)
+    model.curve = quality.isotonic((bins + 0.5) / quality.BINS * 2 - 0.5, np.array([(at == b).sum() for b in bins], float), np.array([y[held][at == b].sum() for b in bins]))
+    every = stats.toPandas()
+    want = dict(zip(every.doc_id, model.score(np.array(every.x.tolist(), np.float64))))
+    got = {r.doc_id: r.score for r in quality.quality_scores(d, labels).collect()}
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 0.02
+    assert np.mean([abs(got[k] - want[k]) < 1e-6 for k in want]) >= 0.98
+
+
 def test_quality_odd(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert [r.score for r in quality.quality_scores(odd, none).collect()] == [0.5] * 8
@@ -498,6 +520,21 @@ def test_repetition_equals_brute_force(corpus):
         assert (x.n_words, x.longest_repeat, x.n_repeat_words, x.covered_words) == (len(w), longest.max(initial=0), span(5, 5), span(10))
 
 
+def test_repetition_base_columns_equal_brute_force(spark, corpus):
+    extra = docs(spark, [(10**6, "a b\n a b\na b\n\n \t\nx # * $ % & | < >"), (10**6 + 1, "é\u00a0ü ß\x0bq\x1cz"), (10**6 + 2, " ".join(f"k{n}" for n in range(9))), (10**6 + 3, " ".join(f"k{n % 40}" for n in range(200)))])
+    rows = corpus.select("doc_id", "text").union(extra.select("doc_id", "text"))
+    got = {r.doc_id: r for r in suffix_repetition.repetition(rows).collect()}
+    for r in rows.collect():
+        words = re.findall("[^\x20\x09-\x0D]+", r.text)
+        windows = Counter(tuple(words[k : k + 5]) for k in range(len(words) - 4))
+        again = {k + j for k in range(len(words) - 4) if windows[tuple(words[k : k + 5])] > 1 for j in range(5)}
+        lines = [x for x in r.text.split("\n") if re.search("[^\x20\x09-\x0D]", x)]
+        failed = len(words) < 10 or 100 * len(again) > 20 * len(words)
+        x = got[r.doc_id]
+        assert (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words, x.base_failed) == (len(words), sum(map(len, words)), len(re.findall("[#*$%&|<>]", r.text)), len(lines) - len(set(lines)), len(again), failed)
+        assert x.kept == (not failed and x.covered_words <= 0.15 * x.n_words and x.longest_repeat <= 100)
+
+
 def test_repetition_odd(odd, empty):
     got = suffix_repetition.repetition(odd).toPandas()
     assert len(got) == 8 and got[got.doc_id.isin([1, 2, 3, 4])].base_failed.all() and got[got.doc_id == 5].kept.all()
