@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from edgewise import graph as G
 from edgewise.functions import routes as router
 from edgewise.functions import sqlrel, wrappers
-from edgewise.functions.ids import canonical_id, utf16_key
+from edgewise.functions.ids import canonical_id, portable_position, utf16_key
 from edgewise.operators import cycles, diff, queries, rules, traversal
 from edgewise.operators.reach import reachable
 from edgewise.session import stage
@@ -43,7 +43,10 @@ class Session:
         ordered = F.to_json(F.struct(*df.columns))
         keyed = stage(df.distinct().withColumns({"key": key, "ord": ordered}), "keyed")
         if save_baseline:
-            export.save_baseline(save_baseline, TOOL, kind, rows(keyed.orderBy("ord").drop("key", "ord")))
+            out = keyed.orderBy("ord").drop("key", "ord")
+            if "position" in out.columns:
+                out = out.withColumn("position", portable_position(F.col("position"), self.g.meta.moduleDir or self.g.meta.root))
+            export.save_baseline(save_baseline, TOOL, kind, rows(out))
         if not baseline:
             return keyed.drop("key", "ord"), 0
         known = [tuple(x.get(c) for c in df.columns) for x in documents.load_baseline(baseline, TOOL, kind)]

@@ -93,3 +93,21 @@ def significant(x: Column, digits: int = 3) -> Column:
 
 def round3(x: Column) -> Column:
     return F.round(x * 1000) / 1000
+
+
+def portable_file(file: Column, root: str) -> Column:
+    """A file as a committed baseline names it: relative to ``root`` where it lies inside, else its bare name.
+
+    Relative files count as relative to the root; one that climbs out of it, or starts at
+    the root of any system, keeps its name alone.
+    """
+    inner = file
+    if base := root.rstrip("/"):
+        inner = F.when(file.startswith(base + "/"), F.substring(file, len(base) + 2, 1 << 30)).otherwise(file)
+    clean = F.regexp_replace(F.regexp_replace(inner, r"/(\./)+|//+", "/"), r"^(\./)+", "")
+    outside = clean.rlike(r"^([/\\]|[A-Za-z]:)") | clean.rlike(r"(^|/)\.\.(/|$)") | clean.isin("", ".")
+    return F.when(outside, F.regexp_extract(file, r"([^/\\]*)$", 1)).otherwise(clean)
+
+
+def portable_position(position: Column, root: str) -> Column:
+    return F.when(position.isNotNull(), F.struct(portable_file(position["file"], root).alias("file"), position["line"].alias("line"), position["column"].alias("column")))

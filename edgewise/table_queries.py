@@ -204,3 +204,23 @@ def patterns_and_joins(spark, sf_dir):
         return n, "|".join(sorted(made)), composed, urls.join_path("https://h/a", "..", "x", str(n)), urls.resolve("/a/../b/", str(n)), urls.posix_join("a", "", ".", str(n), "b", "..")
 
     return _rows(read_table(spark, sf_dir, "pages").select("page_id"), "page_id long, template string, composed string, joined string, cleaned string, plain string", row)
+
+
+@query("""SELECT DISTINCT p_type AS type, CASE p_partkey % 4 WHEN 0 THEN 'id' || p_size WHEN 1 THEN 'Name' || p_size ELSE 's' || p_size END AS "column", CASE WHEN p_type LIKE '%A%' THEN 't_' || p_type END AS relation FROM part WHERE p_partkey % 4 < 3""", on_graph=False)
+def tag_columns(spark, sf_dir):
+    from edgewise.functions.sqlrel import column_facts
+
+    p, n = read_table(spark, sf_dir, "part"), F.col("p_partkey") % 4
+    text = lambda head, tail: F.concat(F.lit(head), "p_size", F.lit(tail))
+    tag = F.when(n == 0, text('json:"x,db" db:"id', ',omitempty"')).when(n == 1, text('db:"" gorm:"size:9;COLUMN:Name', ';index"')).when(n == 2, text('sql:"s', '" gorm:"column:no"')).otherwise('db:"-" gorm:"column:x"')
+    known = p.where("contains(p_type, 'A')").select(F.col("p_type").alias("type"), F.concat(F.lit("t_"), "p_type").alias("relation"))
+    return column_facts(p.select(F.col("p_type").alias("type"), tag.alias("tag")), known)
+
+
+@query("""SELECT p_partkey, 'src/' || p_brand || '/f' || p_size || '.go' AS inside, 'f' || p_size || '.go' AS outside, 'a/f' || p_size || '.go' AS relative FROM part""", on_graph=False)
+def portable_files(spark, sf_dir):
+    from edgewise.functions.ids import portable_file
+
+    file = F.concat(F.lit("f"), "p_size", F.lit(".go"))
+    of = lambda *x: portable_file(F.concat(*x), "/home/u/m")
+    return read_table(spark, sf_dir, "part").select("p_partkey", of(F.lit("/home/u/m/src/"), F.col("p_brand"), F.lit("/"), file).alias("inside"), of(F.lit("C:\\lib\\"), file).alias("outside"), of(F.lit("./a/./"), file).alias("relative"))

@@ -1,6 +1,7 @@
 """Text functions against their written rules."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from edgewise.functions import sqlrel, templates, urls
 
@@ -77,3 +78,15 @@ def test_urls():
     assert urls.posix_join("/a", "", "../b/") == "/b" and urls.posix_join() == ""
     assert urls.resolve("http://h/a/b", "../c") == "http://h/c" and urls.resolve(None, "") is None
     assert urls.slash_join("http://h/", "x", trims=True) == "http://h/x" and urls.slash_join("b", "http://o/p") == "http://o/p"
+
+
+def test_portable_files_and_tag_columns(spark):
+    from edgewise.functions.ids import portable_file
+    from edgewise.functions.sqlrel import tag_column
+
+    files = {"/r/a/x.go": "a/x.go", "/other/x.go": "x.go", "../up/x.go": "x.go", "a/../../x.go": "x.go", "./a//x.go": "a/x.go", r"C:\m\x.go": "x.go", "/r2/x.go": "x.go", "x.go": "x.go"}
+    df = spark.createDataFrame([(k,) for k in files], "f string")
+    assert {r.f: r.p for r in df.select("f", portable_file(F.col("f"), "/r").alias("p")).collect()} == files
+    tags = {'db:"a,x"': "a", 'json:"db" sql:"b"': "b", 'gorm:"size:1;Column:C"': "C", 'db:"-"': None, 'xdb:"q"': None, 'json:"db:\\"z\\"" db:"w"': "w", 'db:"" gorm:"column:g"': "g", "db:bad": None}
+    df = spark.createDataFrame([(k,) for k in tags], "t string")
+    assert {r.t: r.c for r in df.select("t", tag_column(F.col("t")).alias("c")).collect()} == tags
