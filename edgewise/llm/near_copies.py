@@ -117,15 +117,16 @@ def banded(nodes: DataFrame, *columns: str) -> DataFrame:
 
 
 def with_first(nodes: DataFrame) -> DataFrame:
-    """(a, b): each member of a band group with its group's first member, if they may be copies."""
+    """(a, b): each member of a band group of two or more with its group's first member if they may be copies, else with itself."""
 
     def run(batches):
         for rows in by_key(batches):
             key, node, fp, size = rows.T
             starts, sizes = starts_of(key)
             head = np.repeat(starts, sizes)
-            got = close(fp[head], fp, size[head], size) & (head != np.arange(len(head)))
-            yield pa.RecordBatch.from_arrays([pa.array(node[head][got]), pa.array(node[got])], ["a", "b"])
+            got = np.repeat(sizes > 1, sizes)
+            first = np.where(close(fp[head], fp, size[head], size), node[head], node)
+            yield pa.RecordBatch.from_arrays([pa.array(first[got]), pa.array(node[got])], ["a", "b"])
 
     return banded(nodes).mapInArrow(run, "a long, b long")
 
@@ -239,24 +240,22 @@ def copy_classes(docs: DataFrame, width: int = 5) -> tuple[DataFrame, DataFrame]
     kept = [F.first(c).alias(c) for c in ("fp", "size", "bands")]
     nodes = stage(prints.groupBy("node").agg(*kept), "distinct-texts")
     pairs = stage(by_variants(nodes).union(with_first(nodes)).distinct(), "candidates")
-
-    def texts_of(asked: DataFrame) -> DataFrame:
-        return docs.select(node_of().alias("node"), "text").join(asked.distinct(), "node", "left_semi").dropDuplicates(["node"])
-
-    texts = stage(texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b"))), "candidate-texts")
-    links = stage(verified(pairs, texts, width), "copies")
-    release(texts)
+    asked = stage(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "asked")
+    # One text a node leaves each task; with a fixed kind of join the plan is one at all sizes.
+    every = docs.select(node_of().alias("node"), "text").groupBy("node").agg(F.min("text").alias("text"))
+    texts = stage(every.join(asked.hint("merge"), "node", "left_semi"), "texts")
+    links = stage(verified(pairs.where("a <> b"), texts, width), "copies")
     roots = stage(components(links), "roots")
-    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = nodes.join(asked, "node", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = stage(rooted, "rooted")
     apart = stage(left_apart(rooted), "left-apart")
     if not apart.isEmpty():
-        texts = stage(texts_of(apart.select("node")), "apart-texts")
         more = stage(crossing(apart.join(rooted.drop("bands"), "node").join(texts, "node"), width), "crossing")
         sure = more.where("sure").select("a", "b").union(verified(more.where("NOT sure").select("a", "b").distinct(), texts, width))
         # The roots stand for the links before.
         roots = stage(components(stage(sure.union(roots.select("node", "root")), "all-links")), "roots")
-        release(texts, more)
-    release(pairs, apart)
+        release(more)
+    release(pairs, asked, texts, rooted, apart)
     classes = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     return classes, prints.select("doc_id", "node")
 
