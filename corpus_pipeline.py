@@ -47,7 +47,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = docs.withColumns({"_node": near_copies.node_of(), "_row": row_key()})
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_node", "_row")
     first = keyed.select("doc_id", "_node", "_row").join(classes, F.col("_node") == F.col("node")).groupBy("root").agg(F.min(rank).alias("first"))
-    return keyed.join(first.select(F.col("first._row").alias("_row")), "_row", "left_semi").dropDuplicates(["_row"]).select(*COLUMNS)
+    return keyed.join(first.select(F.col("first._row").alias("_row")).hint("merge"), "_row", "left_semi").dropDuplicates(["_row"]).select(*COLUMNS)
 
 
 def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
