@@ -59,7 +59,9 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc_id, version, place) of every line of ``docs`` (doc_id, text) that is dropped."""
     lines = stage(_lines(docs), "lines")
     leaves = stage(lines.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf"), "leaves")
-    kinds = lines.join(leaves.hint("shuffle_hash"), "leaf").select("leaf", "kind", "line", "doc_id", "version").distinct()
+    # The exchange behind the join is what lets it split a hot leaf.
+    kinds = lines.join(leaves.hint("shuffle_hash"), "leaf").select("leaf", "kind", "line", "doc_id", "version")
+    kinds = kinds.repartition("leaf", "kind", "doc_id", "version").distinct()
     kinds = kinds.groupBy("leaf", "kind", "line").agg(F.count("*").alias("docs"))
     kinds = stage(kinds.select("leaf", "kind", "docs", F.split("line", " ").alias("tokens")), "kinds")
     tokens = kinds.select("leaf", "kind", "docs", F.posexplode("tokens").alias("at", "token"))
