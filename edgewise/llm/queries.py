@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgewise.llm import html_wrappers, latent_leaks, line_templates, packing, pitman_yor, quality, quotations, secret_forest, simhash, suffix_repetition
+from edgewise.llm import html_wrappers, latent_leaks, line_templates, packing, pitman_yor, quality, quotations, secret_forest, simhash, spelling, suffix_repetition
 from edgewise.session import read_table
 
 
@@ -69,5 +69,9 @@ def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_mod(10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_templates, op2_quality_classifier, op3_latent_leaks, op4_power_of_two_packing, op5_quotation_linking, op6_html_wrappers, op7_suffix_repetition, op8_simhash_variants, op9_secret_forest, op10_pitman_yor)}
-ORACLE_SQL: dict[str, str] = {"op1_line_templates": line_templates.ORACLE}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_templates, op2_quality_classifier, op3_latent_leaks, op4_power_of_two_packing, op5_quotation_linking, op6_html_wrappers, op7_suffix_repetition, op8_simhash_variants, op9_secret_forest, op10_pitman_yor, op11_spelling_variants)}
+ORACLE_SQL: dict[str, str] = {"op1_line_templates": line_templates.ORACLE, "op11_spelling_variants": spelling.ORACLE}
