@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgewise.llm import html_wrappers, latent_leaks, line_templates, packing, pitman_yor, quality, quotations, secret_forest, simhash, spelling, suffix_repetition, turn_repair
+from edgewise.llm import archives, html_wrappers, latent_leaks, line_templates, packing, pitman_yor, quality, quotations, secret_forest, simhash, spelling, suffix_repetition, turn_repair
 from edgewise.session import read_table
 
 
@@ -73,10 +73,14 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(read_table(spark, sf_dir, "documents"))
 
 
+def op12_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.archived(read_table(spark, sf_dir, "pages")).drop("url")
+
+
 def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations")
     return turn_repair.repairs(turn_repair.damaged(rows), rows)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_templates, op2_quality_classifier, op3_latent_leaks, op4_power_of_two_packing, op5_quotation_linking, op6_html_wrappers, op7_suffix_repetition, op8_simhash_variants, op9_secret_forest, op10_pitman_yor, op11_spelling_variants, op13_turn_repair)}
-ORACLE_SQL: dict[str, str] = {"op1_line_templates": line_templates.ORACLE, "op11_spelling_variants": spelling.ORACLE, "op13_turn_repair": turn_repair.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_line_templates, op2_quality_classifier, op3_latent_leaks, op4_power_of_two_packing, op5_quotation_linking, op6_html_wrappers, op7_suffix_repetition, op8_simhash_variants, op9_secret_forest, op10_pitman_yor, op11_spelling_variants, op12_arc_to_warc, op13_turn_repair)}
+ORACLE_SQL: dict[str, str] = {"op1_line_templates": line_templates.ORACLE, "op11_spelling_variants": spelling.ORACLE, "op12_arc_to_warc": archives.ORACLE, "op13_turn_repair": turn_repair.ORACLE}
