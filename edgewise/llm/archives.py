@@ -97,7 +97,7 @@ def _arc_line(version, url, ip, date, content_type, status, checksum, name, offs
     return (" ".join(str(of[f]) for f in ARC_FIELDS[version].split()) + "\n").encode()
 
 
-def _files(batches, opened, record):
+def _files(batches, opened, record, file_bytes: int):
     """One row a file: ``opened`` gives a kind's name and opening bytes, ``record`` a row's kind and a function of
     name and offset that gives its bytes. Records of different kinds go to different files."""
     part, n, held = TaskContext.get().partitionId(), 0, {}
@@ -107,7 +107,7 @@ def _files(batches, opened, record):
         for row in zip(*columns):
             kind, made = record(row)
             name, size, parts = held.get(kind, (None, 0, None))
-            if parts is None or size + len(row[-1]) > FILE_BYTES:
+            if parts is None or size + len(row[-1]) > file_bytes:
                 if parts is not None:
                     yield out(parts)
                 name, start = opened(kind, f"{part:06d}-{n:05d}")
@@ -126,7 +126,7 @@ def _write(files: DataFrame, path: str, line_end: str) -> str:
     return path
 
 
-def write_arc(rows: DataFrame, path: str, prefix: str = "capture") -> str:
+def write_arc(rows: DataFrame, path: str, prefix: str = "capture", file_bytes: int = FILE_BYTES) -> str:
     """Write captures as compressed ARC files of their versions."""
 
     def opened(version, at):
@@ -138,7 +138,7 @@ def write_arc(rows: DataFrame, path: str, prefix: str = "capture") -> str:
         version, url, ip, date, content_type, status, checksum, block = row
         return version, lambda name, at: b"\n" + _arc_line(version, url, ip, date, content_type, status, checksum, name, at, len(block)) + block
 
-    return _write(rows.mapInArrow(lambda batches: _files(batches, opened, record), "value binary"), path, "\n")
+    return _write(rows.mapInArrow(lambda batches: _files(batches, opened, record, file_bytes), "value binary"), path, "\n")
 
 
 def _stream(content: bytes):
@@ -258,7 +258,7 @@ def _warc_bytes(fields: list, block: bytes) -> bytes:
     return f"WARC/1.0\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n"
 
 
-def write_warc(records: DataFrame, path: str, prefix: str = "converted") -> str:
+def write_warc(records: DataFrame, path: str, prefix: str = "converted", file_bytes: int = FILE_BYTES) -> str:
     """Write records (columns of ``RECORD`` and refers_to) as compressed WARC files; one with refers_to is a revisit and keeps the HTTP headers alone."""
     columns = ["type", "record_id", "date", "uri", "ip", "content_type", "payload_digest", "block_digest", "problem", "refers_to", "block"]
 
@@ -281,7 +281,7 @@ def write_warc(records: DataFrame, path: str, prefix: str = "converted") -> str:
         data = _warc_bytes(fields, block)
         return 0, lambda name, at: b"\r\n" + data
 
-    return _write(records.select(*columns).mapInArrow(lambda batches: _files(batches, opened, record), "value binary"), path, "\r\n")
+    return _write(records.select(*columns).mapInArrow(lambda batches: _files(batches, opened, record, file_bytes), "value binary"), path, "\r\n")
 
 
 def warc_records(stream, file: str, with_block: bool = True):
