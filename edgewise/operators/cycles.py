@@ -1,18 +1,21 @@
 """Strongly connected components and their evidence.
 
-Up to the size of the local kernel one task runs an iterative depth-first search. Beyond
-it: vertices without incoming or outgoing pairs are trimmed until none is left, then the
-smallest id spreads forward to a fixed point, and from each vertex that kept its own id a
-backward search inside its colour yields one component; repeat on the rest.
+Vertices without incoming or outgoing pairs are trimmed. A vertex with one way out, to a vertex
+with one way in, is on a cycle exactly if that one is, so chains of such pairs become one
+vertex by pointer doubling, and a ring is found whole. On what is left the smallest id spreads
+forward to a fixed point, and from each vertex that kept its own id a backward search inside
+its colour yields one component; repeat on the rest.
 """
 
 from __future__ import annotations
 
+from math import log2
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgewise.graph import Graph
-from edgewise.operators.reach import in_one_task, is_local
+from edgewise.operators.reach import discover
 from edgewise.session import release, stage
 
 
@@ -21,112 +24,108 @@ def cycle_edges(g: Graph) -> DataFrame:
     return g.edges.where("kind <> 'contains' AND NOT candidate")
 
 
-def _components(adjacency, _roots):
-    index, low, on, stack, counter = {}, {}, set(), [], 0
-    for start in sorted(adjacency):
-        if start in index:
-            continue
-        work = [(start, iter(adjacency.get(start, ())))]
-        index[start] = low[start] = counter
-        counter += 1
-        stack.append(start)
-        on.add(start)
-        while work:
-            node, rest = work[-1]
-            for y in rest:
-                if y not in index:
-                    index[y] = low[y] = counter
-                    counter += 1
-                    stack.append(y)
-                    on.add(y)
-                    work.append((y, iter(adjacency.get(y, ()))))
-                    break
-                if y in on:
-                    low[node] = min(low[node], index[y])
-            else:
-                work.pop()
-                if work:
-                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
-                if low[node] == index[node]:
-                    members = []
-                    while True:
-                        x = stack.pop()
-                        on.discard(x)
-                        members.append(x)
-                        if x == node:
-                            break
-                    if len(members) > 1 or node in adjacency.get(node, ()):
-                        first = min(members)
-                        yield from ((first, x) for x in members)
-
-
 def _trim(pairs: DataFrame) -> DataFrame:
-    n = pairs.count()
-    while True:
-        ends = pairs.select("src").intersect(pairs.select("dst")).withColumnRenamed("src", "id")
-        kept = pairs.join(ends.withColumnRenamed("id", "src"), "src", "left_semi").join(ends.withColumnRenamed("id", "dst"), "dst", "left_semi")
-        kept = stage(kept.select("src", "dst"), "trimmed")
-        release(pairs)
-        pairs, m = kept, kept.count()
-        if m in (0, n):
-            return pairs
-        n = m
+    """Pairs between vertices that have pairs in and out."""
+    ends = pairs.select(F.col("src").alias("id")).intersect(pairs.select(F.col("dst").alias("id")))
+    kept = pairs.join(ends.withColumnRenamed("id", "src"), "src", "left_semi").join(ends.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    return stage(kept.select("src", "dst"), "trimmed")
+
+
+def _chains(pairs: DataFrame) -> DataFrame:
+    """(id, head, ring): vertices of chains, and the vertex that stands for each chain: its last one, of a ring the smallest."""
+    one_out = pairs.groupBy("src").agg(F.min("dst").alias("dst"), F.count("*").alias("n")).where("n = 1").select("src", "dst")
+    one_in = pairs.groupBy("dst").agg(F.count("*").alias("n")).where("n = 1").select("dst")
+    now = one_out.join(one_in, "dst", "left_semi").select(F.col("src").alias("id"), F.col("dst").alias("on"), F.least("src", "dst").alias("least"), F.lit(False).alias("ended"))
+    now = stage(now, "chains")
+    n = now.count()
+    # After as many doublings as n has bits, what has not ended goes round a ring.
+    for _ in range(int(log2(n)) + 1 if n else 0):
+        over = now.select(F.col("id").alias("on"), F.col("on").alias("over"), F.col("least").alias("_l"), F.col("ended").alias("_e"))
+        then = now.join(over, "on", "left")
+        after = stage(then.select("id", F.coalesce("over", "on").alias("on"), F.least("least", F.coalesce("_l", "least")).alias("least"), (F.col("over").isNull() | F.col("_e")).alias("ended")), "chains")
+        release(now)
+        now = after
+        if now.where("NOT ended").isEmpty():
+            break
+    return now.select("id", F.when(F.col("ended"), F.col("on")).otherwise(F.col("least")).alias("head"), (~F.col("ended")).alias("ring"))
 
 
 def _spread(pairs: DataFrame) -> DataFrame:
-    """(id, colour): the smallest id with a path to each vertex, itself included."""
+    """(id, colour): the smallest id with a path to each vertex, itself included. Only vertices whose colour fell offer it on."""
     ids = pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).distinct()
-    now = stage(ids.select("id", F.col("id").alias("colour")), "colours")
+    now = stage(ids.select("id", F.col("id").alias("colour"), F.lit(True).alias("new")), "colours")
     while True:
-        offered = pairs.join(now.select(F.col("id").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("colour").alias("c"))
-        after = stage(now.join(offered, "id", "left").select("id", F.least("colour", F.coalesce("c", "colour")).alias("colour"), (F.col("c") < F.col("colour")).alias("new")), "colours")
-        changed = not after.where("new").isEmpty()
+        offered = pairs.join(now.where("new").select(F.col("id").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("colour").alias("c"))
+        after = stage(now.join(offered, "id", "left").select("id", F.least("colour", F.coalesce("c", "colour")).alias("colour"), F.coalesce(F.col("c") < F.col("colour"), F.lit(False)).alias("new")), "colours")
         release(now)
-        now = after.drop("new")
-        now._edgewise_path = after._edgewise_path
-        if not changed:
-            return now
-
-
-def _distributed(pairs: DataFrame) -> DataFrame:
-    loops = pairs.where("src = dst").select(F.col("src").alias("component"), F.col("src").alias("id"))
-    rest, out = stage(pairs.where("src <> dst"), "pairs"), None
-    while True:
-        rest = _trim(rest)
-        if rest.isEmpty():
+        now = after
+        if now.where("new").isEmpty():
+            return now.select("id", "colour")
+
+
+def components(pairs: DataFrame) -> DataFrame:
+    """(component, id) of all vertices on a cycle of ``pairs`` (src, dst); the component is its smallest member."""
+    pairs = pairs.select("src", "dst").distinct()
+    rest = stage(pairs.where("src <> dst"), "pairs")
+    # What was learnt, in order: vertices on a cycle of their own, vertices that stand for others, components.
+    learnt = [("loops", stage(pairs.where("src = dst").select(F.col("src").alias("id")), "loops"))]
+    size = rest.count()
+    while size:
+        before = None
+        while size and size != before:  # trimming and contraction feed each other
+            trimmed, before = _trim(rest), size
+            release(rest)
+            chains = stage(_chains(trimmed), "heads")
+            rest, loops = _contract(trimmed, chains)
+            learnt += [("heads", chains), ("loops", loops)]
+            size = rest.count()
+        if not size:
             break
         colours = _spread(rest)
         inside = rest.join(colours.select(F.col("id").alias("src"), F.col("colour").alias("a")), "src").join(colours.select(F.col("id").alias("dst"), F.col("colour").alias("b")), "dst").where("a = b")
-        inside = stage(inside.select("src", "dst", "a"), "inside")
-        # Backward from each colour's own vertex, inside the colour.
-        found = stage(colours.where("id = colour").select("id", F.col("colour").alias("component")), "back")
-        layer = found
-        while True:
-            before = inside.join(layer.select(F.col("id").alias("dst"), F.col("component").alias("a")), ["dst", "a"]).select(F.col("src").alias("id"), F.col("a").alias("component")).distinct()
-            layer = stage(before.join(found, ["id", "component"], "left_anti"), "back-layer")
-            if layer.isEmpty():
-                break
-            found = stage(found.union(layer), "back")
-        out = found if out is None else out.union(found)
+        # Backward from each colour's own vertex; pairs inside colours do not leave them.
+        back = discover(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")), colours.where("id = colour").select(F.lit(0).alias("key"), "id"), ranked=False).select("id")
+        found = stage(colours.join(back, "id", "left_semi").select(F.col("colour").alias("component"), "id"), "components")
+        many = found.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+        learnt.append(("components", found.join(many, "component", "left_semi").select("component", "id")))
         gone = found.select("id")
-        left = rest.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
-        left = stage(left.select("src", "dst"), "rest")
+        left = stage(rest.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"), "rest")
         release(rest)
-        rest = left
-    if out is None:
-        return loops.distinct()
-    sizes = out.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
-    out = out.join(sizes, "component", "left_semi").select("component", "id")
-    return out.union(loops.join(out.select("id"), "id", "left_anti").select("component", "id")).distinct()
-
-
-def cycles(g: Graph, local: bool | None = None) -> DataFrame:
+        rest, size = left, left.count()
+    return _unfold(learnt)
+
+
+def _contract(pairs: DataFrame, chains: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs between heads, and the heads (id) of rings and of chains that close."""
+    on = chains.select(F.col("id").alias("dst"), "head")
+    kept = pairs.join(chains.select(F.col("id").alias("src")), "src", "left_anti").join(on, "dst", "left").select("src", F.coalesce("head", "dst").alias("dst"))
+    kept = stage(kept.distinct(), "contracted")
+    loops = kept.where("src = dst").select(F.col("src").alias("id")).union(chains.where("ring").select("head").distinct())
+    return kept.where("src <> dst"), loops
+
+
+def _unfold(learnt: list) -> DataFrame:
+    """Members of all components, from what was learnt last to what was first: a vertex belongs where its head does, or to
+    itself if nothing larger claims it."""
+    members = None
+    for kind, x in reversed(learnt):
+        if members is None:
+            members = x.select(F.lit("").alias("component"), "id").limit(0)
+        if kind == "components":
+            more = x
+        elif kind == "heads":
+            more = x.where("id <> head").join(members.withColumnRenamed("id", "head"), "head").select("component", "id")
+        else:
+            more = x.join(members, "id", "left_anti").select(F.col("id").alias("component"), "id")
+        if not more.isEmpty():
+            members = stage(members.union(more.select("component", "id")), "members")
+    first = members.groupBy("component").agg(F.min("id").alias("first"))
+    return members.join(first, "component").select(F.col("first").alias("component"), "id")
+
+
+def cycles(g: Graph) -> DataFrame:
     """(component, id): members of every cycle; the component is its smallest member."""
-    pairs = stage(cycle_edges(g).select("src", "dst").distinct(), "pairs")
-    if is_local(pairs) if local is None else local:
-        none = g.spark.createDataFrame([], "key int, id string")
-        return stage(in_one_task(pairs, none, _components, "component string, id string"), "components")
-    return _distributed(pairs)
+    return stage(components(cycle_edges(g)), "components")
 
 
 def evidence(g: Graph, members: DataFrame) -> DataFrame:

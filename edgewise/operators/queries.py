@@ -31,23 +31,23 @@ def reverse(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *(c for c in pairs.columns if c not in ("src", "dst")))
 
 
-def walk(pairs: DataFrame, root: DataFrame, depth: int, limit: int = 0, local: bool | None = None) -> DataFrame:
+def walk(pairs: DataFrame, root: DataFrame, depth: int, limit: int = 0) -> DataFrame:
     """Neighbours in one direction: (id, kinds, depth, rank) with the kinds of the discovering pair."""
-    found = discover(pairs, root, max(1, depth), local).where("depth > 0")
+    found = discover(pairs, root, max(1, depth)).where("depth > 0")
     if limit > 0:
-        found = found.where(F.col("rank") <= limit)  # the root has rank 0
+        found = found.orderBy("depth", "rank").limit(limit)
     return found.join(pairs, (pairs.src == found.parent) & (pairs.dst == found.id)).select("id", "kinds", "depth", "rank")
 
 
-def query(g: Graph, id: str, depth: int = 1, limit: int = 0, local: bool | None = None) -> DataFrame:
+def query(g: Graph, id: str, depth: int = 1, limit: int = 0) -> DataFrame:
     """(direction, id, kinds, depth): what ``id`` depends on and is depended on by, to a depth of at least 1.
 
     A limit takes the first in discovery order of each direction; rows can be sorted by id at the sink.
     """
     _need(g, id)
     pairs, root = stage(neighbors(g), "neighbors"), keyed(g, [id])
-    on = walk(pairs, root, depth, limit, local).withColumn("direction", F.lit("dependsOn"))
-    by = walk(reverse(pairs), root, depth, limit, local).withColumn("direction", F.lit("dependedBy"))
+    on = walk(pairs, root, depth, limit).withColumn("direction", F.lit("dependsOn"))
+    by = walk(reverse(pairs), root, depth, limit).withColumn("direction", F.lit("dependedBy"))
     return on.union(by).select("direction", "id", "kinds", "depth")
 
 
@@ -57,15 +57,15 @@ def _layers(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return pairs.join(a, "src").join(b, "dst").where("depth = _d + 1").select(F.col("dst").alias("id"), "depth", "rank", F.col("src").alias("parent"), "kinds")
 
 
-def impact(g: Graph, ids: list[str], depth: int = 0, limit: int = 0, local: bool | None = None) -> DataFrame:
+def impact(g: Graph, ids: list[str], depth: int = 0, limit: int = 0) -> DataFrame:
     """(id, depth, kinds) of all that depends on ``ids``, with the kinds of all pairs from the layer before."""
     _need(g, *ids)
     pairs = stage(reverse(neighbors(g)), "dependers")
     roots = keyed(g, ids).select(F.lit(0).alias("key"), "id").distinct()
-    found = stage(discover(pairs, roots, depth if depth > 0 else None, local), "impact")
+    found = stage(discover(pairs, roots, depth if depth > 0 else None), "impact")
     out = _layers(pairs, found)
     if limit > 0:
-        out = out.where(F.col("rank") < limit + roots.count())
+        out = out.join(found.where("depth > 0").orderBy("depth", "rank").limit(limit).select("id"), "id", "left_semi")
     return out.groupBy("id", "depth").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("kinds"))
 
 
@@ -75,26 +75,26 @@ def depth_limited(g: Graph, ids: list[str], depth: int) -> bool:
     return depth > 0 and not found.where(F.col("depth") == depth + 1).isEmpty()
 
 
-def path(g: Graph, src: str, dst: str, local: bool | None = None) -> DataFrame:
+def path(g: Graph, src: str, dst: str) -> DataFrame:
     """(step, id, kinds): the shortest path, first by id order; kinds are those of the pair that leads to
     the step. From a vertex to itself is one step; empty if there is none."""
     _need(g, src, dst)
     pairs = stage(neighbors(g), "neighbors")
     if src == dst:
         return g.spark.createDataFrame([(0, src, None)], "step int, id string, kinds array<string>")
-    steps = backtrack(discover(pairs, keyed(g, [src]), local=local), dst)
+    steps = backtrack(discover(pairs, keyed(g, [src])), dst)
     before = steps.select((F.col("step") + 1).alias("step"), F.col("id").alias("src"))
     out = steps.join(before, "step", "left")
     return out.join(pairs.withColumnRenamed("src", "_s"), (F.col("_s") == F.col("src")) & (F.col("dst") == F.col("id")), "left").select("step", "id", "kinds").orderBy("step")
 
 
-def shared(g: Graph, ids: list[str], local: bool | None = None) -> DataFrame:
+def shared(g: Graph, ids: list[str]) -> DataFrame:
     """(id, roots, n): which of ``ids`` reach each vertex, themselves included, over dependencies.
 
     Shared are those with n = len(ids); only[r] are those that r reaches and not all do.
     """
     _need(g, *ids)
-    found = discover(dependencies(g), keyed(g, ids), local=local, ranked=False)
+    found = discover(dependencies(g), keyed(g, ids), ranked=False)
     return found.groupBy("id").agg(F.array_sort(F.collect_set("key")).alias("roots"), F.count("*").alias("n"))
 
 
@@ -133,9 +133,9 @@ def dead(g: Graph, reached: DataFrame) -> DataFrame:
     return out.select(*FINDING, F.lit("unreachable").alias("state"), F.lit("not reachable from retention roots").alias("reason"))
 
 
-def unreachable(g: Graph, public: bool = False, extra: list[str] = (), local: bool | None = None) -> DataFrame:
+def unreachable(g: Graph, public: bool = False, extra: list[str] = ()) -> DataFrame:
     roots, _ = retention_roots(g, public, extra)
-    return dead(g, reachable(reach_pairs(g), roots, local))
+    return dead(g, reachable(reach_pairs(g), roots))
 
 
 def abstract_methods(g: Graph) -> DataFrame:
@@ -172,10 +172,10 @@ def dead_rta(g: Graph, graph_reach: DataFrame, rta_reach: DataFrame) -> DataFram
     return s.where(gone).select(*FINDING, F.lit("unreachable").alias("state"), reason.alias("reason"))
 
 
-def explain(g: Graph, id: str, roots: DataFrame, pairs: DataFrame | None = None, local: bool | None = None) -> DataFrame:
+def explain(g: Graph, id: str, roots: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """(step, id): why ``id`` is reached; empty if it is not. ``pairs`` may be those of another call graph."""
     _need(g, id)
-    found = discover(reach_pairs(g) if pairs is None else pairs, roots.select(F.lit(0).alias("key"), "id"), local=local)
+    found = discover(reach_pairs(g) if pairs is None else pairs, roots.select(F.lit(0).alias("key"), "id"))
     return backtrack(found, id)
 
 
@@ -206,13 +206,13 @@ def affected_by_files(g: Graph, files: DataFrame, extra: list[str] = (), depth:
 TEST_NAME = "^(Test|Example|Fuzz|Benchmark)"
 
 
-def change_candidates(g: Graph, files: DataFrame, depth: int = 0, limit: int = 0, local: bool | None = None) -> DataFrame:
+def change_candidates(g: Graph, files: DataFrame, depth: int = 0, limit: int = 0) -> DataFrame:
     """(id, kind, depth, via, edges, reason, test_candidate): what a change of ``files`` may touch, roots included."""
     roots = vertices_of_files(g, files)[0]
     ids = g.vertices.select("id").distinct()
     pairs = neighbors(g).join(ids.select(F.col("id").alias("src")), "src", "left_semi")
     pairs = stage(reverse(pairs), "dependers")
-    found = stage(discover(pairs, roots.select(F.lit(0).alias("key"), "id"), depth if depth > 0 else None, local, ranked=False), "candidates")
+    found = stage(discover(pairs, roots.select(F.lit(0).alias("key"), "id"), depth if depth > 0 else None, ranked=False), "candidates")
     via = _layers(pairs, found).groupBy("id").agg(F.array_sort(F.collect_set("parent")).alias("via"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("edges"))
     v = g.vertices.select("id", "kind", "name", "position").dropDuplicates(["id"])
     out = found.select("id", "depth").join(via, "id", "left").join(v, "id")

@@ -1,130 +1,109 @@
-"""Breadth-first kernels: distances from keyed roots, and the ranked discovery order.
+"""Breadth-first search: distances from keyed roots, discovery order, and the index it runs on.
 
-Two plans with one meaning. The distinct pairs are written once. Up to ``LOCAL_EDGES`` of
-them and ``LOCAL_BYTES`` of files they go to one task that walks them in memory. Beyond that the driver
-loops over levels: the frontier joins the edges, what was seen is taken off by an
-anti-join, and each level is written to the shared folder, so the lineage stays flat and
-a lost executor costs one level.
+The driver loops over levels, executors do the work. The distinct pairs are an :func:`index`,
+a table in buckets by source, which no level moves: the frontier goes to the edges. What a
+level finds is grouped by (key, id), taken off by what each level before it found, and
+written in buckets by (key, id), so neither the new rows nor the seen ones move again. The
+lineage stays flat, and a lost executor costs one level.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import uuid
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-from edgewise.session import release, stage, table_bytes
-
-LOCAL_EDGES = 2_000_000
-LOCAL_BYTES = 256 << 20
-#: Rows that one task lists at most: as many as there are keys times pairs.
-LOCAL_FOUND = 20_000_000
-FOUND = "key int, id string, depth int, parent string, rank long"
-
-
-def is_local(pairs: DataFrame, roots: DataFrame | None = None) -> bool:
-    """Whether the written ``pairs`` fit one task, by the size of the files and by their row counts, and so does
-    what the keys of ``roots`` may find in them."""
-    if table_bytes(pairs) > LOCAL_BYTES or (n := pairs.count()) > LOCAL_EDGES:
-        return False
-    return roots is None or roots.select("key").distinct().count() * (n + 1) + roots.limit(LOCAL_EDGES + 1).count() <= LOCAL_FOUND
-
-
-def in_one_task(pairs: DataFrame, roots: DataFrame, walk, schema: str) -> DataFrame:
-    """Run ``walk(adjacency, roots)`` in one task; roots are (key, id), adjacency sorted lists by id."""
-    tagged = pairs.select(F.lit(-1).alias("key"), "src", "dst").union(roots.select("key", F.col("id").alias("src"), F.lit(None).cast("string").alias("dst")))
-
-    def run(batches):
-        adjacency, start = defaultdict(set), []
-        for batch in batches:
-            for key, src, dst in zip(*(c.to_pylist() for c in batch.columns)):
-                if key < 0:
-                    adjacency[src].add(dst)
-                else:
-                    start.append((key, src))
-        rows = list(walk({k: sorted(v) for k, v in adjacency.items()}, sorted(set(start))))
-        names = [x.split()[0] for x in schema.split(", ")]
-        kinds = [{"int": pa.int32(), "long": pa.int64(), "string": pa.string()}[x.split()[1]] for x in schema.split(", ")]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
-
-    return tagged.coalesce(1).mapInArrow(run, schema)
-
-
-def _walk(depth: int | None):
-    def walk(adjacency, roots):
-        by_key = defaultdict(list)
-        for key, id in roots:
-            by_key[key].append(id)
-        for key, ids in by_key.items():
-            seen, frontier, rank, level = set(ids), ids, 0, 0
-            for x in ids:
-                yield key, x, 0, None, rank
-                rank += 1
-            while frontier and (depth is None or level < depth):
-                level, after = level + 1, []
-                for x in frontier:
-                    for y in adjacency.get(x, ()):
-                        if y not in seen:
-                            seen.add(y)
-                            after.append(y)
-                            yield key, y, level, x, rank
-                            rank += 1
-                frontier = after
-
-    return walk
-
-
-def discover(pairs: DataFrame, roots: DataFrame, depth: int | None = None, local: bool | None = None, ranked: bool = True) -> DataFrame:
-    """Breadth-first search along ``pairs`` (src, dst) from ``roots`` (key int, id).
-
-    Returns key, id, depth, parent and rank: the parent is the first discoverer, the rank
-    the place in discovery order (roots by id, then by parent's rank and id). Unranked,
-    the distributed plan leaves rank null and takes the smallest parent.
+
+from edgewise.session import shared_dir, stage
+
+#: So many levels are kept as tables of their own before they are merged.
+LEVELS = 12
+
+
+def bucketed(df: DataFrame, name: str, *keys: str, sort: bool = True) -> DataFrame:
+    """``df`` as a table in the shared folder, in as many buckets by ``keys`` as there are shuffle partitions."""
+    spark = df.sparkSession
+    n, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"edgewise_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/edgewise/{table}"
+    writer = df.write.bucketBy(n, *keys)
+    (writer.sortBy(*keys) if sort else writer).option("path", path).format("parquet").saveAsTable(table)
+    out = spark.table(table)
+    out._edgewise_path, out._edgewise_table = path, table
+    return out
+
+
+def index(pairs: DataFrame) -> DataFrame:
+    """The distinct (src, dst) of ``pairs``, in buckets by src; searches take it as it is, any number of them."""
+    if getattr(pairs, "_edgewise_index", False):
+        return pairs
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = bucketed(pairs.select("src", "dst").repartition(n, "src").dropDuplicates(["src", "dst"]), "pairs", "src")
+    out._edgewise_index = True
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Drop tables of :func:`bucketed` once nothing lazy needs them; their files go with :func:`edgewise.session.release`."""
+    from edgewise.session import release
+
+    for t in tables:
+        if getattr(t, "_edgewise_table", None):
+            t.sparkSession.sql(f"DROP TABLE IF EXISTS {t._edgewise_table}")
+    release(*tables)
+
+
+def _union(tables: list) -> DataFrame:
+    out = tables[0]
+    for x in tables[1:]:
+        out = out.union(x)
+    return out
+
+
+def step(edges: DataFrame, now: DataFrame) -> DataFrame:
+    """What the frontier ``now`` (key, id, rank) offers along an index: (key, id, by), ``by`` the least (rank, parent)."""
+    ahead = now.select("key", F.col("id").alias("src"), "rank")
+    met = edges.join(ahead, "src").select("key", F.col("dst").alias("id"), F.struct("rank", F.col("src").alias("parent")).alias("by"))
+    return met.groupBy("key", "id").agg(F.min("by").alias("by"))
+
+
+def discover(pairs: DataFrame, roots: DataFrame, depth: int | None = None, ranked: bool = True) -> DataFrame:
+    """Breadth-first search along ``pairs`` (src, dst), or an :func:`index` of them, from ``roots`` (key, id).
+
+    Returns key, id, depth, parent and rank. Of one key, (depth, rank) is the discovery order: roots by
+    id, then by the parent's place and the id; ranks have gaps. The parent is the first
+    discoverer, unranked the smallest one, and the rank is null then.
     """
-    pairs = stage(pairs.select("src", "dst").distinct(), "pairs")
-    if is_local(pairs, roots) if local is None else local:
-        return stage(in_one_task(pairs, roots, _walk(depth), FOUND), "discovered")
-    order = Window.partitionBy("key")
+    edges = index(pairs)
     now = roots.select("key", "id").distinct().withColumns({"depth": F.lit(0), "parent": F.lit(None).cast("string")})
-    now = now.withColumn("rank", F.row_number().over(order.orderBy("id")) - 1 if ranked else F.lit(None)).withColumn("rank", F.col("rank").cast("long"))
-    now = stage(now, "level")
-    levels, level = [now], 0
-    while depth is None or level < depth:
-        level += 1
-        found = now.join(pairs, now.id == pairs.src).select("key", F.col("dst").alias("id"), F.struct("rank", F.col("id").alias("parent")).alias("by"))
-        found = found.groupBy("key", "id").agg(F.min("by").alias("by"))
-        seen = levels[0]
-        for x in levels[1:]:
-            seen = seen.union(x)
-        found = found.join(seen.select("key", "id"), ["key", "id"], "left_anti").select("key", "id", F.lit(level).alias("depth"), F.col("by.parent").alias("parent"), F.col("by.rank").alias("_by"))
-        if ranked:
-            base = seen.groupBy("key").agg(F.count("*").alias("_n"))
-            found = found.join(base, "key").withColumn("rank", (F.col("_n") + F.row_number().over(order.orderBy("_by", "id")) - 1).cast("long"))
+    level, levels, done = 0, [], []
+    order = ["key", "id"]
+    while True:
+        if ranked:  # a global sort numbers the level; no task holds all of it
+            now = now.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("rank", F.monotonically_increasing_id())
+            now = stage(now.select("key", "id", "depth", "parent", "rank"), "level")
         else:
-            found = found.withColumn("rank", F.lit(None).cast("long"))
-        now = stage(found.select("key", "id", "depth", "parent", "rank"), "level")
-        if now.isEmpty():
+            now = now.withColumn("rank", F.lit(None).cast("long"))
+        now = bucketed(now.select("key", "id", "depth", "parent", "rank"), "level", "key", "id")
+        if level and now.isEmpty():
             break
         levels.append(now)
-        if len(levels) > 24:
-            merged = levels[0]
-            for x in levels[1:]:
-                merged = merged.union(x)
-            merged = stage(merged, "levels")
-            release(*levels[:-1])
-            levels = [merged]
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.union(x)
-    return out
+        if level == depth:
+            break
+        if len(levels) > LEVELS:
+            done, levels = [*done, *levels], []
+            done = [bucketed(_union(done), "levels", "key", "id")]
+        level += 1
+        found = step(edges, now)
+        for seen in (*done, *levels):
+            found = found.join(seen.select("key", "id"), ["key", "id"], "left_anti")
+        now = found.select("key", "id", F.lit(level).alias("depth"), F.col("by.parent").alias("parent"), F.col("by.rank").alias("_by"))
+        order = ["key", "_by", "id"]
+    return _union([*done, *levels])
 
 
-def reachable(pairs: DataFrame, roots: DataFrame, local: bool | None = None) -> DataFrame:
+def reachable(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """(id) of all that ``roots`` (id) reach, themselves included."""
-    return discover(pairs, roots.select(F.lit(0).alias("key"), "id"), ranked=False, local=local).select("id")
+    return discover(pairs, roots.select(F.lit(0).alias("key"), "id"), ranked=False).select("id")
 
 
 def ancestors(found: DataFrame, targets: DataFrame) -> DataFrame:

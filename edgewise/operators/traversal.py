@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from edgewise.functions.ids import abbreviated, utf16_key
 from edgewise.graph import EDGE, Graph, dependencies
 from edgewise.operators.queries import keyed, reverse
-from edgewise.operators.reach import discover
+from edgewise.operators.reach import bucketed, forget, index
 from edgewise.session import stage
 
 MAX_DEPTH, MAX_REACHED, MAX_ROOTS, ROOTS_LISTED = 128, 100_000, 10_000, 64
+#: The listed roots and whether there are more hang on one more; a root among them is left out of its own row, so
+#: one more than that spreads.
+DECISIVE = ROOTS_LISTED + 1
+SPREAD = DECISIVE + 1
 
 
 def mentions(spelling: Column, target: Column) -> Column:
@@ -41,39 +45,98 @@ def member_edges(g: Graph) -> DataFrame:
     return kept.union(moved.select(F.col("fid").alias("src"), "dst", "kind", "positions", "candidate"))
 
 
-def traverse(g: Graph, roots: list[str], dependents: bool = False, depth: int = MAX_DEPTH, limit: int = MAX_REACHED, members: bool = False, local: bool | None = None) -> tuple[DataFrame, list[str]]:
+def spread_roots(edges: DataFrame, start: DataFrame, depth: int) -> tuple[DataFrame, bool]:
+    """How far the smallest roots of ``start`` (key, id) get along ``edges`` (src, dst; in buckets by src) in ``depth`` steps.
+
+    A vertex holds roots with the level that brought them. A root that meets SPREAD smaller ones
+    other than the vertex itself stops there: neither the listed roots of any vertex behind it
+    nor the question what the depth cuts off can depend on it. So a vertex takes in SPREAD roots
+    a level at most, however many there are.
+
+    Returns (id, own, held), ``own`` the vertex's own place among the roots, and whether one more step would
+    change the DECISIVE smallest roots of a vertex.
+    """
+    held_type = "array<struct<root:int,level:int>>"
+    first = start.select("id", F.col("key").alias("own"), F.array(F.struct(F.col("key").alias("root"), F.lit(0).alias("level"))).cast(held_type).alias("held"), F.array("key").alias("new"))
+    state = bucketed(first, "roots_held", "id")
+    others = F.transform(F.filter(F.coalesce("held", F.array().cast(held_type)), lambda h: ~h["root"].eqNullSafe(F.col("own"))), lambda h: h["root"])
+    come = F.filter(F.coalesce("come", F.array().cast("array<int>")), lambda r: ~r.eqNullSafe(F.col("own")))
+    for level in range(1, depth + 2):
+        ahead = state.where(F.size("new") > 0).select(F.col("id").alias("src"), "new")
+        arrived = edges.join(ahead, "src").select(F.col("dst").alias("id"), F.explode("new").alias("r")).groupBy("id").agg(F.collect_set("r").alias("come"))
+        if level > depth:
+            met = arrived.join(state, "id", "left").withColumn("others", others)
+            late = F.exists(come, lambda r: ~F.array_contains("others", r) & (F.size(F.filter("others", lambda x: x < r)) < DECISIVE))
+            return state, not met.where(late).isEmpty()
+        met = arrived.join(state.drop("new"), "id", "full_outer").withColumn("others", others)
+        new = F.array_except(F.slice(F.array_sort(F.array_union("others", come)), 1, SPREAD), "others")
+        met = met.withColumn("new", new)
+        held = F.concat(F.coalesce("held", F.array().cast(held_type)), F.transform("new", lambda r: F.struct(r.alias("root"), F.lit(level).alias("level"))))
+        after = bucketed(met.select("id", "own", held.cast(held_type).alias("held"), "new"), "roots_held", "id")
+        forget(state)
+        state = after
+        if state.where(F.size("new") > 0).isEmpty():
+            return state, False
+
+
+def unsure(pairs: DataFrame, start: DataFrame, depth: int) -> DataFrame:
+    """(id) of the vertices that some root reaches within ``depth`` steps over all ``pairs`` (src, dst, direct; in buckets by src)
+    but not over the direct ones. Roots are bits of 64-bit words, so all of them spread at once and exactly."""
+    word = F.expr("CAST(key DIV 64 AS INT)").alias("w"), F.expr("shiftleft(1L, key % 64)").alias("new")
+    first = start.select("id", *word).groupBy("id", "w").agg(F.bit_or("new").alias("new"))
+    sides = first.select(F.explode(F.array(F.lit(False), F.lit(True))).alias("sure"), "id", "w", F.col("new").alias("have"), "new")
+    state = bucketed(sides, "root_bits", "sure", "id", "w")
+    for _ in range(depth):
+        ahead = state.where("new <> 0").select("sure", F.col("id").alias("src"), "w", "new")
+        come = pairs.join(ahead, "src").where("direct OR NOT sure").groupBy("sure", F.col("dst").alias("id"), "w").agg(F.bit_or("new").alias("come"))
+        met = come.join(state.drop("new"), ["sure", "id", "w"], "full_outer").withColumns({"have": F.coalesce("have", F.lit(0)), "come": F.coalesce("come", F.lit(0))})
+        after = bucketed(met.select("sure", "id", "w", F.col("have").bitwiseOR(F.col("come")).alias("have"), F.col("come").bitwiseAND(F.bitwise_not("have")).alias("new")), "root_bits", "sure", "id", "w")
+        forget(state)
+        state = after
+        if state.where("new <> 0").isEmpty():
+            break
+    sure = state.where("sure").select("id", "w", F.col("have").alias("direct"))
+    return state.where("NOT sure").join(sure, ["id", "w"], "left").where(~F.col("have").eqNullSafe(F.col("direct"))).select("id").distinct()
+
+
+def _reached(state: DataFrame) -> DataFrame:
+    """(id, depth, key, keys) of the vertices that another root reaches: the nearest one, of several the first, and all held, in order."""
+    others = F.filter("held", lambda h: ~h["root"].eqNullSafe(F.col("own")))
+    near = F.array_min(F.transform("others", lambda h: F.struct(h["level"].alias("depth"), h["root"].alias("key"))))
+    out = state.withColumn("others", others).where(F.size("others") > 0)
+    return out.select("id", near["depth"].alias("depth"), near["key"].alias("key"), F.array_sort(F.transform("others", lambda h: h["root"])).alias("keys"))
+
+
+def traverse(g: Graph, roots: list[str], dependents: bool = False, depth: int = MAX_DEPTH, limit: int = MAX_REACHED, members: bool = False) -> tuple[DataFrame, list[str]]:
     """Rows (id, depth, via, roots, relationships, evidence, roots_truncated) and the truncation reasons.
 
     A row is a vertex that another root reaches within ``depth``: its distance to the
     nearest such root, the smallest predecessor (by UTF-16 units) on a shortest way from
     it, the kinds of that hop, and the roots in order, 64 at most. Evidence is direct if
-    every one of these roots also reaches it over pairs with an edge that is no candidate.
+    every root that reaches it also does over pairs with an edge that is no candidate. A root
+    that is no vertex keeps its number and reaches nothing.
     """
     if not 1 <= depth <= MAX_DEPTH or not 1 <= limit <= MAX_REACHED or len(roots) > MAX_ROOTS:
         raise ValueError("depth, limit or number of roots out of range")
     edges = member_edges(g) if members else dependencies(g)
     edges = reverse(edges.select("src", "dst", "kind", "candidate")) if dependents else edges.select("src", "dst", "kind", "candidate")
-    pairs = stage(edges.groupBy("src", "dst").agg(F.array_sort(F.collect_set("kind")).alias("kinds"), F.bool_or(~F.col("candidate")).alias("direct")), "traversal-pairs")
+    pairs = edges.groupBy("src", "dst").agg(F.array_sort(F.collect_set("kind")).alias("kinds"), F.bool_or(~F.col("candidate")).alias("direct"))
+    pairs = bucketed(pairs.repartition("src"), "traversal_pairs", "src")
     start = keyed(g, roots)
-    found = stage(discover(pairs, start, depth + 1, local, ranked=False), "traversed")
-    rows = found.where((F.col("depth") >= 1) & (F.col("depth") <= depth)).join(start.withColumnRenamed("id", "root"), "key").where("id <> root")
-    direct = discover(pairs.where("direct"), start, depth, local, ranked=False).select("key", "id", F.lit(True).alias("sure"))
-    graded = rows.join(direct, ["key", "id"], "left")
-    grouped = graded.groupBy("id").agg(
-        F.min(F.struct("depth", "key")).alias("near"), F.array_sort(F.collect_list("key")).alias("roots"),
-        F.bool_and(F.coalesce("sure", F.lit(False))).alias("sure"),
-    )
-    before = found.select("key", F.col("id").alias("src"), F.col("depth").alias("_d"))
-    hops = grouped.select("id", F.col("near.depth").alias("depth"), F.col("near.key").alias("key")).join(pairs.withColumnRenamed("dst", "id"), "id")
-    hops = hops.join(before, ["key", "src"]).where("_d = depth - 1")
+    state, cut = spread_roots(pairs.select("src", "dst"), start, depth)
+    rows = stage(_reached(state), "reached-rows")
+    before = state.select(F.col("id").alias("src"), F.explode("held").alias("h")).select("src", F.col("h.root").alias("key"), (F.col("h.level") + 1).alias("depth"))
+    hops = pairs.withColumnRenamed("dst", "id").join(rows.select("id", "depth", "key"), "id").join(before, ["src", "key", "depth"], "left_semi")
     via = hops.groupBy("id").agg(F.min_by(F.struct("src", "kinds"), utf16_key(F.col("src"))).alias("hop"))
-    evidence = F.when(F.lit(g.meta.dispatchEvidence), F.when(F.col("sure"), "direct").otherwise("candidate"))
-    out = grouped.join(via, "id").select(
-        "id", F.col("near.depth").alias("depth"), F.col("hop.src").alias("via"), F.slice("roots", 1, ROOTS_LISTED).alias("roots"),
-        F.col("hop.kinds").alias("relationships"), evidence.alias("evidence"), (F.size("roots") > ROOTS_LISTED).alias("roots_truncated"),
+    weak = unsure(pairs.select("src", "dst", "direct"), start, depth) if g.meta.dispatchEvidence and not pairs.where("NOT direct").isEmpty() else rows.select("id").limit(0)
+    graded = rows.join(via, "id").join(weak.withColumn("weak", F.lit(True)), "id", "left")
+    evidence = F.when(F.lit(g.meta.dispatchEvidence), F.when(F.col("weak"), "candidate").otherwise("direct"))
+    out = graded.select(
+        "id", "depth", F.col("hop.src").alias("via"), F.slice("keys", 1, ROOTS_LISTED).alias("roots"),
+        F.col("hop.kinds").alias("relationships"), evidence.alias("evidence"), (F.size("keys") > ROOTS_LISTED).alias("roots_truncated"),
     )
     out = stage(out, "reached")
-    reasons = [] if found.where(F.col("depth") == depth + 1).isEmpty() else ["depth"]
+    reasons = ["depth"] if cut else []
     if out.limit(limit + 1).count() > limit:
         reasons.append("max-reached")
         out = out.orderBy("depth", utf16_key(F.col("id"))).limit(limit)
@@ -85,8 +148,7 @@ def narrowed(g: Graph, roots: list[str], dependents: bool = False, depth: int =
 
     def reached(edges: DataFrame) -> DataFrame:
         pairs = edges.select("src", "dst")
-        start = keyed(g, roots)
-        found = discover(reverse(pairs) if dependents else pairs, start, depth, ranked=False).where("depth >= 1")
-        return found.join(start.withColumnRenamed("id", "root"), "key").where("id <> root").select("id").distinct()
+        state, _ = spread_roots(index(reverse(pairs) if dependents else pairs), keyed(g, roots), depth)
+        return _reached(state).select("id")
 
     return reached(dependencies(g)).join(reached(member_edges(g)), "id", "left_anti").count()

@@ -104,9 +104,9 @@ def neighbor_kinds(spark, sf_dir):
 _REACH = "+ reached AS (SELECT id FROM root UNION SELECT d.dst FROM reached r JOIN deps d ON d.src = r.id) SELECT id FROM reached"
 
 
-def _reach_set(spark, sf_dir, local=None):
+def _reach_set(spark, sf_dir):
     g = part_graph(spark, sf_dir)
-    return reachable(G.dependencies(g), queries.keyed(g, [_root(g)]).select("id"), local)
+    return reachable(G.dependencies(g), queries.keyed(g, [_root(g)]).select("id"))
 
 
 @query(_REACH)
@@ -116,7 +116,7 @@ def reach_set(spark, sf_dir):
 
 @query(_REACH)
 def reach_set_distributed(spark, sf_dir):
-    return _reach_set(spark, sf_dir, False)
+    return _reach_set(spark, sf_dir)
 
 
 @query(f"+ {ROOTS_SQL}, reached AS (SELECT id FROM roots UNION SELECT d.dst FROM reached r JOIN deps d ON d.src = r.id) SELECT id, kind, exported FROM vertices WHERE kind <> 'package' AND id NOT IN (SELECT id FROM reached)")
@@ -142,9 +142,9 @@ SELECT e.src AS id, w.depth + 1 AS depth, string_agg(DISTINCT e.kind, ',' ORDER
 FROM levels w JOIN edges e ON e.dst = w.id AND e.kind <> 'contains' JOIN levels l ON l.id = e.src AND l.depth = w.depth + 1 GROUP BY ALL"""
 
 
-def _impact(spark, sf_dir, local=None):
+def _impact(spark, sf_dir):
     g = part_graph(spark, sf_dir)
-    return queries.impact(g, [_root(g)], local=local).select("id", "depth", _text("kinds"))
+    return queries.impact(g, [_root(g)]).select("id", "depth", _text("kinds"))
 
 
 @query(_IMPACT)
@@ -154,7 +154,7 @@ def impact_depth(spark, sf_dir):
 
 @query(_IMPACT)
 def impact_distributed(spark, sf_dir):
-    return _impact(spark, sf_dir, False)
+    return _impact(spark, sf_dir)
 
 
 @query(f"+ {_levels('root', True, 300)} SELECT id, depth FROM levels")
@@ -204,7 +204,7 @@ def scc_members(spark, sf_dir):
 
 @query(f"+ {_SCC} SELECT component, id FROM members")
 def scc_distributed(spark, sf_dir):
-    return cycles.cycles(G.view(part_graph(spark, sf_dir), "package"), local=False).select("component", "id")
+    return cycles.cycles(G.view(part_graph(spark, sf_dir), "package")).select("component", "id")
 
 
 @query(f"+ {_SCC} SELECT a.component, i.src, i.dst FROM imports i JOIN members a ON a.id = i.src JOIN members b ON b.id = i.dst AND a.component = b.component")
@@ -407,18 +407,18 @@ ORACLE_SQL["multi_root_distributed"] = ORACLE_SQL["multi_root_reach"]
 
 
 def multi_root_distributed(spark, sf_dir):
-    return _multi(spark, sf_dir, False)
+    return _multi(spark, sf_dir)
 
 
 QUERIES["multi_root_distributed"] = multi_root_distributed
 
 
-def _multi(spark, sf_dir, local=None):
+def _multi(spark, sf_dir):
     """The ten stocks with the most dependencies, to the full depth."""
     g = part_graph(spark, sf_dir)
     g = g.with_(meta=G.Meta(dispatchEvidence=True))
     tops = G.neighbors(g).where(_stock("src")).groupBy("src").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "src").limit(10).collect()
-    out, _ = traversal.traverse(g, [r.src for r in tops], local=local)
+    out, _ = traversal.traverse(g, [r.src for r in tops])
     return out.select("id", "depth", "via", _text("roots"), _text("relationships"), "evidence")
 
 

@@ -1,13 +1,14 @@
-"""Hand-made documents with known answers, each against both plans of the kernel."""
+"""Hand-made documents with known answers, and random ones against brute force."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from edgewise import graph as G
 from edgewise.operators import cycles, diff, queries, rules, traversal
-from edgewise.operators.reach import discover, reachable
+from edgewise.operators.reach import bucketed, discover, index, reachable, step
 
 
 def doc(spark, edges, ids=None, kinds=None, **meta):
@@ -19,45 +20,40 @@ def doc(spark, edges, ids=None, kinds=None, **meta):
 CYCLE = [("a", "b", "import"), ("b", "c", "import"), ("c", "a", "import"), ("d", "a", "import"), ("e", "e", "import")]
 
 
-@pytest.mark.parametrize("local", [True, False])
-def test_cycles(spark, local):
+def test_cycles(spark):
     g = doc(spark, CYCLE)
-    found = {tuple(r) for r in cycles.cycles(g, local).collect()}
+    found = {tuple(r) for r in cycles.cycles(g).collect()}
     assert found == {("a", "a"), ("a", "b"), ("a", "c"), ("e", "e")}
-    assert cycles.evidence(g, cycles.cycles(g, local)).count() == 4
+    assert cycles.evidence(g, cycles.cycles(g)).count() == 4
 
 
-@pytest.mark.parametrize("local", [True, False])
-def test_query(spark, local):
+def test_query(spark):
     g = doc(spark, [*CYCLE, ("a", "b", "call")])
-    got = {(r.direction, r.id): r.kinds for r in queries.query(g, "a", 1, local=local).collect()}
+    got = {(r.direction, r.id): r.kinds for r in queries.query(g, "a", 1).collect()}
     assert got == {("dependsOn", "b"): ["call", "import"], ("dependedBy", "c"): ["import"], ("dependedBy", "d"): ["import"]}
-    capped = queries.query(g, "a", 3, 1, local=local).where("direction = 'dependsOn'").collect()
+    capped = queries.query(g, "a", 3, 1).where("direction = 'dependsOn'").collect()
     assert [r.id for r in capped] == ["b"]
     with pytest.raises(queries.NotFound):
         queries.query(g, "nowhere")
 
 
-@pytest.mark.parametrize("local", [True, False])
-def test_path_and_ownership(spark, local):
+def test_path_and_ownership(spark):
     g = doc(spark, [*CYCLE, ("d", "x", "contains")], ids=["a", "b", "c", "d", "e", "x"])
-    assert [r.id for r in queries.path(g, "d", "c", local).collect()] == ["d", "a", "b", "c"]
-    assert queries.path(g, "a", "a", local).count() == 1
-    assert queries.path(g, "d", "x", local).count() == 0
+    assert [r.id for r in queries.path(g, "d", "c").collect()] == ["d", "a", "b", "c"]
+    assert queries.path(g, "a", "a").count() == 1
+    assert queries.path(g, "d", "x").count() == 0
 
 
-@pytest.mark.parametrize("local", [True, False])
-def test_impact(spark, local):
+def test_impact(spark):
     g = doc(spark, [("pkg.a", "pkg.b", "call"), ("pkg.b", "pkg.c", "call"), ("pkg.b", "pkg.c", "references"), ("pkg", "pkg.c", "contains")])
-    got = {r.id: (r.depth, r.kinds) for r in queries.impact(g, ["pkg.c"], local=local).collect()}
+    got = {r.id: (r.depth, r.kinds) for r in queries.impact(g, ["pkg.c"]).collect()}
     assert got == {"pkg.b": (1, ["call", "references"]), "pkg.a": (2, ["call"])}
     assert queries.depth_limited(g, ["pkg.c"], 1) and not queries.depth_limited(g, ["pkg.c"], 2)
 
 
-@pytest.mark.parametrize("local", [True, False])
-def test_shared(spark, local):
+def test_shared(spark):
     g = doc(spark, [("m/a", "m/common", "import"), ("m/a", "m/onlya", "import"), ("m/b", "m/common", "import")])
-    got = {r.id: (r.roots, r.n) for r in queries.shared(g, ["m/a", "m/b"], local).collect()}
+    got = {r.id: (r.roots, r.n) for r in queries.shared(g, ["m/a", "m/b"]).collect()}
     assert got["m/common"] == ([0, 1], 2) and got["m/onlya"] == ([0], 1) and got["m/a"] == ([0], 1)
 
 
@@ -83,7 +79,6 @@ def test_dead_rta_asks_live_callers_of_interface_methods(spark):
     assert got == {"p.(I).N", "p.x", "p.v"}
 
 
-@pytest.mark.parametrize("local", [True, False])
 @pytest.mark.parametrize(
     "edges,roots,dependents,expected",
     [
@@ -92,8 +87,8 @@ def test_dead_rta_asks_live_callers_of_interface_methods(spark):
         ([("A", "B", "call"), ("B", "A", "call")], ["A"], False, {"B": ("A", 1, [0])}),
     ],
 )
-def test_traverse(spark, local, edges, roots, dependents, expected):
-    out, reasons = traversal.traverse(doc(spark, edges), roots, dependents, local=local)
+def test_traverse(spark, edges, roots, dependents, expected):
+    out, reasons = traversal.traverse(doc(spark, edges), roots, dependents)
     assert {r.id: (r.via, r.depth, r.roots) for r in out.collect()} == expected and reasons == []
 
 
@@ -105,19 +100,138 @@ def test_traverse_truncation_and_evidence(spark):
     assert {r.id: r.evidence for r in out.collect()} == {"b": "direct", "c": "direct", "d": "candidate"}
 
 
-def test_random_graphs_have_equal_plans(spark):
+def search(pairs, roots, depth=None):
+    """Breadth-first search of one key in discovery order: id, depth, parent."""
+    seen, out, frontier, level = set(roots), [(x, 0, None) for x in sorted(roots)], sorted(roots), 0
+    while frontier and level != depth:
+        level, after = level + 1, []
+        for x in frontier:
+            for y in sorted(b for a, b in pairs if a == x):
+                if y not in seen:
+                    seen.add(y)
+                    after.append(y)
+                    out.append((y, level, x))
+        frontier = after
+    return out
+
+
+def random_pairs(rng, n, m):
+    return list({(f"v{rng.randrange(n):02d}", f"v{rng.randrange(n):02d}") for _ in range(m)})
+
+
+def test_searches_equal_brute_force(spark):
     rng = random.Random(7)
-    for _ in range(3):
-        n = rng.randrange(5, 30)
-        edges = list({(f"v{rng.randrange(n)}", f"v{rng.randrange(n)}", "call") for _ in range(2 * n)})
-        g = doc(spark, edges)
-        roots = spark.createDataFrame([(0, edges[0][0]), (1, edges[1][0])], "key int, id string")
-        a, b = (sorted(map(tuple, discover(G.dependencies(g), roots, local=x).collect()), key=str) for x in (True, False))
-        assert a == b
-        a, b = ({tuple(r) for r in cycles.cycles(g, x).collect()} for x in (True, False))
-        assert a == b
-    one = spark.createDataFrame([(edges[0][0],)], "id string")
-    assert {r.id for r in reachable(G.dependencies(g), one, True).collect()} == {r.id for r in reachable(G.dependencies(g), one, False).collect()}
+    pairs = random_pairs(rng, 25, 45)
+    df = index(spark.createDataFrame(pairs, "src string, dst string"))
+    roots = {0: {pairs[0][0]}, 1: {pairs[1][0], pairs[2][0]}, 2: {"nowhere"}}
+    start = spark.createDataFrame([(k, x) for k, ids in roots.items() for x in ids], "key int, id string")
+    for depth in (None, 1, 2):
+        found = discover(df, start, depth).orderBy("key", "depth", "rank").collect()
+        for k, ids in roots.items():
+            assert [(r.id, r.depth, r.parent) for r in found if r.key == k] == search(pairs, ids, depth)
+    for k in (0, 1):
+        one = start.where(F.col("key") == k).select("id")
+        assert {r.id for r in reachable(df, one).collect()} == {x for x, _, _ in search(pairs, roots[k])}
+    assert discover(df, start, ranked=False).where("rank is not null").isEmpty()
+
+
+def test_levels_are_merged_on_long_ways(spark):
+    pairs = [(f"v{k:02d}", f"v{k + 1:02d}") for k in range(30)]
+    found = discover(spark.createDataFrame(pairs, "src string, dst string"), spark.createDataFrame([(0, "v00")], "key int, id string"), ranked=False)
+    assert {(r.id, r.depth) for r in found.collect()} == {(f"v{k:02d}", k) for k in range(31)}
+
+
+def test_levels_do_not_move_the_index(spark):
+    """The plan of a level has no exchange on the side of the edges."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges = index(spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string"))
+        now = bucketed(spark.createDataFrame([(0, "a", None)], "key int, id string, rank long"), "level", "key", "id")
+        plan = step(edges, now)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    # two exchanges: of the frontier, and of what it finds
+    assert plan.count("Exchange") == 2 and plan.count("Bucketed: true") >= 1
+    scan = plan[plan.index("edgewise_pairs") - 400 : plan.index("edgewise_pairs")]
+    assert "Exchange" not in scan
+
+
+def members_of(pairs):
+    reach = {x: {y for y, _, _ in search(pairs, {b for a, b in pairs if a == x})} for p in pairs for x in p}
+    return {(min(y for y in reach[x] if x in reach[y]), x) for x in reach if x in reach[x]}
+
+
+def test_components_equal_brute_force(spark):
+    rng = random.Random(5)
+    for n, m in ((12, 14), (30, 36), (20, 50)):
+        pairs = random_pairs(rng, n, m)
+        assert {tuple(r) for r in cycles.components(spark.createDataFrame(pairs, "src string, dst string")).collect()} == members_of(pairs)
+    # a ring inside a chain that closes, beside one that does not, and a loop at the end of a chain
+    pairs = [("a", "b"), ("b", "c"), ("c", "b"), ("c", "d"), ("d", "a"), ("e", "f"), ("f", "e"), ("f", "g"), ("g", "h"), ("h", "h"), ("h", "i")]
+    assert {tuple(r) for r in cycles.components(spark.createDataFrame(pairs, "src string, dst string")).collect()} == members_of(pairs)
+
+
+def test_a_ring_of_ten_thousand_takes_a_logarithm_of_steps(spark):
+    ring = spark.range(10_000).selectExpr("lpad(id, 5, '0') AS src", "lpad((id + 1) % 10000, 5, '0') AS dst")
+    tail = spark.range(3_000).selectExpr("concat('t', lpad(id, 5, '0')) AS src", "CASE WHEN id = 2999 THEN '00007' ELSE concat('t', lpad(id + 1, 5, '0')) END AS dst")
+    began = time.perf_counter()
+    got = cycles.components(ring.union(tail))
+    assert got.count() == 10_000 and got.select("component").distinct().collect()[0][0] == "00000"
+    assert time.perf_counter() - began < 90
+
+
+def multi_root(edges, roots, depth):
+    """Rows (id, depth, via, roots, relationships, evidence, truncated) and whether the depth cuts something off, by a search a root."""
+    pairs = {(a, b) for a, b, *_ in edges}
+    sure = {(a, b) for a, b, _, candidate in edges if not candidate}
+    utf16 = lambda x: x.encode("utf-16-be")
+    full = [{x: d for x, d, _ in search(pairs, {r}, depth + 1)} for r in roots]
+    direct = [{x: d for x, d, _ in search(sure, {r}, depth)} for r in roots]
+    out, cut = {}, False
+    for id in {x for f in full for x in f}:
+        others = [k for k, f in enumerate(full) if id in f and roots[k] != id]
+        held = [k for k in others if full[k][id] <= depth]
+        # a root one step off changes the row only where fewer than 65 smaller ones are there already
+        cut |= any(sum(x < k for x in held) < 65 for k in others if full[k][id] == depth + 1)
+        if held:
+            d, k = min((full[k][id], k) for k in held)
+            via = min((a for a, b in pairs if b == id and full[k].get(a) == d - 1), key=utf16)
+            kinds = sorted({kind for a, b, kind, _ in edges if (a, b) == (via, id)})
+            out[id] = (d, via, held[:64], kinds, "direct" if all(id in direct[k] for k in held) else "candidate", len(held) > 64)
+    return out, cut
+
+
+@pytest.mark.parametrize("n,m,k,depth", [(12, 25, 4, 2), (40, 90, 8, 128), (90, 260, 80, 3), (90, 300, 75, 2)])
+def test_traverse_equals_a_search_a_root(spark, n, m, k, depth):
+    rng = random.Random(n * depth)
+    names = ["a", "Z", "é", "\U0001f600", "\ue000", "a/b.(T).M"]
+    ids = [f"{rng.choice(names)}{j}" for j in range(n)]
+    edges = [(rng.choice(ids), rng.choice(ids), rng.choice(["call", "references", "signature"]), rng.random() < 0.3) for _ in range(m)]
+    roots = rng.sample(ids, k)
+    roots.insert(1, "missing")
+    expected, cut = multi_root(edges, roots, depth)
+    out, reasons = traversal.traverse(doc(spark, edges, dispatchEvidence=True), roots, depth=depth)
+    got = {r.id: (r.depth, r.via, r.roots, r.relationships, r.evidence, r.roots_truncated) for r in out.collect()}
+    assert got == expected and reasons == ["depth"] * cut
+
+
+def test_depth_is_no_reason_where_smaller_roots_decide(spark):
+    """69 roots call m, the last one calls x and x calls m: at depth 1 nothing is cut off that a row would show."""
+    edges = [(f"r{k:02d}", "m", "call") for k in range(69)] + [("r69", "x", "call"), ("x", "m", "call")]
+    out, reasons = traversal.traverse(doc(spark, edges), [f"r{k:02d}" for k in range(70)], depth=1)
+    rows = {r.id: r for r in out.collect()}
+    assert reasons == [] and rows["m"].roots == list(range(64)) and rows["m"].roots_truncated and rows["x"].roots == [69]
+    few = [e for e in edges if e[0] in ("r00", "r69", "x")]
+    assert traversal.traverse(doc(spark, few), ["r00", "r69"], depth=1)[1] == ["depth"]
+
+
+def test_a_vertex_takes_in_few_roots_a_level(spark):
+    edges = index(spark.createDataFrame([(f"r{k:03d}", "hub") for k in range(200)] + [("hub", "r000"), ("hub", "end")], "src string, dst string"))
+    start = spark.createDataFrame([(k, f"r{k:03d}") for k in range(200)], "key int, id string")
+    state, cut = traversal.spread_roots(edges, start, 5)
+    held = {r.id: [h.root for h in r.held] for r in state.collect()}
+    assert held["hub"] == list(range(66)) and held["end"] == list(range(66)) and held["r000"] == list(range(66)) and not cut
 
 
 def metrics_doc(spark, **meta):
@@ -221,7 +335,6 @@ def test_mapping_picks_the_longest_pattern(spark):
 
 
 def test_mapping_of_as_many_components_as_packages(spark):
-    import time
 
     n = 20_000
     v = spark.range(n).select(F.format_string("m/d%d/p%d", F.col("id") % 97, "id").alias("id"), F.lit("package").alias("kind"), F.lit("p").alias("name"))
@@ -234,22 +347,10 @@ def test_mapping_of_as_many_components_as_packages(spark):
     assert time.perf_counter() - began < 60
 
 
-@pytest.mark.parametrize("local", [True, False])
-def test_reach_rules_take_one_search(spark, local):
+def test_reach_rules_take_one_search(spark):
     ids = ["m/a", "m/b", "m/c", "m/d"]
     g = G.from_rows(spark, [{"id": i, "kind": "package", "name": i} for i in ids], [("m/a", "m/b", "import"), ("m/b", "m/c", "import"), ("m/a", "m/d", "import"), ("m/d", "m/c", "import")], module="m", level="package")
     r = rules.Rules(components={"A": ["a"], "B": ["b"], "C": ["c"], "D": ["d"]}, forbidden=[{"from": "A", "to": "C"}, {"from": "C", "to": "A"}], independent=["B", "D", "C"])
-    got = {(x.rule, x.fromComponent, x.toComponent): x.path for x in rules.reach_violations(g, r, local).collect()}
+    got = {(x.rule, x.fromComponent, x.toComponent): x.path for x in rules.reach_violations(g, r).collect()}
     assert got == {("forbidden", "A", "C"): ["m/a", "m/b", "m/c"], ("independence", "B", "C"): ["m/b", "m/c"], ("independence", "D", "C"): ["m/d", "m/c"]}
-    assert rules.reach_violations(g, rules.Rules(components={"A": ["a"]}), local).count() == 0
-
-
-def test_many_roots_do_not_share_a_task(spark, monkeypatch):
-    from edgewise.operators import reach
-    from edgewise.session import stage
-
-    pairs = stage(spark.createDataFrame([("a", "b")], "src string, dst string"), "pairs")
-    roots = spark.range(50).select(F.col("id").cast("int").alias("key"), F.lit("a").alias("id"))
-    assert reach.is_local(pairs, roots)
-    monkeypatch.setattr(reach, "LOCAL_FOUND", 40)
-    assert not reach.is_local(pairs, roots)
+    assert rules.reach_violations(g, rules.Rules(components={"A": ["a"]})).count() == 0
