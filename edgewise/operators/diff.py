@@ -10,6 +10,9 @@ from pyspark.sql.window import Window
 
 from edgewise.functions.ids import canonical_id, member_owner
 from edgewise.graph import Graph, symbols
+from edgewise.operators.fixpoints import fixpoint
+from edgewise.operators.reach import bucketed
+from edgewise.session import stage
 
 
 def category() -> Column:
@@ -93,12 +96,81 @@ def _methods(g: Graph) -> DataFrame:
     return i.select("key", "id", F.regexp_extract("m", r"^([^(: ]*)", 1).alias("method"), F.regexp_replace("m", r"^[^(: ]*[: ]?", "").alias("signature")).where("method <> ''")
 
 
+def _declared(g: Graph) -> DataFrame:
+    """(owner, method): methods with a vertex of their own, by the canonical id of the type they belong to."""
+    id = canonical_id(F.col("id"))
+    v = g.vertices.where("kind = 'method'").select(member_owner(id).alias("owner"), F.regexp_extract(id, r"\)\.([^.]*)$", 1).alias("method"))
+    return v.where("owner is not null").distinct()
+
+
+def embedding_interfaces(g: Graph) -> DataFrame:
+    """(outer, inner, depth): which interfaces hold which ones by embedding, at their least depth; each holds itself at 0. Ids are
+    canonical, and what is embedded need not be in the document."""
+    i = indexed(g).where("interface").select(canonical_id(F.col("id")).alias("id")).distinct()
+    e = g.edges.where("kind = 'embeds'").select(canonical_id(F.col("src")).alias("inner"), canonical_id(F.col("dst")).alias("next")).distinct()
+    e = bucketed(e.join(i.withColumnRenamed("id", "inner"), "inner", "left_semi"), "interface_embeds", "inner")
+    first = i.select(F.col("id").alias("outer"), F.col("id").alias("inner"), F.lit(0).alias("depth"))
+    derive = lambda new, known: e.join(new, "inner").select("outer", F.col("next").alias("inner"), (F.col("depth") + 1).alias("depth")).dropDuplicates(["outer", "inner"])
+    return stage(fixpoint(first, ["outer", "inner"], derive, "interfaces").select("outer", "inner", "depth"), "interfaces")
+
+
+def method_sources(g: Graph) -> DataFrame:
+    """(owner, method, declared, via, origin) of all methods in the sets of interfaces.
+
+    ``via`` is the first directly embedded interface whose set has the method, ``origin`` the nearest
+    one that declares it; both are null for declared methods and for what comes from
+    outside the document, or if the document has no methods of its own.
+    """
+    sets = _methods(g).select(canonical_id(F.col("id")).alias("owner"), "method").distinct()
+    package = g.vertices.where("interface").select(canonical_id(F.col("id")).alias("owner"), F.col("package").alias("_p")).dropDuplicates(["owner"])
+    own = F.col("method").startswith(F.concat("_p", F.lit(".")))
+    short = F.when(own, F.substring("method", F.length("_p") + 2, F.length("method"))).otherwise(F.col("method"))
+    sets = stage(sets.join(package, "owner", "left").select("owner", "method", F.coalesce(short, "method").alias("short")), "method-sets")
+    inner = embedding_interfaces(g)
+    says = _declared(g).select(F.col("owner").alias("inner"), F.col("method").alias("short"))
+    declared = sets.join(says.withColumnRenamed("inner", "owner"), ["owner", "short"], "left_semi").select("owner", "method", F.lit(True).alias("declared"))
+    held = sets.join(inner.where("depth > 0").withColumnRenamed("outer", "owner"), "owner")
+    origin = held.join(says, ["inner", "short"]).groupBy("owner", "method").agg(F.min(F.struct("depth", "inner")).alias("o"))
+    via = held.where("depth = 1").join(sets.select(F.col("owner").alias("inner"), "method"), ["inner", "method"]).groupBy("owner", "method").agg(F.min("inner").alias("via"))
+    on = ["owner", "method"]
+    out = sets.join(declared, on, "left").join(via, on, "left").join(origin, on, "left")
+    only = lambda c: F.when(F.col("declared").isNull() & F.lit(g.meta.level == "symbol"), c)
+    return out.select("owner", "method", F.coalesce("declared", F.lit(False)).alias("declared"), only(F.col("via")).alias("via"), only(F.col("o.inner")).alias("origin"))
+
+
 def interface_changes(old: Graph, new: Graph) -> DataFrame:
-    """(id, method, change): gained, changed and lost methods of exported interfaces of both snapshots."""
-    both = matched(old, new).where("o.interface and o.exported and n.interface").select("key", F.col("n.id").alias("nid"))
+    """(id, method, change, how, via, origin): what changes for those who implement or use exported interfaces of both snapshots.
+
+    With method sets on both sides: methods gained, changed, or lost by embedding (a lost declared one is a vertex
+    that is gone); ``how`` is declared or embedded, unknown where a document has no method vertices.
+    Without them: methods that have a vertex now, for their interface and all that embed it at any depth, and
+    interfaces that are embedded now (no method; the change is ``embeds``).
+    """
+    both = matched(old, new).where("o.interface and o.exported and n.interface").select("key", canonical_id(F.col("n.id")).alias("owner"), F.col("n.id").alias("id"))
+    if not (old.meta.interfaceMethodSets and new.meta.interfaceMethodSets):
+        return _vertex_gains(old, new)
     a, b = (_methods(g).select("key", "method", F.col("signature").alias(n)) for g, n in ((old, "a"), (new, "b")))
     m = a.join(b, ["key", "method"], "full_outer").join(both, "key").where(~F.col("a").eqNullSafe(F.col("b")))
-    return m.select(F.col("nid").alias("id"), "method", F.when(F.col("a").isNull(), "gained").when(F.col("b").isNull(), "lost").otherwise("changed").alias("change"))
+    m = m.withColumn("change", F.when(F.col("a").isNull(), "gained").when(F.col("b").isNull(), "lost").otherwise("changed"))
+    source = method_sources(new).withColumn("lost", F.lit(False)).union(method_sources(old).withColumn("lost", F.lit(True)))
+    m = m.withColumn("lost", F.col("change") == "lost").join(source, ["owner", "method", "lost"], "left").where("NOT (lost AND declared)")
+    known = F.lit(new.meta.level == "symbol") | F.col("lost")
+    return m.select("id", "method", "change", F.when(known, F.when(F.col("declared"), "declared").otherwise("embedded")).alias("how"), "via", "origin")
+
+
+def _vertex_gains(old: Graph, new: Graph) -> DataFrame:
+    met = matched(old, new)
+    visible = met.where("o is not null and n.exported").select(canonical_id(F.col("n.id")).alias("outer"), F.col("n.id").alias("id"))
+    fresh = met.where("o is null and n.kind = 'method'").select(canonical_id(F.col("n.id")).alias("_id"))
+    fresh = fresh.select(member_owner(F.col("_id")).alias("inner"), F.regexp_extract("_id", r"\)\.([^.]*)$", 1).alias("method")).where("inner is not null")
+    inner = embedding_interfaces(new)
+    own = inner.where("depth = 0").select("inner")
+    gained = fresh.join(own, "inner", "left_semi").join(inner, "inner").join(visible, "outer")
+    far = lambda c: F.when(F.col("depth") > 0, c)
+    gained = gained.select("id", "method", F.lit("gained").alias("change"), F.when(F.col("depth") > 0, "embedded").otherwise("declared").alias("how"), far(F.col("inner")).alias("via"), far(F.col("inner")).alias("origin"))
+    key = lambda g: g.edges.where("kind = 'embeds'").select(canonical_id(F.col("src")).alias("outer"), canonical_id(F.col("dst")).alias("inner")).distinct()
+    more = key(new).join(key(old), ["outer", "inner"], "left_anti").join(own, "inner", "left_semi").join(own.withColumnRenamed("inner", "outer"), "outer", "left_semi").join(visible, "outer")
+    return gained.union(more.select("id", F.lit(None).cast("string"), F.lit("embeds"), F.lit("embedded"), F.col("inner"), F.col("inner"))).distinct()
 
 
 def type_set_changes(old: Graph, new: Graph) -> DataFrame:
@@ -141,11 +213,13 @@ def breaking(old: Graph, new: Graph) -> DataFrame:
     parts.append(row(literal, 0, 8, say("fields of ", F.col("id"), " came in or moved: literals without field names break")))
     lost = signature_diff(old, new).where("size(removed) > 0").select("id", F.explode("removed").alias("t")).join(both.select(id.alias("id"), "key"), "id")
     parts.append(row(lost, 0, 9, say("signature of ", F.col("id"), " lost ", F.col("t"))))
-    stops = m.where("o.interface and o.exported and n is not null and not n.interface")
-    parts.append(row(stops, 1, 0, say("no interface any more: ", id)))
     if old.meta.interfaceMethodSets and new.meta.interfaceMethodSets:
-        changes = interface_changes(old, new)
-        parts.append(row(changes, 1, 1, say("interface ", F.col("id"), ": method ", F.col("method"), " ", F.col("change")), "id"))
+        stops = m.where("o.interface and o.exported and n is not null and not n.interface")
+        parts.append(row(stops, 1, 0, say("no interface any more: ", id)))
+    changes = stage(interface_changes(old, new), "interface-changes")
+    by = F.when(F.col("how") == "embedded", F.concat(F.lit(" by embedding"), F.coalesce(F.concat(F.lit(" "), "via"), F.lit("")))).otherwise("")
+    parts.append(row(changes.where("method is not null"), 1, 1, say("interface ", F.col("id"), ": method ", F.col("method"), " ", F.col("change"), F.when(F.col("change") == "changed", "").otherwise(by)), "id"))
+    parts.append(row(changes.where("method is null"), 1, 2, say("interface ", F.col("id"), " embeds ", F.col("via"), " now"), "id"))
     types = type_set_changes(old, new)
     parts.append(row(types, 2, 0, say("type set of ", F.col("id"), ": was ", F.col("from"), ", is ", F.col("to")), "id"))
     return reduce(DataFrame.union, parts)
