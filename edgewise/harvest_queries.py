@@ -105,3 +105,30 @@ SELECT coalesce(a.folder, b.folder) AS folder, CASE WHEN a.folder IS NULL THEN '
 FROM (SELECT * FROM folders WHERE side = 'before') a FULL JOIN (SELECT * FROM folders WHERE side = 'after') b ON a.folder = b.folder WHERE a.held IS DISTINCT FROM b.held""", on_graph=False)
 def differing_folders(spark, sf_dir):
     return harvest.differing_folders(*_captures(spark, sf_dir))
+
+
+@query("""SELECT o_orderkey AS n, CASE WHEN c_mktsegment = 'BUILDING' THEN '{}' ELSE 'https://' || c_mktsegment END || '/v1/' || CASE WHEN o_orderkey % 3 = 0 THEN '{}' ELSE CAST(o_orderkey AS VARCHAR) END || '/' || o_orderpriority
+  || CASE WHEN o_orderstatus = 'P' THEN '{}' ELSE '{?}' END AS url FROM orders JOIN customer ON c_custkey = o_custkey""", on_graph=False)
+def url_expressions(spark, sf_dir):
+    """A URL an order: a base by segment (of which one may be set elsewhere too), a format of the key, where known, and the priority,
+    whose last slash is cut, and a query by status, of several values."""
+    from edgewise.operators.expressions import evaluated, spelt
+
+    o = read_table(spark, sf_dir, "orders").join(read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey")
+    none = F.lit(None).cast("string")
+    id = lambda c: F.concat(F.lit(c), "o_orderkey")
+    expr = lambda e, op, text=none, obj=none: F.struct(e.alias("expr"), F.lit(op).alias("op"), text.alias("text"), obj.alias("object"), none.alias("ref"))
+    key = F.when(F.col("o_orderkey") % 3 == 0, expr(id("k"), "val")).otherwise(expr(id("k"), "lit", F.col("o_orderkey").cast("string")))
+    rows = F.array(
+        expr(id("o"), "concat"), expr(id("b"), "var", obj=F.concat(F.lit("base "), "c_mktsegment")), expr(id("f"), "format"), key, expr(id("t"), "trim"),
+        expr(id("p"), "lit", F.concat("o_orderpriority", F.lit("/"))), expr(id("q"), "var", obj=F.concat(F.lit("query "), "o_orderstatus")),
+    )
+    at = lambda e, n, child, text=None: F.struct(e.alias("expr"), F.lit(n).alias("ord"), (none if child is None else child).alias("child"), F.lit(text).cast("string").alias("text"))
+    operands = F.array(at(id("o"), 0, id("b")), at(id("o"), 1, id("f")), at(id("o"), 2, id("q")), at(id("f"), 0, None, "/v1/"), at(id("f"), 1, id("k")), at(id("f"), 2, None, "/"), at(id("f"), 3, id("t")), at(id("t"), 0, id("p")))
+    bases = o.select("c_mktsegment").distinct().select(F.concat(F.lit("base "), "c_mktsegment").alias("object"), F.lit(0).alias("ord"), F.concat(F.lit("https://"), "c_mktsegment").alias("child"))
+    queries = o.select("o_orderstatus").distinct().select(F.concat(F.lit("query "), "o_orderstatus").alias("object"), F.explode(F.array(F.struct(F.lit(0).alias("ord"), none.alias("child")), F.struct(F.lit(1).alias("ord"), F.concat(F.lit("?"), "o_orderstatus").alias("child")))).alias("v")).select("object", "v.*")
+    texts = bases.select(F.col("child").alias("expr"), "child").union(queries.where("child is not null").select("child", F.when(F.col("object") == "query P", "page").otherwise(F.col("child"))))
+    exprs = o.select(F.explode(rows).alias("e")).select("e.*").union(texts.select("expr", F.lit("lit"), F.col("child"), none, none))
+    objects = bases.select("object", (F.col("object") == "base BUILDING").alias("closed"))
+    out = evaluated(exprs, o.select(F.explode(operands).alias("x")).select("x.*"), bases.union(queries), objects, o.select(id("o").alias("expr")))
+    return out.select(F.expr("substring(expr, 2)").cast("long").alias("n"), spelt(F.col("parts")).alias("url"))
