@@ -21,7 +21,7 @@ from edgewise.operators import cycles, diff, queries, rules, traversal
 from edgewise.operators.reach import reachable
 from edgewise.session import stage
 from edgewise.sinks import export
-from edgewise.sources import documents
+from edgewise.sources import documents, harvest
 
 TOOL, VERSION = "edgewise", "0.1.0"
 
@@ -161,11 +161,13 @@ class Session:
     def init(self):
         return rules.scaffold(self.g).__dict__
 
-    def reach(self, roots, dependents=False, depth=traversal.MAX_DEPTH, max=traversal.MAX_REACHED, members=False):
+    def reach(self, roots, dependents=False, depth=traversal.MAX_DEPTH, max=traversal.MAX_REACHED, members=False, project=""):
         have = {r.id for r in self.g.vertices.where(F.col("id").isin(list(roots))).select("id").collect()}
         missing = [r for r in roots if r not in have]
-        out, reasons = traversal.traverse(self.g, [r for r in roots if r in have], dependents, depth, max, members)
-        return {"graphRevision": export.graph_revision(self.g), "reached": rows(out.orderBy("depth", utf16_key(F.col("id")))), "truncation": reasons, "missingRoots": missing}
+        out, reasons = traversal.traverse(self.g, list(roots), dependents, depth, max, members)
+        symbols = harvest.symbols_of(self.g, out.select("id"), project or self.g.meta.root).drop("id").orderBy(utf16_key(F.col("usr")))
+        reached = rows(out.orderBy("depth", utf16_key(F.col("id"))))
+        return {"graphRevision": export.graph_revision(self.g), "reached": reached, "symbols": rows(symbols), "truncation": reasons, "missingRoots": missing}
 
     # Commands over fact tables take the paths of Parquet tables.
 

@@ -74,7 +74,7 @@ def relative_to(file: Column, base: Column) -> Column:
     base = F.regexp_replace(base, "/+$", "")
     below = F.substring(file, F.length(base) + 2, F.length(file))
     inside = file.startswith(F.concat(base, F.lit("/"))) & ~F.concat(F.lit("/"), below, F.lit("/")).contains("/../")
-    return F.when(inside & (below != ""), below)
+    return F.when(inside & (base != "") & (below != ""), below)
 
 
 def symbols_of(g: Graph, ids: DataFrame, project: str) -> DataFrame:
