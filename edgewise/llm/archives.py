@@ -122,7 +122,8 @@ def _files(batches, opened, record, file_bytes: int):
 def _write(files: DataFrame, path: str, line_end: str) -> str:
     """Text files of one row each; the sink ends the last record of a file with ``line_end``."""
     made = files.select(F.col("value").cast("string").alias("value"))
-    made.write.option("lineSep", line_end).option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
+    options = {"lineSep": line_end, "compression": "gzip", "zlib.compress.level": "BEST_SPEED", "maxRecordsPerFile": 1}
+    made.write.options(**options).text(path)
     return path
 
 
