@@ -33,7 +33,7 @@ def reverse(pairs: DataFrame) -> DataFrame:
 
 def walk(pairs: DataFrame, root: DataFrame, depth: int, limit: int = 0) -> DataFrame:
     """Neighbours in one direction: (id, kinds, depth, rank) with the kinds of the discovering pair."""
-    found = discover(pairs, root, max(1, depth)).where("depth > 0")
+    found = discover(pairs, root, max(1, depth), ranked=depth > 1 or limit > 0).where("depth > 0")
     if limit > 0:
         found = found.orderBy("depth", "rank").limit(limit)
     return found.join(pairs, (pairs.src == found.parent) & (pairs.dst == found.id)).select("id", "kinds", "depth", "rank")
@@ -62,7 +62,7 @@ def impact(g: Graph, ids: list[str], depth: int = 0, limit: int = 0) -> DataFram
     _need(g, *ids)
     pairs = stage(reverse(neighbors(g)), "dependers")
     roots = keyed(g, ids).select(F.lit(0).alias("key"), "id").distinct()
-    found = stage(discover(pairs, roots, depth if depth > 0 else None), "impact")
+    found = stage(discover(pairs, roots, depth if depth > 0 else None, ranked=limit > 0), "impact")
     out = _layers(pairs, found)
     if limit > 0:
         out = out.join(found.where("depth > 0").orderBy("depth", "rank").limit(limit).select("id"), "id", "left_semi")

@@ -2,21 +2,22 @@
 
 The driver loops over levels, executors do the work. The distinct pairs are an :func:`index`,
 a table in buckets by source, which no level moves: the frontier goes to the edges. What a
-level finds is grouped by (key, id), taken off by what each level before it found, and
-written in buckets by (key, id), so neither the new rows nor the seen ones move again. The
-lineage stays flat, and a lost executor costs one level.
+level finds is grouped by (key, id), taken off by what the levels before it found, and
+appended to one table, a partition a level in buckets by (key, id), so neither the new rows
+nor the seen ones move again. All levels have one plan, down to its literals, so its code
+is compiled once. The lineage stays flat, and a lost executor costs one level.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from edgewise.session import shared_dir, stage
 
-#: So many levels are kept as tables of their own before they are merged.
+#: Fixpoints keep so many rounds as tables of their own before they are merged.
 LEVELS = 12
 
 
@@ -60,10 +61,31 @@ def _union(tables: list) -> DataFrame:
 
 
 def step(edges: DataFrame, now: DataFrame) -> DataFrame:
-    """What the frontier ``now`` (key, id, rank) offers along an index: (key, id, by), ``by`` the least (rank, parent)."""
-    ahead = now.select("key", F.col("id").alias("src"), "rank")
-    met = edges.join(ahead, "src").select("key", F.col("dst").alias("id"), F.struct("rank", F.col("src").alias("parent")).alias("by"))
-    return met.groupBy("key", "id").agg(F.min("by").alias("by"))
+    """What the frontier ``now`` (key, id, depth, rank) offers along an index: (key, id, depth, by), ``by`` the least (rank, parent)."""
+    ahead = now.select("key", F.col("id").alias("src"), "depth", "rank")
+    met = edges.join(ahead, "src").select("key", F.col("dst").alias("id"), (F.col("depth") + 1).alias("depth"), F.struct("rank", F.col("src").alias("parent")).alias("by"))
+    return met.groupBy("key", "id").agg(F.min("depth").alias("depth"), F.min("by").alias("by"))
+
+
+class _Levels:
+    """The rows found so far: one table, a partition a level, each in buckets by (key, id)."""
+
+    def __init__(self, spark):
+        self.spark, self.n = spark, int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.table = f"edgewise_levels_{uuid.uuid4().hex}"
+        self.path = f"{shared_dir(spark)}/edgewise/{self.table}"
+
+    def append(self, rows: DataFrame) -> int:
+        """Write a level; returns how many rows it has."""
+        seen = Observation()
+        rows = rows.select("key", "id", "parent", "rank", "depth").observe(seen, F.count(F.lit(1)).alias("n"))
+        rows.write.partitionBy("depth").bucketBy(self.n, "key", "id").option("path", self.path).format("parquet").mode("append").saveAsTable(self.table)
+        return seen.get["n"]
+
+    def rows(self) -> DataFrame:
+        out = self.spark.table(self.table).select("key", "id", "depth", "parent", "rank")
+        out._edgewise_path, out._edgewise_table = self.path, self.table
+        return out
 
 
 def discover(pairs: DataFrame, roots: DataFrame, depth: int | None = None, ranked: bool = True) -> DataFrame:
@@ -73,32 +95,21 @@ def discover(pairs: DataFrame, roots: DataFrame, depth: int | None = None, ranke
     id, then by the parent's place and the id; ranks have gaps. The parent is the first
     discoverer, unranked the smallest one, and the rank is null then.
     """
-    edges = index(pairs)
-    now = roots.select("key", "id").distinct().withColumns({"depth": F.lit(0), "parent": F.lit(None).cast("string")})
-    level, levels, done = 0, [], []
-    order = ["key", "id"]
+    edges, held = index(pairs), _Levels(pairs.sparkSession)
+    now = roots.select("key", "id").distinct().withColumns({"depth": F.lit(0), "parent": F.lit(None).cast("string"), "_by": F.lit(None).cast("long")})
+    level = 0
     while True:
+        rank = F.lit(None).cast("long")
         if ranked:  # a global sort numbers the level; no task holds all of it
-            now = now.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("rank", F.monotonically_increasing_id())
-            now = stage(now.select("key", "id", "depth", "parent", "rank"), "level")
-        else:
-            now = now.withColumn("rank", F.lit(None).cast("long"))
-        now = bucketed(now.select("key", "id", "depth", "parent", "rank"), "level", "key", "id")
-        if level and now.isEmpty():
-            break
-        levels.append(now)
-        if level == depth:
-            break
-        if len(levels) > LEVELS:
-            done, levels = [*done, *levels], []
-            done = [bucketed(_union(done), "levels", "key", "id")]
+            now, rank = now.repartitionByRange("key", "_by", "id").sortWithinPartitions("key", "_by", "id"), F.monotonically_increasing_id()
+        now = now.withColumn("rank", rank)
+        new = held.append(now.repartition(held.n, "key", "id") if ranked else now)
+        if new == 0 or level == depth:
+            return held.rows()
+        seen = held.rows()
+        found = step(edges, seen.where(F.col("depth") == level)).join(seen.select("key", "id"), ["key", "id"], "left_anti")
+        now = found.select("key", "id", "depth", F.col("by.parent").alias("parent"), F.col("by.rank").alias("_by"))
         level += 1
-        found = step(edges, now)
-        for seen in (*done, *levels):
-            found = found.join(seen.select("key", "id"), ["key", "id"], "left_anti")
-        now = found.select("key", "id", F.lit(level).alias("depth"), F.col("by.parent").alias("parent"), F.col("by.rank").alias("_by"))
-        order = ["key", "_by", "id"]
-    return _union([*done, *levels])
 
 
 def reachable(pairs: DataFrame, roots: DataFrame) -> DataFrame:

@@ -135,7 +135,7 @@ def test_searches_equal_brute_force(spark):
     assert discover(df, start, ranked=False).where("rank is not null").isEmpty()
 
 
-def test_levels_are_merged_on_long_ways(spark):
+def test_long_ways_append_a_level_a_step(spark):
     pairs = [(f"v{k:02d}", f"v{k + 1:02d}") for k in range(30)]
     found = discover(spark.createDataFrame(pairs, "src string, dst string"), spark.createDataFrame([(0, "v00")], "key int, id string"), ranked=False)
     assert {(r.id, r.depth) for r in found.collect()} == {(f"v{k:02d}", k) for k in range(31)}
@@ -147,7 +147,7 @@ def test_levels_do_not_move_the_index(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         edges = index(spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string"))
-        now = bucketed(spark.createDataFrame([(0, "a", None)], "key int, id string, rank long"), "level", "key", "id")
+        now = bucketed(spark.createDataFrame([(0, "a", 0, None)], "key int, id string, depth int, rank long"), "level", "key", "id")
         plan = step(edges, now)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
