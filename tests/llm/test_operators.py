@@ -1,5 +1,6 @@
 """Corpus operators against brute-force versions, and their defined odd cases."""
 
+import random
 import re
 import zlib
 from collections import Counter
@@ -143,6 +144,35 @@ def test_isotonic_pools_violators():
 # leaks
 
 
+def test_leaks_of_all_lengths_are_found(spark):
+    """Items of 5 to 40 words, copied word for word into texts of 300 words: nine of ten are found at every length."""
+    rng = random.Random(3)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = [r.text.split() for r in docs.where("length(text) > 3000").orderBy("doc_id").limit(300).collect()]
+    items, rows, lengths = [], [], (5, 6, 8, 12, 16, 20, 24, 40)
+    for n in lengths:
+        for k in range(40):
+            source, host, at = rng.choice(texts[:150]), rng.choice(texts[150:]), rng.randrange(280)
+            start, host = rng.randrange(len(source) - n), (host * 3)[:300]
+            items.append((n * 1000 + k, " ".join(source[start : start + n])))
+            rows.append((10_000_000 + n * 1000 + k, " ".join(host[:at] + source[start : start + n] + host[at:])))
+    planted = docs.union(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {(r.doc_id, r.item_id) for r in latent_leaks.leaks(planted, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for n in lengths:
+        assert sum((10_000_000 + n * 1000 + k, n * 1000 + k) in got for k in range(40)) >= 36, n
+
+
+def test_short_items_keep_their_words_together(spark):
+    bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon"), (2, "zeta eta theta")], "item_id long, text string")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select((F.col("doc_id") + 100).alias("doc_id"), "text")  # a space of some rank
+    rows = [
+        (1, "one alpha beta gamma delta epsilon two"), (2, "alpha one beta two gamma three delta four epsilon"),
+        (3, "so zeta, eta: theta!"), (4, "zeta and eta and theta"), (5, "ETA THETA ZETA"), (6, "zeta eta theta"), (6, "zeta eta theta"),
+    ]
+    got = latent_leaks.leaks(docs.union(spark.createDataFrame(rows, "doc_id long, text string")), bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (3, 2), (6, 2), (6, 2)]
+
+
 def test_leaks_equal_brute_force(spark, corpus):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     got = {(r.doc_id, r.item_id) for r in latent_leaks.leaks(corpus, bench).collect()}
