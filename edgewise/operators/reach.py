@@ -88,12 +88,13 @@ class _Levels:
         return out
 
 
-def discover(pairs: DataFrame, roots: DataFrame, depth: int | None = None, ranked: bool = True) -> DataFrame:
+def discover(pairs: DataFrame, roots: DataFrame, depth: int | None = None, ranked: bool = True, known: DataFrame | None = None) -> DataFrame:
     """Breadth-first search along ``pairs`` (src, dst), or an :func:`index` of them, from ``roots`` (key, id).
 
     Returns key, id, depth, parent and rank. Of one key, (depth, rank) is the discovery order: roots by
     id, then by the parent's place and the id; ranks have gaps. The parent is the first
-    discoverer, unranked the smallest one, and the rank is null then.
+    discoverer, unranked the smallest one, and the rank is null then. The search does not enter
+    what is ``known`` (key, id), and does not return it.
     """
     edges, held = index(pairs), _Levels(pairs.sparkSession)
     now = roots.select("key", "id").distinct().withColumns({"depth": F.lit(0), "parent": F.lit(None).cast("string"), "_by": F.lit(None).cast("long")})
@@ -108,6 +109,8 @@ def discover(pairs: DataFrame, roots: DataFrame, depth: int | None = None, ranke
             return held.rows()
         seen = held.rows()
         found = step(edges, seen.where(F.col("depth") == level)).join(seen.select("key", "id"), ["key", "id"], "left_anti")
+        if known is not None:
+            found = found.join(known.select("key", "id"), ["key", "id"], "left_anti")
         now = found.select("key", "id", "depth", F.col("by.parent").alias("parent"), F.col("by.rank").alias("_by"))
         level += 1
 
