@@ -11,8 +11,8 @@ words (``SHORT_STEPS``), and the least cosine falls with the share that an item
 words around the window, and below a near-verbatim match also by the item's answer, its
 closing words.
 
-Term counts cover all passages. The SVD, the index of the method, is fitted on documents
-picked by hash, about ``FIT_PASSAGES`` passages at any size of the corpus, and on the items. Every window
+Term counts and the SVD, the index of the method, cover all passages of the corpus and the
+items (``FIT_PASSAGES`` may bound the fit). Every window
 of every document is searched; items are taken in blocks of ``ITEM_BLOCK``.
 
 Defined cases: null and empty texts have no window; texts under 32 words are one window;
@@ -33,8 +33,13 @@ from edgewise.session import stage
 TERMS = 1 << 14
 RANK, OVERSAMPLE, ROUNDS, SEED = 64, 8, 2, 5
 PASSAGE = 64
-FIT_PASSAGES = 100_000
-PARTS = 8
+#: About as many passages, of documents picked by hash, are fitted; all of them without a number.
+FIT_PASSAGES: int | None = None
+#: Words of passages that are multiplied with the basis together, and pieces that the product is added up in.
+FIT_WORDS = 1 << 20
+PARTS = 16
+#: Rows added at a time to the product of a term.
+GROUP = 16
 #: Words of half a window: for items of up to so many words, and for longer ones.
 SHORT_STEPS, STEP = {2: 3, 4: 7, 8: 23}, 16
 #: Least cosine of a window and an item that fills it; less by the root of the share that the item fills.
@@ -47,8 +52,13 @@ MARKS = b".,;:!?\"'()[]{}#*$%&|<>-_/"
 CHUNK = 200_000
 #: Windows and item parts that are multiplied at a time.
 TILE = 4096
-#: Entries of a table of words that occur at all, by the lower bits of their ids.
+#: Rows of a table that are gathered at a time, so that they stay in the cache until they are summed.
+GATHER = 2048
+#: Candidate stretches that are checked at a time, and bits that tell which words a block holds.
+STRETCHES = 1024
+#: Ids that agree in these lower bits have one term and one bit in common.
 OCCURS = 1 << 16
+BLOCK_BITS = OCCURS >> 6
 
 
 class Ids(dict):
@@ -134,33 +144,88 @@ def passage_counts(ids: DataFrame) -> tuple[np.ndarray, int]:
     return df, n
 
 
-def singular_space(sample: DataFrame, idf: np.ndarray) -> np.ndarray:
-    """Leading right singular vectors of the TF-IDF passages in ``sample`` (ids), each over its
+def row_sums(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sum of the rows of ``table`` named by each row of ``at``."""
+    n = at.shape[1]
+    ones, out = np.ones((1, n), table.dtype), np.empty((len(at), table.shape[1]), table.dtype)
+    some = max(1, GATHER // n)
+    for s in range(0, len(at), some):
+        held = table.take(at[s : s + some].ravel(), 0).reshape(-1, n, table.shape[1])
+        out[s : s + some] = (ones @ held)[:, 0]
+    return out
+
+
+def _passages(batches):
+    """Terms of passages as rows of PASSAGE places, empty ones TERMS, about ``FIT_WORDS`` at a time."""
+    held, n = [], 0
+    for batch in batches:
+        for raw in batch.column(0):
+            x = terms_of(np.frombuffer(raw.as_py(), "<u4"))
+            if not len(x):
+                continue
+            held += [x, np.full(-len(x) % PASSAGE, TERMS)]
+            n += len(x)
+            if n >= FIT_WORDS:
+                yield np.concatenate(held).reshape(-1, PASSAGE)
+                held, n = [], 0
+    if held:
+        yield np.concatenate(held).reshape(-1, PASSAGE)
+
+
+def term_sums(passages: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Terms of ``passages`` and for each the sum of the rows of its passages, one an occurrence."""
+    flat = passages.ravel()
+    counts = np.bincount(flat, minlength=TERMS + 1)[:TERMS]
+    by = np.argsort(flat.astype(np.uint16), kind="stable")[: counts.sum()]
+    # The occurrences of a term fill groups of their own; spare places name a row of zeros.
+    groups = -(-counts // GROUP)
+    first = np.cumsum(groups) - groups
+    at = np.full(groups.sum() * GROUP, len(rows))
+    at[np.arange(len(by)) + np.repeat(first * GROUP - (np.cumsum(counts) - counts), counts)] = by // passages.shape[1]
+    sums = row_sums(np.vstack([rows, np.zeros((1, rows.shape[1]), rows.dtype)]), at.reshape(-1, GROUP))
+    terms = np.flatnonzero(counts)
+    return terms, np.add.reduceat(sums, first[terms])
+
+
+def singular_space(ids: DataFrame, idf: np.ndarray) -> np.ndarray:
+    """Leading right singular vectors of the TF-IDF passages in ``ids`` (ids), each over its
     singular value: what folds a text into the space of the left vectors, where common words weigh little.
 
-    Each round multiplies the basis by the matrix and its transpose in parts and adds
-    the parts, of fixed size and number, before the next QR step.
+    Each round multiplies the basis by the matrix and its transpose in every task and adds
+    the products, of fixed size, piece by piece before the next QR step.
     """
     width = RANK + OVERSAMPLE
     basis = np.linalg.qr(np.random.default_rng(SEED).normal(size=(TERMS, width)))[0]
+    cuts = np.array_split(np.arange(TERMS), PARTS)
+    pieces = "k int, task int, part binary"
     for _ in range(ROUNDS):
-        weighted = (idf[:, None] * basis).astype(np.float32)
+        # The last column is the square of the weight: its sum over a passage is the square of the norm.
+        weighted = np.vstack([np.column_stack([idf[:, None] * basis, idf**2]), np.zeros((1, width + 1))]).astype(np.float32)
 
         def run(batches):
-            total = np.zeros((TERMS, width))
-            for x, p, n in _chunks(batches):
-                rows = np.add.reduceat(weighted[x], np.flatnonzero(np.append(True, p[1:] != p[:-1])))
-                norm = np.sqrt(np.add.reduceat(idf[x] ** 2, np.flatnonzero(np.append(True, p[1:] != p[:-1]))))
-                rows /= np.maximum(norm, 1e-9)[:, None] ** 2
-                by = np.argsort(x, kind="stable")
-                starts = np.flatnonzero(np.append(True, x[by][1:] != x[by][:-1]))
-                total[x[by][starts]] += np.add.reduceat(rows[p[by]], starts) * idf[x[by][starts]][:, None]
-            yield pa.RecordBatch.from_arrays([pa.array([k.tobytes() for k in np.array_split(total.astype("<f4"), 16)], pa.binary()), pa.array(range(16), pa.int32())], ["part", "k"])
+            from pyspark import TaskContext
+
+            total = None
+            for x in _passages(batches):
+                rows = row_sums(weighted, x)
+                terms, sums = term_sums(x, rows[:, :-1] / np.maximum(rows[:, -1:], 1e-9))
+                total = np.zeros((TERMS, width)) if total is None else total
+                total[terms] += sums * idf[terms][:, None]
+            if total is not None:
+                parts = [total[c].astype("<f4").tobytes() for c in cuts]
+                yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([TaskContext.get().partitionId()] * PARTS, pa.int32()), pa.array(parts, pa.binary())], ["k", "task", "part"])
+
+        def add(batches):
+            sums: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for k, part in zip(batch.column(0).to_pylist(), batch.column(2)):
+                    x = np.frombuffer(part.as_py(), "<f4").astype(np.float64)
+                    sums[k] = sums[k] + x if k in sums else x
+            yield pa.RecordBatch.from_arrays([pa.array([*sums], pa.int32()), pa.array([0] * len(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["k", "task", "part"])
 
         found = np.zeros((TERMS, width))
-        cuts = np.array_split(np.arange(TERMS), 16)
-        for r in sample.mapInArrow(run, "part binary, k int").toLocalIterator():
-            found[cuts[r.k]] += np.frombuffer(r.part, "<f4").reshape(-1, width)
+        for r in ids.mapInArrow(run, pieces).repartition(PARTS, "k").sortWithinPartitions("k", "task").mapInArrow(add, pieces).toLocalIterator():
+            found[cuts[r.k]] = np.frombuffer(r.part, np.float64).reshape(-1, width)
         if not found.any():
             return basis[:, :RANK]
         basis, squares, _ = np.linalg.svd(found, full_matrices=False)
@@ -209,7 +274,9 @@ class Items:
         self.of = np.array(self.of, np.int64)
         self.steps = np.array(steps, np.int64)
         self.sizes = np.array([len(w) for w in self.words], np.int64)
-        self.low = [(np.array(w, np.uint32) & np.uint32(OCCURS - 1)).astype(np.int64) for w in self.words]
+        self.flat = np.concatenate([np.zeros(0, np.uint32), *(np.array(w, np.uint32) for w in self.words)]) & np.uint32(BLOCK_BITS - 1)
+        self.flat = self.flat.astype(np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
 
     def candidates(self, docs: list[np.ndarray], least: float):
         """Document, item, step and cosine, as arrays, of each window and item part that are close."""
@@ -221,7 +288,7 @@ class Items:
         out = [(at[:0], self.of[:0], at[:0], np.zeros(0, np.float32))]
         used = sorted(set(self.steps.tolist())) or [STEP]
         size = used[0]
-        sums = self.space[flat].reshape(-1, size, self.space.shape[1]).sum(1)
+        sums = row_sums(self.space, flat.reshape(-1, size))
         for step in used:
             sums, size = sums.reshape(-1, step // size, self.space.shape[1]).sum(1), step
             owner = np.repeat(np.arange(len(docs)), blocks * (STEP // step))
@@ -239,56 +306,68 @@ class Items:
         windows /= np.maximum(np.linalg.norm(windows, axis=1, keepdims=True), 1e-9)
         for s in range(0, len(windows), TILE):
             for k in range(0, len(vectors), TILE):
-                w, v = np.nonzero((near := windows[s : s + TILE] @ vectors[k : k + TILE].T) >= least[k : k + TILE])
+                near = windows[s : s + TILE] @ vectors[k : k + TILE].T
+                w, v = np.divmod(np.flatnonzero(near >= least[k : k + TILE]), near.shape[1])
                 yield owner[w + s], of[v + k], w + s - at[owner[w + s]], near[w, v]
 
+    def stretches(self, docs: list[np.ndarray], least: float):
+        """Document, item, first and last step and largest cosine, as arrays, of each stretch of close windows
+        whose surroundings may hold enough of the item's words. Bits of the word ids tell; they never rule out a word that is there."""
+        owner, of, step, cosine = self.candidates(docs, least)
+        if not len(owner):
+            return owner, of, step, step, cosine
+        # One number for document, item and step; pairs are further apart than any two steps of one.
+        wide = int(step.max()) + 4
+        key = (owner * len(self.ids) + of) * wide + step
+        by = np.argsort(key)
+        key = key[by]
+        starts = np.flatnonzero(np.append(True, np.diff(key) > 3))
+        pair, a = np.divmod(key[starts], wide)
+        d, i = np.divmod(pair, len(self.ids))
+        b = key[np.append(starts[1:], len(key)) - 1] % wide
+        best = np.maximum.reduceat(cosine[by], starts)
+        sizes = np.array([len(x) for x in docs])
+        blocks = -(-sizes // STEP)
+        first = np.cumsum(blocks) - blocks
+        bits = np.zeros((blocks.sum(), BLOCK_BITS), bool)
+        bits[np.repeat(first, sizes) + np.concatenate([np.arange(n) // STEP for n in sizes]), np.concatenate(docs) & np.uint32(BLOCK_BITS - 1)] = True
+        bits = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+        low, high = self.surroundings(i, a, b)
+        low, high = first[d] + low // STEP, first[d] - (-np.minimum(high, sizes[d]) // STEP)
+        live, level, span = np.zeros(len(starts), bool), np.frexp(high - low)[1] - 1, 1
+        # ``bits`` are those of ``span`` blocks; two such rows, which may overlap, cover a stretch.
+        for k in range(level.max() + 1):
+            if k:
+                bits, span = bits[:-span] | bits[span:], 2 * span
+            at = np.flatnonzero(level == k)
+            for some in np.split(at, range(STRETCHES, len(at), STRETCHES)) if len(at) else []:
+                held = np.unpackbits((bits[low[some]] | bits[high[some] - span]).view(np.uint8), axis=1, bitorder="little").ravel()
+                m = self.sizes[i[some]]
+                ends = np.cumsum(m)
+                words = self.flat[np.arange(ends[-1]) + np.repeat(self.first[i[some]] - (ends - m), m)]
+                live[some] = np.add.reduceat(held.take(words + np.repeat(np.arange(len(m)) * BLOCK_BITS, m)), ends - m, dtype=np.int64) >= PARAPHRASE * m
+        return d[live], i[live], a[live], b[live], best[live]
+
+    def surroundings(self, i, a, b):
+        """First word and end of what is compared with item ``i`` for close windows from step ``a`` to ``b``."""
+        return np.maximum(0, a * self.steps[i] - self.sizes[i]), (b + 2) * self.steps[i] + self.sizes[i]
+
     def verify(self, docs: list[np.ndarray], least: float):
         """(document, item, first word, cosine, subsequence, answer) of each candidate that holds enough of the item's words."""
-        owner, of, step, cosine = self.candidates(docs, least)
-        pair = owner * len(self.ids) + of
-        by = np.argsort(pair, kind="stable")
-        starts = np.flatnonzero(np.append(True, np.diff(pair[by]) != 0)) if len(by) else by
-        ends = np.append(starts[1:], len(by))
-        heads = by[starts]
-        cuts = np.searchsorted(owner[heads], np.arange(len(docs) + 1))
-        table = np.zeros(OCCURS, bool)
-        live = np.zeros(len(starts), bool)
-        for d in np.unique(owner[heads]):
-            # No subsequence can hold more of the item than the words that occur at all.
-            low = (docs[d] & np.uint32(OCCURS - 1)).astype(np.int64)
-            table[low] = True
-            some = slice(cuts[d], cuts[d + 1])
-            items = of[heads[some]]
-            held = np.add.reduceat(table[np.concatenate([self.low[i] for i in items])].astype(np.int64), np.cumsum(self.sizes[items]) - self.sizes[items])
-            live[some] = held >= PARAPHRASE * self.sizes[items]
-            table[low] = False
-        for pair in np.flatnonzero(live):
-            at = by[starts[pair] : ends[pair]]
-            d, i = int(owner[at[0]]), int(of[at[0]])
-            item, words, best = self.words[i], docs[d], None
-            least_words = PARAPHRASE * len(item)
-            steps: dict[int, float] = {}
-            for s, c in zip(step[at].tolist(), cosine[at].tolist()):
-                steps[s] = max(c, steps.get(s, -1.0))
-            order = sorted(steps)
-            runs = [[order[0], order[0]]]
-            for s in order[1:]:
-                if s - runs[-1][1] <= 3:
-                    runs[-1][1] = s
-                else:
-                    runs.append([s, s])
-            answer, wide = answer_of(item), int(self.steps[i])
-            for a, b in runs:
-                start = max(0, a * wide - len(item))
-                near = words[start : (b + 2) * wide + len(item)].tolist()
-                if sum(map(set(near).__contains__, item)) >= least_words:
-                    n = len(item) if len(item) < TOGETHER else len(near)
-                    runs_of = [near[k : k + n] for k in range(max(1, len(near) - n + 1))]
-                    part = max(common_subsequence(item, x) for x in runs_of) / len(item)
-                    kept = max(common_subsequence(answer, x) for x in runs_of) / len(answer)
-                    best = max(best or (-1.0,), (part, kept, max(v for s, v in steps.items() if a <= s <= b), start))
-            if best is not None:
-                yield d, i, best[3], best[2], best[0], best[1]
+        found: dict[tuple[int, int], tuple] = {}
+        d, i, a, b, cosine = self.stretches(docs, least)
+        low, high = self.surroundings(i, a, b)
+        for d, i, start, end, c in zip(d.tolist(), i.tolist(), low.tolist(), high.tolist(), cosine.tolist()):
+            item, near = self.words[i], docs[d][start:end].tolist()
+            if sum(map(set(near).__contains__, item)) >= PARAPHRASE * len(item):
+                answer = answer_of(item)
+                n = len(item) if len(item) < TOGETHER else len(near)
+                runs_of = [near[k : k + n] for k in range(max(1, len(near) - n + 1))]
+                part = max(common_subsequence(item, x) for x in runs_of) / len(item)
+                kept = max(common_subsequence(answer, x) for x in runs_of) / len(answer)
+                found[d, i] = max(found.get((d, i), (-1.0,)), (part, kept, c, start))
+        for (d, i), best in found.items():
+            yield d, i, best[3], best[2], best[0], best[1]
 
 
 SCHEMA = "doc_id long, item_id long, start long, cosine double, subsequence double, answer double"
@@ -328,11 +407,12 @@ def candidates(docs: DataFrame, benchmark: DataFrame, least: float = COSINE) ->
     ids = stage(word_ids(docs), "word-ids")
     df, n = passage_counts(ids)
     idf = np.log((1 + n) / (1 + df)) + 1
-    every = max(1, n // FIT_PASSAGES)
-    sample = ids.where(F.pmod(F.coalesce(F.xxhash64("doc_id"), F.lit(0)), F.lit(every)) == 0).select("ids")
-    sample = sample.union(word_ids(benchmark.select(F.col("item_id").alias("doc_id"), "text")).select("ids")).repartition(PARTS)
+    fitted = ids
+    if FIT_PASSAGES is not None:
+        fitted = ids.where(F.pmod(F.coalesce(F.xxhash64("doc_id"), F.lit(0)), F.lit(max(1, n // FIT_PASSAGES))) == 0)
+    fitted = fitted.union(word_ids(benchmark.select(F.col("item_id").alias("doc_id"), "text"))).select("ids")
     # The weights of both sides: those of the fitted passages and those of what is folded in.
-    space = singular_space(sample, idf) * idf[:, None] ** 2
+    space = singular_space(fitted, idf) * idf[:, None] ** 2
     spark, out = docs.sparkSession, None
     blocks = max(1, -(-benchmark.count() // ITEM_BLOCK))
     for k in range(blocks):

@@ -256,6 +256,50 @@ def test_long_items_and_hashes_of_whole_words(spark):
     assert {(r.doc_id, r.item_id) for r in latent_leaks.leaks(d, bench).collect()} == {(1, 1), (3, 2)}
 
 
+def test_space_is_fitted_on_every_passage(spark, monkeypatch):
+    """However many passages a corpus counts, each of its documents and items takes part in the fit."""
+    corpus_ = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    counts, fitted = latent_leaks.passage_counts, []
+    monkeypatch.setattr(latent_leaks, "passage_counts", lambda ids: (counts(ids)[0], 10**9))
+    monkeypatch.setattr(latent_leaks, "singular_space", lambda ids, idf: fitted.append(ids.count()) or np.ones((latent_leaks.TERMS, 64)))
+    latent_leaks.candidates(corpus_, bench)
+    assert fitted == [corpus_.count() + bench.count()]
+
+
+def test_products_of_the_fit(spark):
+    rng = np.random.default_rng(4)
+    passages = np.where(rng.random((300, 64)) < 0.1, latent_leaks.TERMS, rng.integers(0, 40, (300, 64)) ** 2)
+    rows = rng.normal(size=(300, 5))
+    want = np.zeros((latent_leaks.TERMS + 1, 5))
+    np.add.at(want, passages.ravel(), np.repeat(rows, 64, axis=0))
+    terms, sums = latent_leaks.term_sums(passages, rows)
+    assert np.allclose(sums, want[terms]) and set(terms) == set(passages.ravel()) - {latent_leaks.TERMS}
+    table = rng.normal(size=(50, 3))
+    at = rng.integers(0, 50, (5000, 7))
+    assert np.allclose(latent_leaks.row_sums(table, at), table[at].sum(1))
+    ids = latent_leaks.word_ids(spark.read.parquet(f"{SF}/documents.parquet")).select("ids").cache()
+    one, many = (latent_leaks.singular_space(ids.repartition(n), np.ones(latent_leaks.TERMS)) for n in (1, 7))
+    # Whichever tasks hold the passages, texts lie at the same angles.
+    assert np.abs(one @ (one.T @ many[:, :8]) - many @ (many.T @ many[:, :8])).max() < 1e-3 * np.abs(many).max() ** 3
+
+
+def test_stretches_hold_what_the_words_hold():
+    """Bits of blocks rule out no stretch that has enough of an item's words."""
+    rng = np.random.default_rng(8)
+    docs_ = [rng.integers(1, 60, rng.integers(1, 900)).astype(np.uint32) * np.uint32(7919) for _ in range(40)]
+    items = latent_leaks.Items([(k, " ".join(f"w{j}" for j in range(k, k + n))) for k, n in enumerate([3, 5, 12, 30, 59, 400])], np.ones((latent_leaks.TERMS, 64)))
+    items.words = [rng.choice(docs_[k], len(w)).tolist() for k, w in enumerate(items.words)]
+    items.flat = np.concatenate([np.array(w) for w in items.words]) & (latent_leaks.BLOCK_BITS - 1)
+    d, i, *_ = items.stretches(docs_, 0.5)
+    got = {*zip(d.tolist(), i.tolist())}
+    for k, x in enumerate(docs_):
+        for j, w in enumerate(items.words):
+            if sum(y in set(x.tolist()) for y in w) >= latent_leaks.PARAPHRASE * len(w):
+                assert (k, j) in got
+    assert got
+
+
 def test_common_subsequence():
     rng = np.random.default_rng(1)
     for _ in range(30):
