@@ -742,6 +742,41 @@ def test_language_model_counts_and_base(spark, corpus):
     assert held[1] > held[0]
 
 
+def test_language_model_knows_what_follows_every_word(spark):
+    """Words far below the most frequent ones have contexts of their own: what followed one is likely to follow again."""
+    rng = random.Random(5)
+    common = [f"c{k}" for k in range(20)]
+    rows = [(k, " ".join([*rng.choices(common, k=8), f"left{k}", f"right{k}", *rng.choices(common, k=4)])) for k in range(200)]
+    rows = docs(spark, [(2 * k + j, text) for k, text in rows for j in (0, 1)]).select("doc_id", "text")
+    held = docs(spark, [(1000, "c1 left7 right7"), (1001, "c1 left7 right8"), (1002, "c1 right7 left7"), (1003, "c1 left7 unheard"), (None, None), (1000, "c1 left7 right7")]).select("doc_id", "text")
+    out = [(r.doc_id, r.score) for r in pitman_yor.scores(held, rows, top=16).collect()]
+    got = dict(out)
+    assert len(out) == 6 and sum(k == 1000 for k, _ in out) == 2 and got[1000] > got[1001] + 1.5 and got[1000] > got[1002] + 1.5
+    # The same texts as a condition on the rows.
+    both = held.where("doc_id > 1000").union(rows.where("doc_id < 1000"))
+    again = {r.doc_id: r.score for r in pitman_yor.scores(both, F.col("doc_id") < 1000, top=16).collect()}
+    assert len(again) == 403 and all(abs(again[k] - got[k]) < 0.05 for k in (1001, 1002, 1003))
+
+
+def test_restaurants_share_out_all_mass(spark):
+    rng = np.random.default_rng(6)
+    of, customers = np.repeat(np.arange(8), 50), rng.poisson(1.5, 400)
+    parent = rng.random((8, 50))
+    parent = (parent / parent.sum(1, keepdims=True)).ravel()
+    p = pitman_yor.seated(rng, of, customers, parent)
+    assert np.allclose(np.bincount(of, p), 1) and (p > 0).all()
+    assert np.allclose(pitman_yor.seated(rng, of, 0 * customers, parent), parent)
+    # The slices of the shared class hold what is not kept for words never seen.
+    counts = [(int(h), int(c)) for h, c in zip(rng.integers(-(2**63), 2**63, 500), rng.integers(1, 9, 500))]
+    c, n = np.unique([c for _, c in counts], return_counts=True)
+    model = pitman_yor.WordModel(np.column_stack([c, n]).astype(float))
+    shares = pitman_yor.slice_shares(spark.createDataFrame(counts, "h long, c long"), model, 128)
+    assert np.isclose(shares.sum() + 10 ** model.log10(np.array([0]))[0], 1) and (shares > 0).sum() > 60
+    x = rng.integers(-99, 10**6, 777).astype(np.int32)
+    for y in (x.reshape(-1, 3), x.reshape(-1, 1), x[:0].reshape(-1, 2)):
+        assert (pitman_yor._unpacked(pitman_yor._packed(y), np.int32, y.shape[1]) == y.T).all()
+
+
 def test_language_model_is_normalised():
     rng = np.random.default_rng(5)
     p = pitman_yor.class_model(rng.poisson(0.7, (9, 9)))
