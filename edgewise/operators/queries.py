@@ -62,7 +62,7 @@ def impact(g: Graph, ids: list[str], depth: int = 0, limit: int = 0) -> DataFram
     _need(g, *ids)
     pairs = stage(reverse(neighbors(g)), "dependers")
     roots = keyed(g, ids).select(F.lit(0).alias("key"), "id").distinct()
-    found = stage(discover(pairs, roots, depth if depth > 0 else None, ranked=limit > 0), "impact")
+    found = discover(pairs, roots, depth if depth > 0 else None, ranked=limit > 0, parents=False)
     out = _layers(pairs, found)
     if limit > 0:
         out = out.join(found.where("depth > 0").orderBy("depth", "rank").limit(limit).select("id"), "id", "left_semi")
@@ -71,7 +71,7 @@ def impact(g: Graph, ids: list[str], depth: int = 0, limit: int = 0) -> DataFram
 
 def depth_limited(g: Graph, ids: list[str], depth: int) -> bool:
     """Whether the layer at ``depth`` has dependers that were not reached."""
-    found = discover(reverse(neighbors(g)), keyed(g, ids).select(F.lit(0).alias("key"), "id"), depth + 1, ranked=False)
+    found = discover(reverse(neighbors(g)), keyed(g, ids).select(F.lit(0).alias("key"), "id"), depth + 1, ranked=False, parents=False)
     return depth > 0 and not found.where(F.col("depth") == depth + 1).isEmpty()
 
 

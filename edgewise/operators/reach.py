@@ -1,6 +1,8 @@
 """Breadth-first search: distances from keyed roots, discovery order, and the index it runs on.
 
-The driver loops over levels, executors do the work. The distinct pairs are an :func:`index`,
+A search of its own runs its levels as supersteps of one barrier stage (``supersteps``). One that goes on
+from what is known already, as in a stream, or where Spark allows no barrier stage, goes level by level:
+the driver loops over levels, executors do the work. The distinct pairs are an :func:`index`,
 a table in buckets by source, which no level moves: the frontier goes to the edges. What a
 level finds is grouped by (key, id), taken off by what the levels before it found, and
 appended to one table, a partition a level in buckets by (key, id), so neither the new rows
@@ -10,11 +12,13 @@ is compiled once. The lineage stays flat, and a lost executor costs one level.
 
 from __future__ import annotations
 
+import itertools
 import uuid
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from edgewise.operators import supersteps
 from edgewise.session import shared_dir, stage
 
 #: Fixpoints keep so many rounds as tables of their own before they are merged.
@@ -88,14 +92,63 @@ class _Levels:
         return out
 
 
-def discover(pairs: DataFrame, roots: DataFrame, depth: int | None = None, ranked: bool = True, known: DataFrame | None = None) -> DataFrame:
+def discover(pairs: DataFrame, roots: DataFrame, depth: int | None = None, ranked: bool = True, known: DataFrame | None = None, parents: bool = True) -> DataFrame:
     """Breadth-first search along ``pairs`` (src, dst), or an :func:`index` of them, from ``roots`` (key, id).
 
     Returns key, id, depth, parent and rank. Of one key, (depth, rank) is the discovery order: roots by
     id, then by the parent's place and the id; ranks have gaps. The parent is the first
-    discoverer, unranked the smallest one, and the rank is null then. The search does not enter
-    what is ``known`` (key, id), and does not return it.
+    discoverer, unranked the smallest one, and the rank is null then; unranked and without ``parents``
+    that is null too, and ids need no order. The search does not enter what is ``known`` (key, id), and
+    does not return it. ``pairs`` are read twice.
     """
+    if known is None and supersteps.tasks(pairs.sparkSession):
+        return _by_order(pairs, roots, depth, ranked) if ranked or parents else _by_hash(pairs, roots, depth)
+    return _by_levels(pairs, roots, depth, ranked, known)
+
+
+_FOUND = "key long, v long, depth int, parent long, rank long"
+
+
+def _ends(pairs: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs with both ends, roots, and all their ids, with repeats."""
+    pairs = pairs.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL")
+    roots = roots.select("key", "id").where("id IS NOT NULL").distinct()
+    return pairs, roots, pairs.select(F.explode(F.array("src", "dst")).alias("id")).union(roots.select("id"))
+
+
+def _by_hash(pairs: DataFrame, roots: DataFrame, depth: int | None) -> DataFrame:
+    """An unranked search without parents, over hashes of ids; where two ids share a hash that was found, once more over others."""
+    kind = roots.schema["key"].dataType
+    pairs, roots, ids = _ends(pairs, roots)
+    for salt in itertools.count():
+        v = lambda c: supersteps.number(F.col(c), salt)  # noqa: B023, E731
+        links = supersteps.dealt(pairs.select(v("src").alias("v"), v("dst").alias("to"), F.lit(0).alias("mark")), roots.select(v("id").alias("v"), "key", F.lit(0).alias("rank")))
+        found = supersteps.run(links, supersteps.search(depth, False, False, 0), _FOUND, "search")
+        out = supersteps.named(found.select("v", F.col("key").cast(kind).alias("key"), "depth"), ids, salt)
+        if out is not None:
+            return out.select("key", "id", "depth", F.lit(None).cast("string").alias("parent"), F.lit(None).cast("long").alias("rank"))
+
+
+def _by_order(pairs: DataFrame, roots: DataFrame, depth: int | None, ranked: bool) -> DataFrame:
+    """A search over numbers that are in the order of the ids, by a global sort."""
+    kind, n = roots.schema["key"].dataType, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs, roots, ids = _ends(pairs, roots)
+    place = F.monotonically_increasing_id()
+    numbers = stage(ids.distinct().repartitionByRange(n, "id").sortWithinPartitions("id").select("id", place.alias("v")), "numbers")
+    of = lambda id, v: numbers.select(F.col("id").alias(id), F.col("v").alias(v))
+    starts = roots.join(numbers, "id").select("v", "key")
+    if ranked:
+        starts = starts.repartitionByRange(n, "key", "v").sortWithinPartitions("key", "v")
+    starts = starts.select("v", "key", (place if ranked else F.lit(0)).alias("rank"))
+    links = supersteps.dealt(pairs.join(of("src", "v"), "src").join(of("dst", "to"), "dst").select("v", "to", F.lit(0).alias("mark")), starts)
+    found = supersteps.run(links, supersteps.search(depth, ranked, True, n << 33), _FOUND, "search")
+    out = found.join(numbers, "v").join(of("_parent", "parent"), "parent", "left")
+    rank = F.col("rank") if ranked else F.lit(None).cast("long")
+    return stage(out.select(F.col("key").cast(kind).alias("key"), "id", "depth", F.col("_parent").alias("parent"), rank.alias("rank")), "found")
+
+
+def _by_levels(pairs: DataFrame, roots: DataFrame, depth: int | None, ranked: bool, known: DataFrame | None) -> DataFrame:
+    """The search level by level, as appended tables."""
     edges, held = index(pairs), _Levels(pairs.sparkSession)
     now = roots.select("key", "id").distinct().withColumns({"depth": F.lit(0), "parent": F.lit(None).cast("string"), "_by": F.lit(None).cast("long")})
     level = 0
@@ -117,7 +170,7 @@ def discover(pairs: DataFrame, roots: DataFrame, depth: int | None = None, ranke
 
 def reachable(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """(id) of all that ``roots`` (id) reach, themselves included."""
-    return discover(pairs, roots.select(F.lit(0).alias("key"), "id"), ranked=False).select("id")
+    return discover(pairs, roots.select(F.lit(0).alias("key"), "id"), ranked=False, parents=False).select("id")
 
 
 def ancestors(found: DataFrame, targets: DataFrame) -> DataFrame:
