@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgewise.functions.ids import abbreviated, utf16_key
 from edgewise.graph import EDGE, Graph, dependencies
+from edgewise.operators import supersteps
 from edgewise.operators.queries import keyed, reverse
 from edgewise.operators.reach import bucketed, forget, index
 from edgewise.session import stage
@@ -56,6 +59,9 @@ def spread_roots(edges: DataFrame, start: DataFrame, depth: int) -> tuple[DataFr
     Returns (id, own, held), ``own`` the vertex's own place among the roots, and whether one more step would
     change the DECISIVE smallest roots of a vertex.
     """
+    if supersteps.tasks(edges.sparkSession):
+        held, _, cut = spread_all(edges, start, depth, False)
+        return _held(held, start), cut
     held_type = "array<struct<root:int,level:int>>"
     first = start.select("id", F.col("key").alias("own"), F.array(F.struct(F.col("key").alias("root"), F.lit(0).alias("level"))).cast(held_type).alias("held"), F.array("key").alias("new"))
     state = bucketed(first, "roots_held", "id")
@@ -79,6 +85,28 @@ def spread_roots(edges: DataFrame, start: DataFrame, depth: int) -> tuple[DataFr
             return state, False
 
 
+def spread_all(pairs: DataFrame, start: DataFrame, depth: int, grade: bool) -> tuple[DataFrame, DataFrame, bool]:
+    """:func:`spread_roots` and, to ``grade``, :func:`unsure` as supersteps of one stage: (id, root, level), (id), and the depth flag."""
+    pairs = pairs.where("src IS NOT NULL AND dst IS NOT NULL")
+    start = start.where("id IS NOT NULL")
+    ids = pairs.select(F.explode(F.array("src", "dst")).alias("id")).union(start.select("id"))
+    for salt in itertools.count():
+        v = lambda c: supersteps.number(F.col(c), salt)  # noqa: B023, E731
+        mark = F.col("direct").cast("int") if grade else F.lit(0)
+        links = supersteps.dealt(pairs.select(v("src").alias("v"), v("dst").alias("to"), mark.alias("mark")), start.select(v("id").alias("v"), "key", F.lit(0).alias("rank")))
+        found = supersteps.run(links, supersteps.spread(depth, SPREAD, DECISIVE, grade), "v long, root int, level int, kind int", "spread")
+        out = supersteps.named(found.where(F.col("kind") != supersteps.CUT), ids, salt)
+        if out is not None:
+            of = lambda kind: out.where(F.col("kind") == kind)  # noqa: B023, E731
+            return of(supersteps.HELD).select("id", "root", "level"), of(supersteps.WEAK).select("id"), not found.where(F.col("kind") == supersteps.CUT).isEmpty()
+
+
+def _held(rows: DataFrame, start: DataFrame) -> DataFrame:
+    """(id, own, held) of rows (id, root, level)."""
+    held = F.transform(F.array_sort(F.collect_list(F.struct("level", "root"))), lambda h: F.struct(h["root"].alias("root"), h["level"].alias("level")))
+    return rows.groupBy("id").agg(held.alias("held")).join(start.select("id", F.col("key").alias("own")), "id", "left").select("id", "own", "held")
+
+
 def unsure(pairs: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """(id) of the vertices that some root reaches within ``depth`` steps over all ``pairs`` (src, dst, direct; in buckets by src)
     but not over the direct ones. Roots are bits of 64-bit words, so all of them spread at once and exactly."""
@@ -107,28 +135,35 @@ def _reached(state: DataFrame) -> DataFrame:
     return out.select("id", near["depth"].alias("depth"), near["key"].alias("key"), F.array_sort(F.transform("others", lambda h: h["root"])).alias("keys"))
 
 
-def traverse(g: Graph, roots: list[str], dependents: bool = False, depth: int = MAX_DEPTH, limit: int = MAX_REACHED, members: bool = False) -> tuple[DataFrame, list[str]]:
+def traverse(g: Graph, roots: list[str], dependents: bool = False, depth: int = MAX_DEPTH, limit: int | None = MAX_REACHED, members: bool = False) -> tuple[DataFrame, list[str]]:
     """Rows (id, depth, via, roots, relationships, evidence, roots_truncated) and the truncation reasons.
 
     A row is a vertex that another root reaches within ``depth``: its distance to the
     nearest such root, the smallest predecessor (by UTF-16 units) on a shortest way from
     it, the kinds of that hop, and the roots in order, 64 at most. Evidence is direct if
     every root that reaches it also does over pairs with an edge that is no candidate. A root
-    that is no vertex keeps its number and reaches nothing.
+    that is no vertex keeps its number and reaches nothing. Without a limit (None) all rows come.
     """
-    if not 1 <= depth <= MAX_DEPTH or not 1 <= limit <= MAX_REACHED or len(roots) > MAX_ROOTS:
+    if not 1 <= depth <= MAX_DEPTH or (limit is not None and not 1 <= limit <= MAX_REACHED) or len(roots) > MAX_ROOTS:
         raise ValueError("depth, limit or number of roots out of range")
     edges = member_edges(g) if members else dependencies(g)
     edges = reverse(edges.select("src", "dst", "kind", "candidate")) if dependents else edges.select("src", "dst", "kind", "candidate")
     pairs = edges.groupBy("src", "dst").agg(F.array_sort(F.collect_set("kind")).alias("kinds"), F.bool_or(~F.col("candidate")).alias("direct"))
-    pairs = bucketed(pairs.repartition("src"), "traversal_pairs", "src")
     start = keyed(g, roots)
-    state, cut = spread_roots(pairs.select("src", "dst"), start, depth)
+    if supersteps.tasks(g.spark):
+        pairs = stage(pairs, "traversal-pairs")
+        grade = g.meta.dispatchEvidence and not pairs.where("NOT direct").isEmpty()
+        held, weak, cut = spread_all(pairs, start, depth, grade)
+        state = _held(held, start)
+    else:
+        pairs = bucketed(pairs.repartition("src"), "traversal_pairs", "src")
+        state, cut = spread_roots(pairs.select("src", "dst"), start, depth)
+        held = state.select("id", F.explode("held").alias("h")).select("id", "h.root", "h.level")
+        weak = unsure(pairs.select("src", "dst", "direct"), start, depth) if g.meta.dispatchEvidence and not pairs.where("NOT direct").isEmpty() else held.select("id").limit(0)
     rows = stage(_reached(state), "reached-rows")
-    before = state.select(F.col("id").alias("src"), F.explode("held").alias("h")).select("src", F.col("h.root").alias("key"), (F.col("h.level") + 1).alias("depth"))
+    before = held.select(F.col("id").alias("src"), F.col("root").alias("key"), (F.col("level") + 1).alias("depth"))
     hops = pairs.withColumnRenamed("dst", "id").join(rows.select("id", "depth", "key"), "id").join(before, ["src", "key", "depth"], "left_semi")
     via = hops.groupBy("id").agg(F.min_by(F.struct("src", "kinds"), utf16_key(F.col("src"))).alias("hop"))
-    weak = unsure(pairs.select("src", "dst", "direct"), start, depth) if g.meta.dispatchEvidence and not pairs.where("NOT direct").isEmpty() else rows.select("id").limit(0)
     graded = rows.join(via, "id").join(weak.withColumn("weak", F.lit(True)), "id", "left")
     evidence = F.when(F.lit(g.meta.dispatchEvidence), F.when(F.col("weak"), "candidate").otherwise("direct"))
     out = graded.select(
@@ -137,7 +172,7 @@ def traverse(g: Graph, roots: list[str], dependents: bool = False, depth: int =
     )
     out = stage(out, "reached")
     reasons = ["depth"] if cut else []
-    if out.limit(limit + 1).count() > limit:
+    if limit is not None and out.limit(limit + 1).count() > limit:
         reasons.append("max-reached")
         out = out.orderBy("depth", utf16_key(F.col("id"))).limit(limit)
     return out, reasons

@@ -54,15 +54,20 @@ def imports(spark: SparkSession, sf_dir: str, raw: DataFrame, symbols: DataFrame
     return net.union(bought)
 
 
-def part_graph(spark: SparkSession, sf_dir: str, only=None, raw: DataFrame | None = None) -> Graph:
-    """The graph of all order lines, its edges written once; with ``only`` the relations of the lines that meet it."""
+def part_graph(spark: SparkSession, sf_dir: str, only=None, raw: DataFrame | None = None, positions: bool = True) -> Graph:
+    """The graph of all order lines, its edges written once; with ``only`` the relations of the lines that meet it.
+    Queries that look at no position go without them."""
     raw = lines(spark, sf_dir) if raw is None else raw
     symbols = stage(stocks(spark, sf_dir, raw), "stocks")
     packages = symbols.select(F.col("package").alias("id")).union(read_table(spark, sf_dir, "customer").select(F.concat(F.lit("segment/"), "c_mktsegment"))).distinct()
     packages = packages.select("id", F.lit("package").alias("kind"), F.col("id").alias("name"))
     raw = raw if only is None else raw.where(only)
-    calls = merge_edges(raw.where("dst is not null").select("src", "dst", "kind", F.array("position").alias("positions"), "candidate"))
     none = F.lit(None).cast("array<struct<file:string,line:int,column:int>>").alias("positions")
+    calls = raw.where("dst is not null")
+    if positions:
+        calls = merge_edges(calls.select("src", "dst", "kind", F.array("position").alias("positions"), "candidate"))
+    else:
+        calls = calls.groupBy("src", "dst", "kind").agg(F.bool_and("candidate").alias("candidate")).select("src", "dst", "kind", none, "candidate")
     edges = calls.union(symbols.select("package", "id", F.lit("contains"), none, F.lit(False))).union(imports(spark, sf_dir, raw, symbols).select("src", "dst", F.lit("import"), none, F.lit(False)))
     return graph(symbols.unionByName(packages, allowMissingColumns=True), stage(edges, "edges"), Meta(level="symbol"))
 

@@ -34,8 +34,13 @@ def _text(c: str):
 
 def _root(g) -> str:
     """The stock with the most dependencies, of several the first."""
-    pairs = G.neighbors(g).where(F.col("src").startswith("part/"))
-    return pairs.groupBy("src").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "src").first().src
+    return _tops(g, 1)[0]
+
+
+def _tops(g, n: int) -> list[str]:
+    """The ``n`` stocks with the most dependencies, of equal ones the first."""
+    pairs = G.dependencies(g).where(_stock("src")).select("src", "dst").distinct()
+    return [r.src for r in pairs.groupBy("src").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "src").limit(n).collect()]
 
 
 def _part(c: str = "id"):
@@ -85,13 +90,13 @@ def _neighbor_sql(depth: int) -> str:
 
 @query(_neighbor_sql(1))
 def neighbors_d1(spark, sf_dir):
-    g = part_graph(spark, sf_dir)
+    g = part_graph(spark, sf_dir, positions=False)
     return queries.query(g, _root(g), 1).select("direction", "id", "depth")
 
 
 @query(_neighbor_sql(3))
 def neighbors_d3(spark, sf_dir):
-    g = part_graph(spark, sf_dir)
+    g = part_graph(spark, sf_dir, positions=False)
     return queries.query(g, _root(g), 3).select("direction", "id", "depth")
 
 
@@ -105,7 +110,7 @@ _REACH = "+ reached AS (SELECT id FROM root UNION SELECT d.dst FROM reached r JO
 
 
 def _reach_set(spark, sf_dir):
-    g = part_graph(spark, sf_dir)
+    g = part_graph(spark, sf_dir, positions=False)
     return reachable(G.dependencies(g), queries.keyed(g, [_root(g)]).select("id"))
 
 
@@ -121,7 +126,7 @@ def reach_set_distributed(spark, sf_dir):
 
 @query(f"+ {ROOTS_SQL}, reached AS (SELECT id FROM roots UNION SELECT d.dst FROM reached r JOIN deps d ON d.src = r.id) SELECT id, kind, exported FROM vertices WHERE kind <> 'package' AND id NOT IN (SELECT id FROM reached)")
 def dead(spark, sf_dir):
-    g = part_graph(spark, sf_dir)
+    g = part_graph(spark, sf_dir, positions=False)
     return queries.dead(g, reachable(queries.reach_pairs(g), _roots(g))).select("id", "kind", "exported")
 
 
@@ -130,7 +135,7 @@ calls AS (SELECT DISTINCT src, dst FROM edges WHERE kind = 'call'), rta AS (SELE
 SELECT id, CASE WHEN kind IN ('func', 'method') THEN 'rta' ELSE 'graph' END AS by FROM vertices WHERE kind <> 'package'
   AND CASE WHEN kind IN ('func', 'method') THEN id NOT IN (SELECT id FROM rta) ELSE id NOT IN (SELECT id FROM greach) END""")
 def dead_rta(spark, sf_dir):
-    g = part_graph(spark, sf_dir)
+    g = part_graph(spark, sf_dir, positions=False)
     roots = _roots(g)
     rta = reachable(g.edges.where("kind = 'call'"), roots)
     out = queries.dead_rta(g, reachable(queries.reach_pairs(g), roots), rta)
@@ -143,7 +148,7 @@ FROM levels w JOIN edges e ON e.dst = w.id AND e.kind <> 'contains' JOIN levels
 
 
 def _impact(spark, sf_dir):
-    g = part_graph(spark, sf_dir)
+    g = part_graph(spark, sf_dir, positions=False)
     return queries.impact(g, [_root(g)]).select("id", "depth", _text("kinds"))
 
 
@@ -159,8 +164,8 @@ def impact_distributed(spark, sf_dir):
 
 @query(f"+ {_levels('root', True, 300)} SELECT id, depth FROM levels")
 def path_length(spark, sf_dir):
-    g = part_graph(spark, sf_dir)
-    return discover(G.dependencies(g), queries.keyed(g, [_root(g)]), ranked=False).select("id", "depth")
+    g = part_graph(spark, sf_dir, positions=False)
+    return discover(G.dependencies(g), queries.keyed(g, [_root(g)]), ranked=False, parents=False).select("id", "depth")
 
 
 # Discovery order: by depth, then by the parent's place and the id; so the first path is the one whose ids, from the
@@ -173,9 +178,9 @@ walked AS (SELECT id, depth, [id] AS path FROM root, (SELECT 0 AS depth) UNION A
 SELECT i - 1 AS step, path[i] AS id FROM (SELECT path, unnest(range(1, len(path) + 1)) AS i FROM walked WHERE id IN (SELECT id FROM goal))""")
 def shortest_path(spark, sf_dir):
     """The path to the farthest vertex."""
-    g = part_graph(spark, sf_dir)
+    g = part_graph(spark, sf_dir, positions=False)
     root = _root(g)
-    far = discover(G.dependencies(g), queries.keyed(g, [root]), ranked=False).orderBy(F.desc("depth"), F.desc("id")).first()
+    far = discover(G.dependencies(g), queries.keyed(g, [root]), ranked=False, parents=False).orderBy(F.desc("depth"), F.desc("id")).first()
     return queries.path(g, root, far.id).select(F.col("step").cast("long").alias("step"), "id")
 
 
@@ -186,9 +191,8 @@ reached AS (SELECT k, id FROM tops UNION SELECT r.k, d.dst FROM reached r JOIN d
 @query(f"+ {_SHARED_SQL} SELECT id, string_agg(CAST(k AS VARCHAR), ',' ORDER BY k) AS roots, count(*) = 3 AS shared FROM reached GROUP BY id")
 def shared_dependencies(spark, sf_dir):
     """Of the three stocks with the most dependencies."""
-    g = part_graph(spark, sf_dir)
-    tops = G.neighbors(g).where(_stock("src")).groupBy("src").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "src").limit(3).collect()
-    out = queries.shared(g, [r.src for r in tops])
+    g = part_graph(spark, sf_dir, positions=False)
+    out = queries.shared(g, _tops(g, 3))
     return out.select("id", _text("roots"), (F.col("n") == 3).alias("shared"))
 
 
@@ -216,7 +220,7 @@ def scc_evidence(spark, sf_dir):
 @query()
 def scc_symbols(spark, sf_dir):
     """Cycles of all stocks; their closure is too large for SQL, tests hold the operator against brute force."""
-    return cycles.cycles(part_graph(spark, sf_dir)).select("component", "id")
+    return cycles.cycles(part_graph(spark, sf_dir, positions=False)).select("component", "id")
 
 
 RULES = rules.Rules(
@@ -272,7 +276,7 @@ wanted AS (SELECT * FROM (VALUES ('forbidden', 'first', 'rest'), ('independence'
 wreach AS (SELECT w.a, v.id FROM wanted w JOIN vc v ON v.component = w.a UNION SELECT r.a, d.dst FROM wreach r JOIN deps d ON d.src = r.id)
 SELECT DISTINCT w.rule, w.a AS from_component, w.b AS to_component FROM wanted w JOIN wreach r ON r.a = w.a JOIN vc v ON v.id = r.id AND v.component = w.b""")
 def forbidden_pairs(spark, sf_dir):
-    v = rules.reach_violations(part_graph(spark, sf_dir), RULES)
+    v = rules.reach_violations(part_graph(spark, sf_dir, positions=False), RULES)
     return v.select("rule", F.col("fromComponent").alias("from_component"), F.col("toComponent").alias("to_component"))
 
 
@@ -415,10 +419,9 @@ QUERIES["multi_root_distributed"] = multi_root_distributed
 
 def _multi(spark, sf_dir):
     """The ten stocks with the most dependencies, to the full depth."""
-    g = part_graph(spark, sf_dir)
+    g = part_graph(spark, sf_dir, positions=False)
     g = g.with_(meta=G.Meta(dispatchEvidence=True))
-    tops = G.neighbors(g).where(_stock("src")).groupBy("src").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "src").limit(10).collect()
-    out, _ = traversal.traverse(g, [r.src for r in tops])
+    out, _ = traversal.traverse(g, _tops(g, 10), limit=None)
     return out.select("id", "depth", "via", _text("roots"), _text("relationships"), "evidence")
 
 
@@ -473,7 +476,7 @@ def sql_relations(spark, sf_dir):
 
 @query("+ pairs AS (SELECT DISTINCT src, dst FROM edges WHERE kind = 'call'), closure AS (SELECT src, dst FROM pairs UNION SELECT c.src, p.dst FROM closure c JOIN pairs p ON p.src = c.dst), mutual AS (SELECT a.src AS id, a.dst AS other FROM closure a JOIN closure b ON a.src = b.dst AND a.dst = b.src) SELECT min(other) AS component, id FROM mutual GROUP BY id")
 def scc_calls(spark, sf_dir):
-    g = part_graph(spark, sf_dir)
+    g = part_graph(spark, sf_dir, positions=False)
     calls = g.edges.where("kind = 'call'").withColumn("candidate", F.lit(False))
     return cycles.cycles(g.with_(edges=calls)).select("component", "id")
 

@@ -51,3 +51,17 @@ def test_supersteps_equal_the_search_by_levels(spark):
         assert [r[:3] for r in want] == [r[:3] for r in rows(discover(pairs, roots, depth, ranked=False, parents=False))]
     order = lambda df: [tuple(r) for r in df.orderBy("key", "depth", "rank").select("key", "id", "parent").collect()]
     assert order(discover(pairs, roots)) == order(_by_levels(pairs, roots, None, True, None))
+
+
+def test_the_jobs_of_a_traversal_do_not_grow_with_its_levels(spark):
+    from edgewise import graph as G
+    from edgewise.operators import traversal
+
+    def doc(n):
+        edges = [(f"v{k:03d}", f"v{k + 1:03d}", "call", k == 1) for k in range(n)]
+        return G.from_rows(spark, [{"id": x, "kind": "func"} for x in {x for e in edges for x in e[:2]}], edges, dispatchEvidence=True)
+
+    short = jobs(spark, lambda: traversal.traverse(doc(3), ["v000", "v001"], limit=None))
+    assert jobs(spark, lambda: traversal.traverse(doc(40), ["v000", "v001"], limit=None)) <= short + 3
+    out, reasons = traversal.traverse(doc(40), ["v000", "v001"], limit=None)
+    assert out.count() == 40 and reasons == [] and out.where("evidence = 'candidate'").count() == 39
