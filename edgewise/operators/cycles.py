@@ -9,12 +9,14 @@ its colour yields one component; repeat on the rest.
 
 from __future__ import annotations
 
+import itertools
 from math import log2
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgewise.graph import Graph
+from edgewise.operators import supersteps
 from edgewise.operators.reach import discover
 from edgewise.session import release, stage
 
@@ -63,6 +65,20 @@ def _spread(pairs: DataFrame) -> DataFrame:
             return now.select("id", "colour")
 
 
+def _cores(pairs: DataFrame) -> DataFrame:
+    """(component, id) of the vertices of ``pairs`` on cycles, no loops among them, as supersteps of one stage."""
+    ids = pairs.select(F.explode(F.array("src", "dst")).alias("id"))
+    for salt in itertools.count():
+        v = lambda c: supersteps.number(F.col(c), salt)  # noqa: B023, E731
+        ways = [pairs.select(v(a).alias("v"), v(b).alias("to"), F.lit(k).alias("mark")) for k, (a, b) in enumerate((("src", "dst"), ("dst", "src")))]
+        none = ids.select(v("id").alias("v"), F.lit(0).alias("key"), F.lit(0).alias("rank")).limit(0)
+        found = supersteps.run(supersteps.dealt(ways[0].union(ways[1]), none), supersteps.cores(), "v long, colour long", "cores")
+        out = supersteps.named(found, ids, salt)
+        if out is not None:
+            many = out.groupBy("colour").agg(F.min("id").alias("component"), F.count("*").alias("n")).where("n > 1")
+            return stage(out.join(many, "colour").select("component", "id"), "components")
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """(component, id) of all vertices on a cycle of ``pairs`` (src, dst); the component is its smallest member."""
     pairs = pairs.select("src", "dst").distinct()
@@ -72,7 +88,8 @@ def components(pairs: DataFrame) -> DataFrame:
     size = rest.count()
     while size:
         before = None
-        while size and size != before:  # trimming and contraction feed each other
+        # Trimming and contraction feed each other; supersteps trim by themselves, so they take over where these gain little.
+        while size and (before is None or size < (0.5 * before if supersteps.tasks(pairs.sparkSession) else before)):
             trimmed, before = _trim(rest), size
             release(rest)
             chains = stage(_chains(trimmed), "heads")
@@ -81,6 +98,9 @@ def components(pairs: DataFrame) -> DataFrame:
             size = rest.count()
         if not size:
             break
+        if supersteps.tasks(pairs.sparkSession):
+            learnt.append(("components", _cores(rest)))
+            break
         colours = _spread(rest)
         inside = rest.join(colours.select(F.col("id").alias("src"), F.col("colour").alias("a")), "src").join(colours.select(F.col("id").alias("dst"), F.col("colour").alias("b")), "dst").where("a = b")
         # Backward from each colour's own vertex; pairs inside colours do not leave them.

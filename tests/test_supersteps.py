@@ -65,3 +65,12 @@ def test_the_jobs_of_a_traversal_do_not_grow_with_its_levels(spark):
     assert jobs(spark, lambda: traversal.traverse(doc(40), ["v000", "v001"], limit=None)) <= short + 3
     out, reasons = traversal.traverse(doc(40), ["v000", "v001"], limit=None)
     assert out.count() == 40 and reasons == [] and out.where("evidence = 'candidate'").count() == 39
+
+
+def test_the_jobs_of_a_component_do_not_grow_with_its_width(spark):
+    from edgewise.operators import cycles
+
+    band = lambda n: spark.createDataFrame([p for k in range(n) for p in ((f"v{k:02d}", f"v{k + 1:02d}"), (f"v{k + 1:02d}", f"v{k:02d}"))], PAIRS)
+    short = jobs(spark, lambda: cycles.components(band(4)))
+    assert jobs(spark, lambda: cycles.components(band(40))) <= short + 6
+    assert {tuple(r) for r in cycles.components(band(40)).collect()} == {("v00", f"v{k:02d}") for k in range(41)}
