@@ -94,7 +94,7 @@ def shared(g: Graph, ids: list[str]) -> DataFrame:
     Shared are those with n = len(ids); only[r] are those that r reaches and not all do.
     """
     _need(g, *ids)
-    found = discover(dependencies(g), keyed(g, ids), ranked=False)
+    found = discover(dependencies(g), keyed(g, ids), ranked=False, parents=False)
     return found.groupBy("id").agg(F.array_sort(F.collect_set("key")).alias("roots"), F.count("*").alias("n"))
 
 
