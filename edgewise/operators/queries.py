@@ -212,7 +212,7 @@ def change_candidates(g: Graph, files: DataFrame, depth: int = 0, limit: int = 0
     ids = g.vertices.select("id").distinct()
     pairs = neighbors(g).join(ids.select(F.col("id").alias("src")), "src", "left_semi")
     pairs = stage(reverse(pairs), "dependers")
-    found = stage(discover(pairs, roots.select(F.lit(0).alias("key"), "id"), depth if depth > 0 else None, ranked=False), "candidates")
+    found = discover(pairs, roots.select(F.lit(0).alias("key"), "id"), depth if depth > 0 else None, ranked=False, parents=False)
     via = _layers(pairs, found).groupBy("id").agg(F.array_sort(F.collect_set("parent")).alias("via"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("edges"))
     v = g.vertices.select("id", "kind", "name", "position").dropDuplicates(["id"])
     out = found.select("id", "depth").join(via, "id", "left").join(v, "id")
